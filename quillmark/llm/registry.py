@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import term_queries, text_queries
+from quillmark.llm import form_queries, term_queries, text_queries
 
-_MODULES = [term_queries, text_queries]
+_MODULES = [term_queries, form_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.llm.lookalike import bigram_counts, lookalike_pairs, one_form, united
+from quillmark.llm.mojibake import find_garbled
 from quillmark.sources.tables import table
 
 
@@ -37,5 +38,14 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(names, ["field_name", "form_id"]).select("field_name", "form", "key")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The documents concerned with their restored text; ``whole`` is false where something is lost."""
+    return find_garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p10_found": p10_found, "p10_restored": p10_restored}
 SQL: dict[str, str] = {}

@@ -175,7 +175,7 @@ def test_garbled_texts_are_found_and_restored(spark):
         106: CLEAN[3].encode().decode("cp1251", "replace") if "�" not in CLEAN[3].encode().decode("cp1251", "replace") else "вЂњword", 107: "lost � here",
     }
     base = [(k * 1000 + i, t, "clash") for k in range(1, 40) for i, t in enumerate(CLEAN)]
-    base += [(200_000 + k, " ".join(map(chr, range(0xC0, 0x100))) + " ", "") for k in range(3000)]  # each of these letters is common by itself
+    base += [(200_000 + k, " ".join(f"x{chr(c)}y" for c in range(0xC0, 0x100)), "") for k in range(3000)]  # each of these letters is common by itself
     rows = base + [(i, t, "") for i, t in bad.items()] + [(1, None, ""), (2, "", ""), (3, "a" * 50000, "")]
     got = {r["doc_id"]: r for r in find_garbled(spark.createDataFrame(rows, "doc_id long, text string, restored string"), "doc_id", "text").collect()}
     assert set(got) == set(bad)

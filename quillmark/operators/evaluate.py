@@ -1,0 +1,197 @@
+"""Statistics that judge findings: outliers, corrected p values, chance tests, contexts and structures."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from quillmark.functions import measures as M
+
+
+def nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """(a, rank, b, distance): the ``k`` nearest of each ``a`` from pairs (a, b, distance), a total order on equal distances."""
+    w = Window.partitionBy("a").orderBy("distance", "b")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "rank", "b", "distance")
+
+
+def companions(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
+    """(a, rank, b, distance) by cosine: the query set is every row whose id is divisible by ``every``, held against all rows.
+
+    The query vectors are shipped in blocks of 1,000; each task holds its rows against a block and keeps the best ``k`` of each query, so
+    what is shuffled is ``k`` rows for each query, block and task.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where("id is not null and vector is not null").select("id", "vector")
+    queries = rows.where(F.col("id") % every == 0)
+    found = None
+    ids = queries.select("id").distinct()
+    n = max(1, -(-ids.count() // 1000))
+    for block in range(n):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).dropDuplicates(["id"]).toArrow()
+        if not part.num_rows:
+            continue
+        held = spark.sparkContext.broadcast((part["id"].to_numpy(), np.array(part["vector"].to_pylist(), np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q_ids, q = held.value
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids, v = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                d = np.where(q_ids[:, None] == ids[None, :], np.inf, 1 - q @ v.T)
+                take = min(k + 1, len(ids))
+                at = np.argpartition(d, take - 1, axis=1)[:, :take]
+                a = np.repeat(np.arange(len(q_ids)), take)
+                bb, dd = at.ravel(), d[a, at.ravel()]
+                ok = np.isfinite(dd)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[ok]]), pa.array(ids[bb[ok]]), pa.array(dd[ok])], names=["a", "b", "distance"])
+
+        one = rows.mapInArrow(run, "a long, b long, distance double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "a long, rank int, b long, distance double")
+    return nearest(found.groupBy("a", "b").agg(M.rounded(F.min("distance"), 9).alias("distance")), k)
+
+
+def local_outlier(near: DataFrame) -> DataFrame:
+    """(a, lof) from a table of nearest neighbours (a, rank, b, distance) that has all points."""
+    reach = near.groupBy("a").agg(F.max("distance").alias("reach"))
+    r = near.join(reach.select(F.col("a").alias("b"), "reach"), "b").withColumn("d", F.greatest("distance", "reach"))
+    density = r.groupBy("a").agg((1 / F.avg("d")).alias("density"))
+    out = near.join(density.select(F.col("a").alias("b"), F.col("density").alias("other")), "b").join(density, "a")
+    return out.groupBy("a").agg((F.avg("other") / F.first("density")).alias("lof"))
+
+
+def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of the vectors; partial sums of dimension squared are what reaches the driver, whatever the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss = 0, None, None
+        for b in batches:
+            if b.num_rows:
+                v = np.array(b.column(0).to_pylist(), np.float64)
+                n += len(v)
+                s = v.sum(0) if s is None else s + v.sum(0)
+                ss = v.T @ v if ss is None else ss + v.T @ v
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+
+    parts = vectors.where("vector is not null").select("vector").mapInArrow(run, "n long, s array<double>, ss array<double>")
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    parts = parts.coalesce(1).agg(F.sum("n").alias("n"), F.reduce(F.collect_list("s"), F.array().cast("array<double>"), lambda x, y: F.when(F.size(x) == 0, y).otherwise(add(x, y))).alias("s"), F.reduce(F.collect_list("ss"), F.array().cast("array<double>"), lambda x, y: F.when(F.size(x) == 0, y).otherwise(add(x, y))).alias("ss"))
+    row = parts.first()
+    if row is None or not row["n"]:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, mean = row["n"], np.array(row["s"]) / row["n"]
+    return n, mean, np.array(row["ss"]).reshape(len(mean), -1) / n - np.outer(mean, mean)
+
+
+def mahalanobis(vectors: DataFrame, shrink: float = 0.1) -> DataFrame:
+    """(id, distance): squared distance from the mean under the covariance, drawn by ``shrink`` towards a sphere of the same mean variance."""
+    n, mean, cov = moments(vectors)
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "id long, distance double")
+    cov = (1 - shrink) * cov + shrink * np.trace(cov) / len(mean) * np.eye(len(mean))
+    held = vectors.sparkSession.sparkContext.broadcast((mean, np.linalg.inv(cov)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, inv = held.value
+        for b in batches:
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, len(mean)) - mean
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.einsum("ij,jk,ik->i", v, inv, v))], names=["id", "distance"])
+
+    return vectors.where("id is not null and vector is not null").select("id", "vector").mapInArrow(run, "id long, distance double")
+
+
+def empirical_p(values: DataFrame, value: str) -> DataFrame:
+    """Adds ``p`` = (values at least as great, itself apart, + 1) / (n + 1). Distinct values are what is ordered."""
+    c = values.groupBy(value).agg(F.count("*").alias("n"))
+    c = c.select(value, (F.sum("n").over(Window.orderBy(F.desc(value))) - 1).alias("above")).withColumn("all", c.agg(F.sum("n")).scalar())
+    return values.join(c.select(value, ((F.col("above") + 1) / (F.col("all") + 1)).alias("p")), value)
+
+
+def false_discovery(values: DataFrame, p: str = "p") -> DataFrame:
+    """Adds ``q``, the step-up corrected value: the least of p * n / rank over all values from here up."""
+    c = values.groupBy(p).agg(F.count("*").alias("k"))
+    up = Window.orderBy(p)
+    c = c.withColumn("n", c.agg(F.sum("k")).scalar()).withColumn("rank", F.sum("k").over(up))
+    c = c.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("n") / F.col("rank")).over(up.rowsBetween(0, Window.unboundedFollowing))))
+    return values.join(c.select(p, "q"), p)
+
+
+def shuffle_test(rows: DataFrame, group: str, value: str, times: int = 200, seed: int = 7) -> DataFrame:
+    """(observed, above, times, p): the difference of two groups' means against ``times`` seeded reassignments of rows to groups.
+
+    A row's group in a reassignment comes from a hash of its id, the seed and the number of the reassignment, so the result
+    doesn't depend on partitions. ``group`` is boolean; ``id`` must be unique.
+    """
+    r = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select("id", F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    share = r.agg(F.avg(F.col("g").cast("int"))).scalar()
+    real = r.agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("observed"))
+    x = r.withColumn("share", share).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    mine = F.pmod(F.xxhash64("id", "trial", F.lit(seed)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    trials = x.groupBy("trial").agg((F.avg(F.when(mine, F.col("v"))) - F.avg(F.when(~mine, F.col("v")))).alias("d"))
+    out = trials.withColumn("observed", real.scalar())
+    return out.groupBy("observed").agg(F.count_if(F.col("d") >= F.col("observed")).alias("above"), F.count("*").alias("times")).withColumn("p", (F.col("above") + 1) / (F.col("times") + 1))
+
+
+def factorise(matrix: np.ndarray, k: int, rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative factors W (rows by k) and H (k by columns) of a matrix, by multiplicative updates from a seeded start."""
+    rnd = np.random.default_rng(seed)
+    w, h = rnd.random((matrix.shape[0], k)) + 1e-3, rnd.random((k, matrix.shape[1])) + 1e-3
+    for _ in range(rounds):
+        h *= (w.T @ matrix) / np.maximum(w.T @ w @ h, 1e-12)
+        w *= (matrix @ h.T) / np.maximum(w @ h @ h.T, 1e-12)
+    return w, h
+
+
+def best_chain(items: list) -> list[tuple[int, int]]:
+    """Most nested pairs of equal items, outer first: the longest a b ... b a chain of a passage, by interval."""
+    n = len(items)
+    best = [[0] * (n + 1) for _ in range(n + 1)]
+    for width in range(2, n + 1):
+        for i in range(n - width + 1):
+            j = i + width - 1
+            inner = best[i + 1][j - 1] if width > 2 else 0
+            best[i][j] = max(best[i + 1][j], best[i][j - 1], inner + 1 if items[i] == items[j] else 0)
+    out, i, j = [], 0, n - 1
+    while i < j and best[i][j]:
+        inner = best[i + 1][j - 1] if j - i > 1 else 0
+        if items[i] == items[j] and best[i][j] == inner + 1:
+            out.append((i, j))
+            i, j = i + 1, j - 1
+        elif best[i + 1][j] == best[i][j]:
+            i += 1
+        else:
+            j -= 1
+    return out
+
+
+def best_frame(items: list, weight: dict) -> tuple[int, int, float]:
+    """The pair of equal items with the highest weight times distance: what frames a passage. (-1, -1, 0) where nothing is repeated."""
+    first: dict = {}
+    best = (-1, -1, 0.0)
+    for j, x in enumerate(items):
+        i = first.setdefault(x, j)
+        if j > i and weight.get(x, 0.0) * (j - i) > best[2]:
+            best = (i, j, weight[x] * (j - i))
+    return best
+
+
+def best_centre(items: list[set]) -> tuple[int, float]:
+    """Twice the place of the centre about which units mirror each other best, with the shared items per pair."""
+    n = len(items)
+    best = (-1, 0.0)
+    for c in range(1, 2 * n - 2):
+        pairs = [(i, c - i) for i in range(max(0, c - n + 1), (c + 1) // 2) if c - i < n]
+        if len(pairs) >= 2:
+            score = sum(len(items[i] & items[j]) for i, j in pairs) / len(pairs)
+            if score > best[1]:
+                best = (c, score)
+    return best

@@ -37,16 +37,20 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return _union([O.probe(refs, parents) for refs, parents in _links(spark, d)])
 
 
+def _month(df: DataFrame) -> DataFrame:
+    return df.withColumn("period", F.date_format("period", "yyyy-MM"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).select("ref_table", "ref_id").distinct()
 
 
 def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphans_by_period(_orphans(spark, d))
+    return _month(O.orphans_by_period(_orphans(spark, d)))
 
 
 def p3_pending(spark: SparkSession, d: str) -> DataFrame:
-    return _union([O.pending_by_period(refs, parents) for refs, parents in _links(spark, d)])
+    return _month(_union([O.pending_by_period(refs, parents) for refs, parents in _links(spark, d)]))
 
 
 _REFS_SQL = r"""
@@ -73,12 +77,12 @@ QUERIES = {"p3_found": p3_found, "p3_by_month": p3_by_month, "p3_pending": p3_pe
 
 SQL = {
     "p3_found": f"WITH {_REFS_SQL} SELECT DISTINCT ref_table, ref_id FROM orphans",
-    "p3_by_month": f"WITH {_REFS_SQL} SELECT ref_table, CAST(date_trunc('month', moment) AS DATE) AS period, count(*) AS orphans FROM orphans GROUP BY 1, 2",
+    "p3_by_month": f"WITH {_REFS_SQL} SELECT ref_table, strftime(moment, '%Y-%m') AS period, count(*) AS orphans FROM orphans GROUP BY 1, 2",
     "p3_pending": f"""WITH {_REFS_SQL}, ch AS (
       SELECT ref_table, 'orphaned' AS change, moment FROM orphans WHERE moment IS NOT NULL
       UNION ALL SELECT r.ref_table, 'resolved', p.since FROM refs r JOIN (SELECT DISTINCT * FROM parents) p ON p.ref_table = r.ref_table AND p.key = r.key WHERE p.since > r.moment
       UNION ALL SELECT r.ref_table, 'reopened', p.until FROM refs r JOIN (SELECT DISTINCT * FROM parents) p ON p.ref_table = r.ref_table AND p.key = r.key WHERE p.until > r.moment),
-    m AS (SELECT ref_table, CAST(date_trunc('month', moment) AS DATE) AS period, count(*) FILTER (change = 'orphaned') AS orphaned,
+    m AS (SELECT ref_table, strftime(moment, '%Y-%m') AS period, count(*) FILTER (change = 'orphaned') AS orphaned,
             count(*) FILTER (change = 'resolved') AS resolved, count(*) FILTER (change = 'reopened') AS reopened FROM ch GROUP BY 1, 2)
     SELECT *, CAST(sum(orphaned + reopened - resolved) OVER (PARTITION BY ref_table ORDER BY period) AS BIGINT) AS pending FROM m""",
 }

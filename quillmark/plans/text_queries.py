@@ -12,6 +12,7 @@ from quillmark.plans.link_queries import _names, compare_chapters
 from quillmark.sources.tables import table
 
 R = M.rounded
+_TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 def document_words(spark: SparkSession, d: str) -> DataFrame:
@@ -154,9 +155,9 @@ def inverse_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def around_verses(spark: SparkSession, d: str) -> DataFrame:
-    """The verses before and after each verse in its chapter."""
+    """The verses before and after each verse in its chapter, 0 where there is none."""
     w = Window.partitionBy("book", "chapter").orderBy("verse", "verse_id")
-    return C.verses(spark, d).where("book is not null").select("verse_id", F.lag("verse_id").over(w).alias("before"), F.lead("verse_id").over(w).alias("after"))
+    return C.verses(spark, d).where("book is not null").select("verse_id", F.coalesce(F.lag("verse_id").over(w), F.lit(0)).alias("before"), F.coalesce(F.lead("verse_id").over(w), F.lit(0)).alias("after"))
 
 
 def sampled_verses(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +185,7 @@ def load_changes(spark: SparkSession, d: str) -> DataFrame:
     """Verses loaded more than once: first and last load, and whether the text changed between them."""
     v = table(spark, d, "verses").where("verse_id is not null and loaded is not null")
     g = v.groupBy("verse_id").agg(F.count_distinct("loaded").alias("loads"), F.min("loaded").alias("first"), F.max("loaded").alias("last"), F.min_by(F.coalesce("text", F.lit("")), "loaded").alias("a"), F.max_by(F.coalesce("text", F.lit("")), "loaded").alias("b"))
-    return g.where("loads > 1").select("verse_id", "loads", "first", "last", (F.col("a") != F.col("b")).alias("changed"))
+    return g.where("loads > 1").select("verse_id", "loads", F.date_format("first", _TIME).alias("first"), F.date_format("last", _TIME).alias("last"), (F.col("a") != F.col("b")).alias("changed"))
 
 
 def order_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -226,19 +227,19 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events by hour and type: tumbling windows."""
     e = table(spark, d, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), R(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), R(F.sum("value"), 4).alias("value")).select(F.date_format("w.start", _TIME).alias("start"), "event_type", "n", "value")
 
 
 def event_slides(spark: SparkSession, d: str) -> DataFrame:
     """Events in windows of a day that begin every six hours."""
     e = table(spark, d, "events")
-    return e.groupBy(F.window("ts", "1 day", "6 hours").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    return e.groupBy(F.window("ts", "1 day", "6 hours").alias("w")).agg(F.count("*").alias("n")).select(F.date_format("w.start", _TIME).alias("start"), "n")
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of each user: events less than half an hour apart."""
     e = table(spark, d, "events")
-    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.date_format("w.start", _TIME).alias("start"), "n")
 
 
 _WORDS = r"regexp_extract_all(translate(text, '’‘ʼ`–—', '''''''''--'), '([\p{L}\x{300}-\x{36F}\x{591}-\x{5BD}\x{5BF}-\x{5C7}]+(?:[''-][\p{L}\x{300}-\x{36F}\x{591}-\x{5BD}\x{5BF}-\x{5C7}]+)*)', 1)"
@@ -291,20 +292,20 @@ SQL = {
     "home_words": f"""{_CC}, r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY weight DESC, book) AS k, sum(weight) OVER (PARTITION BY root) AS total, count(*) OVER (PARTITION BY root) AS books FROM bc)
       SELECT root, max(book) FILTER (k = 1) AS home, max(book) FILTER (k = 2) AS second, round(max(weight) FILTER (k = 1) / max(total)::DOUBLE, 6) + 0.0 AS share FROM r WHERE books >= 2 GROUP BY 1""",
     "inverse_frequency": f"{_T} SELECT root, round(ln((SELECT count(DISTINCT verse_id) FROM ct) / count(DISTINCT verse_id)::DOUBLE), 6) + 0.0 AS idf FROM ct GROUP BY 1",
-    "around_verses": f"{_T} SELECT verse_id, lag(verse_id) OVER w AS before, lead(verse_id) OVER w AS after FROM vb WHERE book IS NOT NULL WINDOW w AS (PARTITION BY book, chapter ORDER BY verse, verse_id)",
+    "around_verses": f"{_T} SELECT verse_id, coalesce(lag(verse_id) OVER w, 0) AS before, coalesce(lead(verse_id) OVER w, 0) AS after FROM vb WHERE book IS NOT NULL WINDOW w AS (PARTITION BY book, chapter ORDER BY verse, verse_id)",
     "sampled_verses": f"{_T} SELECT verse_id FROM vb ORDER BY md5(verse_id::VARCHAR || ':7'), verse_id LIMIT 100",
     "merged_references": "SELECT from_reference, to_reference, max(relevance_score) AS best, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM cross_references WHERE from_reference IS NOT NULL AND to_reference IS NOT NULL GROUP BY 1, 2",
     "folded_formulas": f"""{_FR}, a AS (SELECT phrase, n, list_sort(list(DISTINCT verse_id)) AS at_ FROM fr GROUP BY 1, 2 HAVING count(DISTINCT verse_id) >= 2)
       SELECT DISTINCT x.phrase FROM a x JOIN a y ON x.at_ = y.at_ AND x.n < y.n WHERE contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')""",
-    "load_changes": """SELECT verse_id, count(DISTINCT loaded) AS loads, min(loaded) AS first, max(loaded) AS last, arg_min(coalesce(text, ''), loaded) <> arg_max(coalesce(text, ''), loaded) AS changed FROM verses WHERE verse_id IS NOT NULL AND loaded IS NOT NULL GROUP BY 1 HAVING count(DISTINCT loaded) > 1""",
+    "load_changes": """SELECT verse_id, count(DISTINCT loaded) AS loads, strftime(min(loaded), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(loaded), '%Y-%m-%d %H:%M:%S') AS last, arg_min(coalesce(text, ''), loaded) <> arg_max(coalesce(text, ''), loaded) AS changed FROM verses WHERE verse_id IS NOT NULL AND loaded IS NOT NULL GROUP BY 1 HAVING count(DISTINCT loaded) > 1""",
     "chapter_runs": f"""{_T}, v AS (SELECT book, chapter, sum(len(words)) AS w FROM un GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY book ORDER BY chapter) AS upto FROM v),
       n AS (SELECT a.book, a.chapter AS first, min(b.chapter) AS last, min(b.upto - a.upto + a.w)::BIGINT AS words FROM c a JOIN c b ON a.book = b.book AND b.chapter >= a.chapter AND b.upto - a.upto + a.w >= 400 GROUP BY 1, 2) SELECT * FROM n WHERE words <= 625""",
     "crux_density": f"""{_WB}, k AS (SELECT book, row_number() OVER (ORDER BY keyness DESC, book, root) AS r FROM wk WHERE keyness > 0), g AS (SELECT book, count(*) FILTER (r <= 500) AS top, count(*) AS n FROM k GROUP BY 1)
       SELECT book, top, round((top / least(500, (SELECT sum(n) FROM g))::DOUBLE) / (n / (SELECT sum(n) FROM g)::DOUBLE), 6) + 0.0 AS density FROM g""",
     "cells": f"""{_WB}, t AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY keyness DESC, root) AS k FROM wk WHERE keyness > 0), c AS (SELECT book, k, unnest(['root', 'weight', 'chapters']) AS column_name, unnest([root, weight::VARCHAR, chapters::VARCHAR]) AS value FROM t WHERE k <= 25)
       SELECT book AS page, k::INT AS row, column_name, value, try_cast(value AS DOUBLE) AS number FROM c""",
-    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS value FROM events GROUP BY 1, 2",
-    "event_slides": "SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS start, count(*) AS n FROM events CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1",
+    "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS value FROM events GROUP BY 1, 2",
+    "event_slides": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1",
     "event_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
-      SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+      SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""",
 }

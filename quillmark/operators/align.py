@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from quillmark.session import cut_lineage
 
@@ -26,9 +27,9 @@ def ibm1(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     pairs = cut_lineage(pairs)
     prob = pairs.select("s", "t").distinct().withColumn("p", F.lit(1.0))
     for _ in range(rounds):
-        x = pairs.join(prob, ["s", "t"])
-        total = x.groupBy("verse_id", "t").agg(F.sum("p").alias("total"))
-        share = x.join(total, ["verse_id", "t"]).groupBy("s", "t").agg(F.sum(F.col("n") * F.col("p") / F.col("total")).alias("c"))
+        total = F.sum("p").over(Window.partitionBy("verse_id", "t"))
+        x = pairs.join(prob, ["s", "t"]).select("s", "t", F.col("n") * F.col("p") / total)
+        share = x.toDF("s", "t", "c").groupBy("s", "t").agg(F.sum("c").alias("c"))
         prob = cut_lineage(share.join(share.groupBy("s").agg(F.sum("c").alias("all")), "s").select("s", "t", (F.col("c") / F.col("all")).alias("p")))
     return prob
 

@@ -166,16 +166,16 @@ def sampled_verses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_references(spark: SparkSession, d: str) -> DataFrame:
-    """References between the same two places as one row: best score, all ids in order."""
+    """References between the same two places as one row: best score, number of rows and first id."""
     r = table(spark, d, "cross_references").where("from_reference is not null and to_reference is not null").select("id", "from_reference", "to_reference", "relevance_score").distinct()
-    out = r.groupBy("from_reference", "to_reference").agg(F.max("relevance_score").alias("best"), F.array_join(F.transform(F.sort_array(F.collect_set("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return out
+    return r.groupBy("from_reference", "to_reference").agg(F.max("relevance_score").alias("best"), F.count_distinct("id").alias("n"), F.min("id").alias("first_id"))
 
 
 def folded_formulas(spark: SparkSession, d: str) -> DataFrame:
     """Formulas that stand inside a longer formula of just the same verses."""
     r = X.formulas(C.units(spark, d))
-    at = r.select("phrase", "verse_id", "n").distinct().groupBy("phrase", "n").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("verse_id")), lambda x: x.cast("string")), ",")).alias("at"), F.count("*").alias("verses")).where("verses >= 2")
+    same = F.struct(F.count("*").alias("verses"), F.sum(F.xxhash64("verse_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64("verse_id", F.lit(1))).alias("x"))  # a digest of the set of verses, whatever its size
+    at = r.select("phrase", "verse_id", "n").distinct().groupBy("phrase", "n").agg(same.alias("at")).where("at.verses >= 2")
     a, b = at.select("at", "phrase", "n"), at.select("at", F.col("phrase").alias("longer"), F.col("n").alias("m"))
     inside = F.instr(F.concat(F.lit(" "), F.col("longer"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))) > 0
     return a.join(b, "at").where("n < m").where(inside).select("phrase").distinct()
@@ -211,8 +211,9 @@ def chapter_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def crux_density(spark: SparkSession, d: str) -> DataFrame:
     """Each book's share of the 500 highest keyness values against its share of all rows."""
-    k = word_book(spark, d).where("keyness > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("keyness"), "book", "root")))
-    g = k.groupBy("book").agg(F.count_if(F.col("rank") <= 500).alias("top"), F.count("*").alias("n"))
+    k = word_book(spark, d).where("keyness > 0").select("book", "root", "keyness")
+    top = k.orderBy(F.desc("keyness"), "book", "root").limit(500).groupBy(F.col("book").alias("b")).agg(F.count("*").alias("top"))
+    g = k.groupBy("book").agg(F.count("*").alias("n")).join(top, F.col("book") == F.col("b"), "left").select("book", "n", F.coalesce("top", F.lit(0)).alias("top"))
     g = g.withColumn("all", g.agg(F.sum("n")).scalar())
     return g.select("book", "top", R((F.col("top") / F.least(F.lit(500), F.col("all"))) / (F.col("n") / F.col("all"))).alias("density"))
 
@@ -294,7 +295,7 @@ SQL = {
     "inverse_frequency": f"{_T} SELECT root, round(ln((SELECT count(DISTINCT verse_id) FROM ct) / count(DISTINCT verse_id)::DOUBLE), 6) + 0.0 AS idf FROM ct GROUP BY 1",
     "around_verses": f"{_T} SELECT verse_id, coalesce(lag(verse_id) OVER w, 0) AS before, coalesce(lead(verse_id) OVER w, 0) AS after FROM vb WHERE book IS NOT NULL WINDOW w AS (PARTITION BY book, chapter ORDER BY verse, verse_id)",
     "sampled_verses": f"{_T} SELECT verse_id FROM vb ORDER BY md5(verse_id::VARCHAR || ':7'), verse_id LIMIT 100",
-    "merged_references": "SELECT from_reference, to_reference, max(relevance_score) AS best, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM cross_references WHERE from_reference IS NOT NULL AND to_reference IS NOT NULL GROUP BY 1, 2",
+    "merged_references": "SELECT from_reference, to_reference, max(relevance_score) AS best, count(DISTINCT id) AS n, min(id) AS first_id FROM cross_references WHERE from_reference IS NOT NULL AND to_reference IS NOT NULL GROUP BY 1, 2",
     "folded_formulas": f"""{_FR}, a AS (SELECT phrase, n, list_sort(list(DISTINCT verse_id)) AS at_ FROM fr GROUP BY 1, 2 HAVING count(DISTINCT verse_id) >= 2)
       SELECT DISTINCT x.phrase FROM a x JOIN a y ON x.at_ = y.at_ AND x.n < y.n WHERE contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')""",
     "load_changes": """SELECT verse_id, count(DISTINCT loaded) AS loads, strftime(min(loaded), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(loaded), '%Y-%m-%d %H:%M:%S') AS last, arg_min(coalesce(text, ''), loaded) <> arg_max(coalesce(text, ''), loaded) AS changed FROM verses WHERE verse_id IS NOT NULL AND loaded IS NOT NULL GROUP BY 1 HAVING count(DISTINCT loaded) > 1""",

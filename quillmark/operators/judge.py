@@ -89,9 +89,9 @@ def balanced_limit(counts: DataFrame) -> DataFrame:
     x = counts.join(w, "root").groupBy("layer", F.least("w", F.lit(51)).alias("w")).agg(F.sum("weight").alias("n"))
     run = Window.partitionBy("layer").orderBy("w")
     total = x.groupBy("layer").agg(F.sum("n").alias("t"))
-    grid = x.select("w").distinct().where("w <= 50").join(total.withColumn("one", F.lit(1)), F.col("one") == 1).drop("one")
-    c = grid.join(x.withColumn("c", F.sum("n").over(run)).select("layer", F.col("w").alias("at"), "c"), ["layer"]).where("at <= w").groupBy("layer", "w", "t").agg(F.max("c").alias("c"))
-    share = c.groupBy("w").agg((F.max(F.col("c") / F.col("t")) - F.min(F.col("c") / F.col("t"))).alias("gap"))
+    c = x.withColumn("c", F.sum("n").over(run)).join(total, "layer").select("layer", F.col("w").alias("at"), "c", "t")
+    c = c.withColumn("w", F.explode(F.sequence(F.least(F.col("at"), F.lit(50)), F.lit(50)))).where("at <= w").groupBy("layer", "w").agg((F.max("c") / F.max("t")).alias("s"))
+    share = c.groupBy("w").agg((F.max("s") - F.min("s")).alias("gap"))
     return share.orderBy("gap", "w").limit(1).select(F.col("w").alias("limit"), "gap")
 
 

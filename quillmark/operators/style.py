@@ -44,7 +44,7 @@ def rates(words: DataFrame, chosen: DataFrame) -> DataFrame:
     """(book, feature, rate) per thousand words, zero where a book lacks the feature; books times features rows."""
     size = words.groupBy("book").agg(F.sum("weight").alias("total"))
     counts = words.join(chosen, words["word"] == chosen["feature"]).select("book", "feature", "weight")
-    grid = size.join(chosen.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).drop("one")
+    grid = size.withColumn("all", chosen.agg(F.collect_list("feature")).scalar()).select("book", "total", F.explode("all").alias("feature"))
     return grid.join(counts, ["book", "feature"], "left").select("book", "feature", (1000 * F.coalesce("weight", F.lit(0)) / F.col("total")).alias("rate"))
 
 
@@ -60,7 +60,7 @@ def delta(z: DataFrame) -> DataFrame:
 
 
 def yardstick(values: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """(share, value): the value at place int(share * n) of the sorted values, without interpolation."""
+    """(share, value): the value at place int(share * n) of the sorted values, without interpolation. For values by pair of books, so few."""
     n = values.count()
     at = {s: min(n - 1, int(s * n)) for s in shares}
     ranked = values.select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("i"))

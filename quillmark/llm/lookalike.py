@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quillmark.session import cut_lineage
+
 # Letters of Latin, Greek and Cyrillic with one shape; each row is one lattice class.
 LOOKALIKES = """
 a а
@@ -201,8 +203,11 @@ def one_form(df: DataFrame, text: str, counts: dict[tuple[str, str], int], form:
 
 
 def united(rows: DataFrame) -> DataFrame:
-    """Rows (field_name, key, text, form) whose form unites different texts, as (field_name, form_id, text_id, key)."""
-    r = rows.select("field_name", F.unhex(F.md5("form")).alias("form_id"), F.unhex(F.md5("text")).alias("text_id"), "key").distinct()
+    """Rows (field_name, key, text, form) whose form unites different texts, as (field_name, form_id, text_id, key).
+
+    The digests are written once, since forms are costly and every later step starts from them.
+    """
+    r = cut_lineage(rows.select("field_name", F.unhex(F.md5("form")).alias("form_id"), F.unhex(F.md5("text")).alias("text_id"), "key").distinct())
     several = r.groupBy("field_name", "form_id").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("field_name", "form_id")
     return r.join(several, ["field_name", "form_id"], "left_semi")
 

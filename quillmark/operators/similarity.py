@@ -86,6 +86,18 @@ def parallels(units: DataFrame, pairs: DataFrame, least: int = 3, share: float =
     return out.where((F.col("common") >= least) & (F.col("likeness") >= share)).drop("ua", "ub")
 
 
+def render_run(here: list[str], there: list[str]) -> str:
+    """A shared run as text, with what differs between its ends as [here / there]."""
+    k = 0
+    while k < min(len(here), len(there)) and here[k] == there[k]:
+        k += 1
+    j = 0
+    while j < min(len(here), len(there)) - k and here[-1 - j] == there[-1 - j]:
+        j += 1
+    gap = [] if len(here) == len(there) == k + j else [f"[{' '.join(here[k : len(here) - j]) or '-'} / {' '.join(there[k : len(there) - j]) or '-'}]"]
+    return " ".join([*here[:k], *gap, *here[len(here) - j :]])
+
+
 def maximal_runs(near: DataFrame, far: DataFrame, n: int, most: int) -> DataFrame:
     """(near_verse, far_verse, near_at, far_at, length): longest runs that a near and a far verse share.
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quillmark.functions import measures as M, text as T
 from quillmark.operators import corpus as C, facts as X, links as L, tagging as G
 from quillmark.plans.fact_queries import _CC, _FR, _T, _WB, word_book
-from quillmark.plans.link_queries import _names, compare_chapters
+from quillmark.plans.link_queries import SQL as LINK_SQL, _names, compare_chapters
 from quillmark.sources.tables import table
 
 R = M.rounded
@@ -299,6 +299,12 @@ SQL = {
     "folded_formulas": f"""{_FR}, a AS (SELECT phrase, n, list_sort(list(DISTINCT verse_id)) AS at_ FROM fr GROUP BY 1, 2 HAVING count(DISTINCT verse_id) >= 2)
       SELECT DISTINCT x.phrase FROM a x JOIN a y ON x.at_ = y.at_ AND x.n < y.n WHERE contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')""",
     "load_changes": """SELECT verse_id, count(DISTINCT loaded) AS loads, strftime(min(loaded), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(loaded), '%Y-%m-%d %H:%M:%S') AS last, arg_min(coalesce(text, ''), loaded) <> arg_max(coalesce(text, ''), loaded) AS changed FROM verses WHERE verse_id IS NOT NULL AND loaded IS NOT NULL GROUP BY 1 HAVING count(DISTINCT loaded) > 1""",
+    "order_runs": f"""{LINK_SQL["compare_chapters"].replace('SELECT x.book AS book_a', ', cmp AS (SELECT x.book AS book_a', 1)}),
+      bo AS (SELECT book_a, chapter_a, book_b, chapter_b, shared FROM cmp UNION ALL SELECT book_b, chapter_b, book_a, chapter_a, shared FROM cmp),
+      be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_a, chapter_a, book_b ORDER BY shared DESC, chapter_b) AS k FROM bo) WHERE k = 1),
+      nw AS (SELECT *, CASE WHEN chapter_b >= lag(chapter_b) OVER w THEN 0 ELSE 1 END AS new FROM be WINDOW w AS (PARTITION BY book_a, book_b ORDER BY chapter_a)),
+      rn AS (SELECT *, sum(new) OVER (PARTITION BY book_a, book_b ORDER BY chapter_a) AS run FROM nw)
+      SELECT book_a, book_b, count(*) AS chapters, min(chapter_a) AS first, max(chapter_a) AS last FROM rn GROUP BY book_a, book_b, run HAVING count(*) >= 3""",
     "chapter_runs": f"""{_T}, v AS (SELECT book, chapter, sum(len(words)) AS w FROM un GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY book ORDER BY chapter) AS upto FROM v),
       n AS (SELECT a.book, a.chapter AS first, min(b.chapter) AS last, min(b.upto - a.upto + a.w)::BIGINT AS words FROM c a JOIN c b ON a.book = b.book AND b.chapter >= a.chapter AND b.upto - a.upto + a.w >= 400 GROUP BY 1, 2) SELECT * FROM n WHERE words <= 625""",
     "crux_density": f"""{_WB}, k AS (SELECT book, row_number() OVER (ORDER BY keyness DESC, book, root) AS r FROM wk WHERE keyness > 0), g AS (SELECT book, count(*) FILTER (r <= 500) AS top, count(*) AS n FROM k GROUP BY 1)

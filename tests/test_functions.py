@@ -89,6 +89,11 @@ def test_stems(spark):
     assert {r[0]: r[1] for r in df.select("w", T.stems(F.col("w"), known | {"come"})).collect()} == cases | {None: None}
 
 
+def test_normal_forms():
+    old = {"shew": "show", "publick": "public", "shewed": "showed"}
+    assert [T.normal_form(w, old) for w in ("Shew", "shewed", "Lord's", "Beth-el", "publick")] == ["show", "show", "lord", "bethel", "public"]
+
+
 def test_transliteration():
     assert T.greek_latin("λόγος") == "logos" and T.greek_latin("ἄγγελος") == "angelos" and T.greek_latin("ὕδωρ") == "hudor" and T.greek_latin("Χριστός") == "Christos"
     assert T.hebrew_latin("שָׁלוֹם") == "shalom" and T.hebrew_latin("דָּבָר") == "davar" and T.hebrew_latin("בֵּן") == "ben" and T.hebrew_latin("שִׂים") == "sim"

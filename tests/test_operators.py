@@ -188,3 +188,9 @@ def test_sections_families_roots_and_peaks(spark):
     assert sorted(r["i"] for r in V.local_peaks(vals, "g", "i", "v", 2).collect()) == [1, 5]
     scored = spark.createDataFrame([(1, "x", 2), (1, "y", 3), (2, "b", 1), (2, "a", 1)], "record long, column_name string, score int")
     assert {r["record"]: r["column_name"] for r in V.best_column(scored).collect()} == {1: "y", 2: "a"}
+
+
+def test_rendered_runs():
+    assert S.render_run("a b c d".split(), "a b c d".split()) == "a b c d"
+    assert S.render_run("a b c d".split(), "a x c d".split()) == "a [b / x] c d"
+    assert S.render_run("a b d".split(), "a b c d".split()) == "a b [- / c] d" and S.render_run([], ["x"]) == "[- / x]"

@@ -44,35 +44,37 @@ def weight_scales(chapters: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def comparison_totals(counts: DataFrame, books: DataFrame) -> DataFrame:
+def chapter_sizes(tokens: DataFrame) -> DataFrame:
+    """(book, chapter, words): all word occurrences, function words too; what rates and keyness are measured by."""
+    return tokens.groupBy("book", "chapter").agg(F.count("*").alias("words"))
+
+
+def comparison_totals(counts: DataFrame, books: DataFrame, sizes: DataFrame) -> DataFrame:
     """``counts`` (book, root, weight, ...) with the totals each root is held against, by the language rule.
 
-    A tagged root is compared inside its book's testament, a stem with the whole text: ``layer`` names the comparison text. Adds
-    ``layer_root`` (occurrences of the root there) and ``layer_total``. Books that the book list doesn't name count as a layer
-    of their own. The totals are sums over the counts; by book they are few rows.
+    A tagged root is compared with its book's testament, a stem with the whole text. Adds ``root_total`` (all uses of the root) and
+    ``layer_total`` (words of the comparison text). Books that the book list doesn't name make a layer of their own. The totals are
+    sums over counts; by book they are few rows.
     """
-    c = counts.join(books.select("book", "testament"), "book", "left").withColumn("testament", F.coalesce("testament", F.lit("")))
-    sizes = c.groupBy("testament").agg(F.sum("weight").alias("n"))
-    layers = sizes.select(F.col("testament").alias("layer"), F.col("n").alias("layer_total")).unionByName(sizes.agg(F.lit(ALL).alias("layer"), F.sum("n").alias("layer_total")))
-    c = c.withColumn("layer", F.when(F.col("root").rlike(ROOT), F.col("testament")).otherwise(F.lit(ALL)))
-    roots = c.groupBy("layer", "root").agg(F.sum("weight").alias("layer_root"))
-    return c.join(roots, ["layer", "root"]).join(layers, "layer").drop("testament")
-
-
-def book_keyness(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """Keyness of every root in its book against the rest of its layer: (book, root, weight, verses, chapters, keyness)."""
-    b = comparison_totals(book_counts(chapters), books)
-    sizes = chapters.groupBy("book").agg(F.sum("weight").alias("book_total"))
-    b = b.join(sizes, "book")
-    key = M.g2("weight", F.col("layer_root") - F.col("weight"), "book_total", F.col("layer_total") - F.col("book_total"))
-    return b.select("book", "root", "weight", "verses", "chapters", "book_total", "layer_root", "layer_total", key.alias("keyness"))
-
-
-def chapter_keyness(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    c = comparison_totals(chapters, books)
-    sizes = chapters.groupBy("book", "chapter").agg(F.sum("weight").alias("chapter_total"))
-    c = c.join(sizes, ["book", "chapter"])
-    key = M.g2("weight", F.col("layer_root") - F.col("weight"), "chapter_total", F.col("layer_total") - F.col("chapter_total"))
+    named = books.select("book", "testament")
+    layers = sizes.join(named, "book", "left").groupBy(F.coalesce("testament", F.lit("")).alias("layer")).agg(F.sum("words").alias("layer_total"))
+    layers = layers.unionByName(sizes.agg(F.lit(ALL).alias("layer"), F.sum("words").alias("layer_total")))
+    c = counts.join(named, "book", "left")
+    c = c.withColumn("layer", F.when(F.col("root").rlike(ROOT), F.coalesce("testament", F.lit(""))).otherwise(F.lit(ALL)))
+    roots = counts.groupBy("root").agg(F.sum("weight").alias("root_total"))
+    return c.join(roots, "root").join(layers, "layer").drop("testament", "layer")
+
+
+def book_keyness(chapters: DataFrame, books: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Keyness of every root in its book against the rest of its layer: (book, root, weight, verses, chapters, book_total, keyness)."""
+    b = comparison_totals(book_counts(chapters), books, sizes).join(sizes.groupBy("book").agg(F.sum("words").alias("book_total")), "book")
+    key = M.g2("weight", F.col("root_total") - F.col("weight"), "book_total", F.col("layer_total") - F.col("book_total"))
+    return b.select("book", "root", "weight", "verses", "chapters", "book_total", key.alias("keyness"))
+
+
+def chapter_keyness(chapters: DataFrame, books: DataFrame, sizes: DataFrame) -> DataFrame:
+    c = comparison_totals(chapters, books, sizes).join(sizes, ["book", "chapter"])
+    key = M.g2("weight", F.col("root_total") - F.col("weight"), "words", F.col("layer_total") - F.col("words"))
     return c.select("book", "chapter", "root", "weight", "verses", key.alias("keyness"))
 
 
@@ -124,12 +126,12 @@ def with_total(df: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     return df.select(F.col("book").alias("scope"), *keys, *sums).unionByName(whole)
 
 
-def pull(neighbours_: DataFrame, windows: DataFrame, books: DataFrame, least: int = 1, least_all: int = 2) -> DataFrame:
+def pull(neighbours_: DataFrame, windows: DataFrame, sizes: DataFrame, least: int = 1, least_all: int = 2) -> DataFrame:
     """(scope, focus, neighbour, n, pull): log-likelihood of a neighbour inside the windows against outside, by book and for all."""
     n = with_total(neighbours_, ["focus", "neighbour"], ["n"]).where(F.col("n") >= F.when(F.col("scope") == ALL, least_all).otherwise(least))
     f = with_total(windows, ["focus"], ["occurrences", "inside"])
     weights = f.select("scope", F.col("focus").alias("neighbour"), F.col("occurrences").alias("weight"))
-    totals = f.groupBy("scope").agg(F.sum("occurrences").alias("total"))
+    totals = with_total(sizes.groupBy("book").agg(F.sum("words").alias("total")), [], ["total"])
     out = n.join(f, ["scope", "focus"]).join(weights, ["scope", "neighbour"]).join(totals, "scope")
     return out.select("scope", "focus", "neighbour", "n", M.g2("n", F.col("weight") - F.col("n"), "inside", F.col("total") - F.col("inside")).alias("pull"))
 

@@ -11,14 +11,22 @@ from quillmark.functions.sequences import lcs
 from quillmark.operators.facts import is_stop
 
 
-def rare_roots(content: DataFrame, limit: int = RARE) -> DataFrame:
-    """(root, rarity) of the roots that are at most one in ``limit`` content words."""
-    w = content.groupBy("root").agg(F.count("*").alias("weight"))
-    w = w.withColumn("total", w.agg(F.sum("weight")).scalar())
-    return w.where(F.col("weight") * limit <= F.col("total")).select("root", M.rarity("weight", "total").alias("rarity"))
+def rarities(tokens: DataFrame, books: DataFrame) -> DataFrame:
+    """(root, weight, total, rarity): how rare a content root is among all words of its text; a tagged root's text is its testament, OT for H and NT for G."""
+    w = tokens.where("root is not null and not is_stop").groupBy("root").agg(F.count("*").alias("weight"))
+    n = tokens.groupBy("book").agg(F.count("*").alias("n")).join(books.select("book", "testament"), "book", "left")
+    part = lambda t: n.agg(F.sum(F.when(F.col("testament") == t, F.col("n")))).scalar()
+    w = w.withColumns({"ot": part("OT"), "nt": part("NT"), "every": n.agg(F.sum("n")).scalar()})
+    w = w.withColumn("total", F.when(F.col("root").rlike(r"^H\d+$"), F.col("ot")).when(F.col("root").rlike(r"^G\d+$"), F.col("nt")).otherwise(F.col("every")))
+    return w.select("root", "weight", "total", M.rarity("weight", "total").alias("rarity"))
 
 
-def kin(content: DataFrame, least: int = 3, limit: int = RARE) -> DataFrame:
+def rare_roots(tokens: DataFrame, books: DataFrame, limit: int = RARE) -> DataFrame:
+    """(root, rarity) of the content roots that are at most one in ``limit`` words."""
+    return rarities(tokens, books).where(F.col("weight") * limit <= F.col("total")).select("root", "rarity")
+
+
+def kin(tokens: DataFrame, books: DataFrame, least: int = 3, limit: int = RARE) -> DataFrame:
     """(verse_a, verse_b, shared, score): verses that share at least ``least`` = 3 rare roots.
 
     Joined on triples of rare roots, so that only pairs which qualify ever meet; a single rare root, which a growing text uses ever
@@ -26,8 +34,8 @@ def kin(content: DataFrame, least: int = 3, limit: int = RARE) -> DataFrame:
     """
     if least != 3:
         raise ValueError("the join is made on triples")
-    rare = rare_roots(content, limit)
-    words = content.groupBy("verse_id", "root").agg(F.min("position").alias("at")).join(rare, "root")
+    rare = rare_roots(tokens, books, limit)
+    words = tokens.where("root is not null and not is_stop").groupBy("verse_id", "root").agg(F.min("position").alias("at")).join(rare, "root")
     verses = words.groupBy("verse_id").agg(F.sort_array(F.collect_list(F.struct("root", "rarity", "at"))).alias("r")).where(F.size("r") >= 3)
     n = F.size("r")
     triples = F.flatten(F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, n), lambda y, j: F.transform(F.slice("r", i + j + 3, n), lambda z: F.xxhash64(x["root"], y["root"], z["root"]))))))
@@ -78,8 +86,13 @@ def run_pairs(runs: DataFrame, most: int) -> DataFrame:
     return pairs.groupBy(F.col("a.verse_id").alias("verse_a"), F.col("a.book").alias("book_a"), F.col("b.verse_id").alias("verse_b"), F.col("b.book").alias("book_b")).agg(F.count("*").alias("hits"))
 
 
+def verse_roots(content: DataFrame) -> DataFrame:
+    """(verse_id, units): the content roots of each verse in their order."""
+    return content.groupBy("verse_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "root"))), lambda x: x["root"]).alias("units"))
+
+
 def parallels(units: DataFrame, pairs: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
-    """Of candidate pairs those whose units share a common subsequence of ``least`` and of ``share`` of the shorter verse."""
+    """Of candidate pairs those whose roots share a common subsequence of ``least`` and of ``share`` of the shorter verse."""
     u = units.select("verse_id", "units")
     out = pairs.join(u.select(F.col("verse_id").alias("verse_a"), F.col("units").alias("ua")), "verse_a").join(u.select(F.col("verse_id").alias("verse_b"), F.col("units").alias("ub")), "verse_b")
     out = out.withColumn("common", lcs("ua", "ub")).withColumn("likeness", F.col("common") / F.least(F.size("ua"), F.size("ub")))

@@ -22,9 +22,12 @@ def peers(books: DataFrame) -> DataFrame:
     return pairs.where("own or n < 2").select("book", "peer")
 
 
-def book_lift(counts: DataFrame, books: DataFrame, cushion: float = 2.0) -> DataFrame:
-    """(book, root, observed, expected, lift) for the roots of each book; expected from the rate of its peers, itself left out."""
-    size = counts.groupBy("book").agg(F.sum("weight").alias("total"))
+def book_lift(counts: DataFrame, books: DataFrame, sizes: DataFrame, cushion: float = 2.0) -> DataFrame:
+    """(book, root, observed, expected, lift) for the roots of each book; expected from the rate of its peers, itself left out.
+
+    ``sizes`` (book, own) are all words of the books.
+    """
+    size = sizes.select("book", F.col("own").alias("total"))
     p = peers(books)
     peer_size = p.join(size.withColumnRenamed("book", "peer"), "peer").groupBy("book").agg(F.sum("total").alias("peer_total"))
     peer_counts = p.join(counts.select(F.col("book").alias("peer"), "root", F.col("weight").alias("w")), "peer").groupBy("book", "root").agg(F.sum("w").alias("peer_weight"))

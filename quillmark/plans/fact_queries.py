@@ -16,12 +16,17 @@ def _chapters(spark: SparkSession, d: str) -> DataFrame:
     return X.chapter_counts(C.content(spark, d))
 
 
+def chapter_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts by chapter, the book list, and all words by chapter."""
+    return _chapters(spark, d), C.books(spark, d), X.chapter_sizes(C.tokens(spark, d))
+
+
 def weight_scales(spark: SparkSession, d: str) -> DataFrame:
     return X.weight_scales(_chapters(spark, d))
 
 
 def word_book(spark: SparkSession, d: str) -> DataFrame:
-    return X.book_keyness(_chapters(spark, d), C.books(spark, d)).select("book", "root", "weight", "verses", "chapters", R(F.col("keyness")).alias("keyness"))
+    return X.book_keyness(*chapter_facts(spark, d)).select("book", "root", "weight", "verses", "chapters", R(F.col("keyness")).alias("keyness"))
 
 
 def signature_words(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +39,11 @@ def signature_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_chapter(spark: SparkSession, d: str) -> DataFrame:
-    return X.chapter_keyness(_chapters(spark, d), C.books(spark, d)).withColumn("keyness", R(F.col("keyness")))
+    return X.chapter_keyness(*chapter_facts(spark, d)).withColumn("keyness", R(F.col("keyness")))
 
 
 def depth(spark: SparkSession, d: str) -> DataFrame:
-    return X.depth(X.chapter_keyness(_chapters(spark, d), C.books(spark, d)), ["book", "root"])
+    return X.depth(X.chapter_keyness(*chapter_facts(spark, d)), ["book", "root"])
 
 
 def common_form(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +66,7 @@ def focus_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def _pull(spark: SparkSession, d: str) -> DataFrame:
     t = C.tokens(spark, d)
-    return X.pull(X.neighbours(t), X.focus_windows(t), C.books(spark, d))
+    return X.pull(X.neighbours(t), X.focus_windows(t), X.chapter_sizes(t))
 
 
 def pull(spark: SparkSession, d: str) -> DataFrame:
@@ -85,8 +90,8 @@ def neighbours_rest(spark: SparkSession, d: str) -> DataFrame:
     n, f = X.neighbours(t), X.focus_windows(t)
     total = n.groupBy("focus", "neighbour").agg(F.sum("n").alias("all_n"))
     whole = f.groupBy("focus").agg(F.sum("inside").alias("all_inside"), F.sum("occurrences").alias("all_w"))
-    size = f.groupBy("book").agg(F.sum("occurrences").alias("book_total"))
-    every = f.agg(F.sum("occurrences")).scalar()
+    size = X.chapter_sizes(t).groupBy("book").agg(F.sum("words").alias("book_total"))
+    every = size.agg(F.sum("book_total")).scalar()
     rest = n.join(total, ["focus", "neighbour"]).withColumn("rest", F.col("all_n") - F.col("n")).where("rest >= 2")
     own = f.select("book", "focus", "inside")
     own_w = f.select("book", F.col("focus").alias("neighbour"), F.col("occurrences").alias("own_w"))
@@ -140,17 +145,20 @@ def echoes_across(spark: SparkSession, d: str) -> DataFrame:
 _T = f"WITH {C.SQL}"
 _CC = f"""{_T}, cc AS (SELECT book, chapter, root, count(*) AS weight, count(DISTINCT verse_id) AS verses FROM ct GROUP BY 1, 2, 3),
 bc AS (SELECT book, root, sum(weight)::BIGINT AS weight, sum(verses)::BIGINT AS verses, count(*) AS chapters FROM cc GROUP BY 1, 2),
+ts AS (SELECT book, chapter, count(*) AS n FROM tk GROUP BY 1, 2),
 lay AS (SELECT cc.*, CASE WHEN regexp_matches(root, '^[HG]\\d+$') THEN coalesce(testament, '') ELSE '(all)' END AS layer, coalesce(testament, '') AS testament FROM cc LEFT JOIN bk USING (book)),
-lr AS (SELECT layer, root, sum(weight) AS lr FROM lay GROUP BY 1, 2),
-lt AS (SELECT testament AS layer, sum(weight) AS lt FROM lay GROUP BY 1 UNION ALL SELECT '(all)', sum(weight) FROM lay)
+lr AS (SELECT root, sum(weight) AS lr FROM cc GROUP BY 1),
+lt AS (SELECT coalesce(testament, '') AS layer, sum(n) AS lt FROM ts LEFT JOIN bk USING (book) GROUP BY 1 UNION ALL SELECT '(all)', sum(n) FROM ts)
 """
-_WB = f"""{_CC}, bt AS (SELECT book, sum(weight) AS bt FROM cc GROUP BY 1),
-wb AS (SELECT book, root, sum(weight)::BIGINT AS weight, sum(verses)::BIGINT AS verses, count(*) AS chapters, any_value(lr) AS lr, any_value(lt) AS lt, any_value(bt) AS bt FROM lay JOIN lr USING (layer, root) JOIN lt USING (layer) JOIN bt USING (book) GROUP BY 1, 2),
+_WB = f"""{_CC}, bt AS (SELECT book, sum(n) AS bt FROM ts GROUP BY 1),
+wb AS (SELECT book, root, sum(weight)::BIGINT AS weight, sum(verses)::BIGINT AS verses, count(*) AS chapters, any_value(lr) AS lr, any_value(lt) AS lt, any_value(bt) AS bt FROM lay JOIN lr USING (root) JOIN lt USING (layer) JOIN bt USING (book) GROUP BY 1, 2),
 wk AS (SELECT book, root, weight, verses, chapters, round({M.sql_g2('weight', 'lr - weight', 'bt', 'lt - bt')}, 6) + 0.0 AS keyness FROM wb)
 """
-_WC = f"""{_CC}, ch AS (SELECT book, chapter, sum(weight) AS n FROM cc GROUP BY 1, 2),
-wc AS (SELECT book, chapter, root, weight, verses, round({M.sql_g2('weight', 'lr - weight', 'n', 'lt - n')}, 6) + 0.0 AS keyness FROM lay JOIN lr USING (layer, root) JOIN lt USING (layer) JOIN ch USING (book, chapter))
+_WC = f"""{_CC}, ch AS (SELECT * FROM ts),
+wc AS (SELECT book, chapter, root, weight, verses, round({M.sql_g2('weight', 'lr - weight', 'n', 'lt - n')}, 6) + 0.0 AS keyness FROM lay JOIN lr USING (root) JOIN lt USING (layer) JOIN ch USING (book, chapter))
 """
+_RO = """wt AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), tn AS (SELECT coalesce(testament, '') AS t, count(*) AS n FROM tk LEFT JOIN bk USING (book) GROUP BY 1),
+ro AS (SELECT root, w, n, -ln(w / n::DOUBLE) AS rarity FROM (SELECT root, w, CASE WHEN regexp_matches(root, '^H\\d+$') THEN (SELECT sum(n) FROM tn WHERE t = 'OT') WHEN regexp_matches(root, '^G\\d+$') THEN (SELECT sum(n) FROM tn WHERE t = 'NT') ELSE (SELECT sum(n) FROM tn) END AS n FROM wt))"""
 _NB = f"""{_T}, ix AS (SELECT *, row_number() OVER (PARTITION BY verse_id ORDER BY position) - 1 AS i, count(*) OVER (PARTITION BY verse_id) AS m FROM tk),
 nb AS (SELECT a.book, a.root AS focus, b.root AS neighbour, count(*) AS n FROM ix a JOIN ix b ON a.verse_id = b.verse_id AND a.i <> b.i AND abs(a.i - b.i) <= 5
   WHERE a.root IS NOT NULL AND b.root IS NOT NULL AND NOT a.is_stop AND NOT b.is_stop AND a.root <> b.root GROUP BY 1, 2, 3),
@@ -158,7 +166,7 @@ fw AS (SELECT book, root AS focus, count(*) AS occurrences, sum(least(i, 5) + le
 """
 _PL = f"""{_NB}, ns AS (SELECT book AS scope, focus, neighbour, n FROM nb UNION ALL SELECT '(all)', focus, neighbour, sum(n)::BIGINT FROM nb GROUP BY 2, 3 HAVING sum(n) >= 2),
 fs AS (SELECT book AS scope, focus, occurrences, inside FROM fw UNION ALL SELECT '(all)', focus, sum(occurrences)::BIGINT, sum(inside)::BIGINT FROM fw GROUP BY 2),
-st AS (SELECT scope, sum(occurrences) AS total FROM fs GROUP BY 1),
+st AS (SELECT book AS scope, count(*) AS total FROM tk GROUP BY 1 UNION ALL SELECT '(all)', count(*) FROM tk),
 pl AS (SELECT ns.scope, ns.focus, ns.neighbour, n, {M.sql_g2('n', 'w.occurrences - n', 'f.inside', 'total - f.inside')} AS pull
   FROM ns JOIN fs f ON f.scope = ns.scope AND f.focus = ns.focus JOIN fs w ON w.scope = ns.scope AND w.focus = ns.neighbour JOIN st ON st.scope = ns.scope)
 """
@@ -210,7 +218,7 @@ SQL = {
     "neighbours_beside": f"""{_PL}, q AS (SELECT focus, neighbour, n, round(pull, 6) + 0.0 AS pull FROM pl JOIN fs USING (scope, focus) WHERE scope = '(all)' AND pull > 0 AND occurrences >= 5)
       SELECT focus, rank::INT AS rank, neighbour, n, pull FROM (SELECT *, row_number() OVER (PARTITION BY focus ORDER BY pull DESC, neighbour) AS rank FROM q) WHERE rank <= 15""",
     "neighbours_rest": f"""{_NB}, al AS (SELECT focus, neighbour, sum(n)::BIGINT AS all_n FROM nb GROUP BY 1, 2), wh AS (SELECT focus, sum(inside) AS ai, sum(occurrences) AS aw FROM fw GROUP BY 1),
-      sz AS (SELECT book, sum(occurrences) AS bt FROM fw GROUP BY 1), ev AS (SELECT sum(occurrences) AS ev FROM fw),
+      sz AS (SELECT book, count(*) AS bt FROM tk GROUP BY 1), ev AS (SELECT count(*) AS ev FROM tk),
       j AS (SELECT nb.book, nb.focus, nb.neighbour, all_n - n AS rest, f.inside, o.occurrences AS ow, w1.ai - f.inside AS ins, w2.aw - o.occurrences - (all_n - n) AS b, ev - bt AS others FROM nb JOIN al USING (focus, neighbour)
         JOIN fw f ON f.book = nb.book AND f.focus = nb.focus JOIN fw o ON o.book = nb.book AND o.focus = nb.neighbour JOIN wh w1 ON w1.focus = nb.focus JOIN wh w2 ON w2.focus = nb.neighbour JOIN sz ON sz.book = nb.book CROSS JOIN ev WHERE all_n - n >= 2)
       SELECT book, focus, neighbour, rest, round({M.sql_g2('rest', 'b', 'ins', 'others - ins')}, 6) + 0.0 AS pull FROM j""",

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.functions import measures as M
 from quillmark.operators import corpus as C, facts as X, links as L, similarity as S
-from quillmark.plans.fact_queries import _FR, _T, _stop, _sub
+from quillmark.plans.fact_queries import _FR, _RO, _T, _stop, _sub
 from quillmark.sources.tables import table
 
 R = M.rounded
 
 
 def kin(spark: SparkSession, d: str) -> DataFrame:
-    return S.kin(C.content(spark, d)).select("verse_a", "verse_b", "shared", R(F.col("score")).alias("score"))
+    return S.kin(C.tokens(spark, d), C.books(spark, d)).select("verse_a", "verse_b", "shared", R(F.col("score")).alias("score"))
 
 
 def kin_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return S.kin_ordered(S.kin(C.content(spark, d))).withColumn("score", R(F.col("score")))
+    return S.kin_ordered(S.kin(C.tokens(spark, d), C.books(spark, d))).withColumn("score", R(F.col("score")))
 
 
 def shared_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def parallel_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parallels(spark: SparkSession, d: str) -> DataFrame:
-    return S.parallels(C.units(spark, d), _run_pairs(spark, d).where("book_a <> book_b")).withColumn("likeness", R(F.col("likeness")))
+    return S.parallels(S.verse_roots(C.content(spark, d)), _run_pairs(spark, d).where("book_a <> book_b")).withColumn("likeness", R(F.col("likeness")))
 
 
 def synopsis(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ QUERIES = {
 }
 
 SQL = {
-    "kin": f"""{_T}, w AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), n AS (SELECT sum(w) AS n FROM w), ra AS (SELECT root, -ln(w / n::DOUBLE) AS rarity FROM w CROSS JOIN n WHERE w * 2000 <= n),
+    "kin": f"""{_T}, {_RO}, ra AS (SELECT root, rarity FROM ro WHERE w * 2000 <= n),
       v AS (SELECT DISTINCT verse_id, root, rarity FROM ct JOIN ra USING (root))
       SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*)::INT AS shared, round(sum(a.rarity), 6) + 0.0 AS score FROM v a JOIN v b ON a.root = b.root AND a.verse_id < b.verse_id GROUP BY 1, 2 HAVING count(*) >= 3""",
     "shared_vocabulary": f"""{_T}, c AS (SELECT DISTINCT book, chapter, root FROM ct), z AS (SELECT book, count(DISTINCT chapter) AS n FROM c GROUP BY 1), f AS (SELECT book, root, count(*) AS df FROM c GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 5)

@@ -9,7 +9,7 @@ from quillmark.functions import measures as M, sequences as Q, text as T
 from quillmark.functions.lists import STOPLIST, sql_list
 from quillmark.operators import corpus as C, facts as X, judge as J, similarity as S, strips as H
 from quillmark.plans import fact_queries as FQ, link_queries as LQ, mining_queries as MQ, style_queries as YQ
-from quillmark.plans.fact_queries import _CC, _FR, _NB, _T, _WB, _sub
+from quillmark.plans.fact_queries import _CC, _FR, _RO, _T, _sub
 from quillmark.plans.link_queries import _LN, _PV
 from quillmark.plans.style_queries import _ST
 from quillmark.sources.tables import table
@@ -112,7 +112,7 @@ def within_echoes(spark: SparkSession, d: str) -> DataFrame:
 def cited_roots(spark: SparkSession, d: str) -> DataFrame:
     """Listed verse links whose verses share a rare root, with the rarest."""
     c = C.content(spark, d)
-    rare = c.select("verse_id", "root").distinct().join(S.rare_roots(c, 500), "root")
+    rare = c.select("verse_id", "root").distinct().join(S.rare_roots(C.tokens(spark, d), C.books(spark, d), 500), "root")
     v = LQ.link_votes(spark, d).where("votes >= 2")
     a = v.join(rare.select(F.col("verse_id").alias("from_verse"), "root", "rarity"), "from_verse")
     b = a.join(rare.select(F.col("verse_id").alias("to_verse"), "root"), ["to_verse", "root"])
@@ -315,7 +315,7 @@ def region_revenue(spark: SparkSession, d: str) -> DataFrame:
 
 
 _stop = sql_list(STOPLIST)
-_KIN = f"""{_LN}, kw AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), kr AS (SELECT root, -ln(w / (SELECT sum(w) FROM kw)::DOUBLE) AS rarity FROM kw WHERE w * 2000 <= (SELECT sum(w) FROM kw)),
+_KIN = f"""{_LN}, {_RO}, kr AS (SELECT root, rarity FROM ro WHERE w * 2000 <= n),
 kv AS (SELECT DISTINCT verse_id, root, rarity FROM ct JOIN kr USING (root)), kn AS (SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*)::INT AS shared, round(sum(a.rarity), 6) + 0.0 AS score FROM kv a JOIN kv b ON a.root = b.root AND a.verse_id < b.verse_id GROUP BY 1, 2 HAVING count(*) >= 3)
 """
 
@@ -342,7 +342,7 @@ SQL = {
     "layer_difference": f"""{_PV}, v AS (SELECT verse_id, testament FROM vb JOIN bk USING (book)), z AS (SELECT testament, count(*) AS size FROM v GROUP BY 1), o AS (SELECT passage_id, testament, count(*) AS own FROM pv JOIN v USING (verse_id) GROUP BY 1, 2)
       SELECT passage_id, testament, own, size - own AS baseline FROM o JOIN z USING (testament)""",
     "within_echoes": f"""{_FR}, c AS (SELECT DISTINCT phrase, book, chapter FROM fr WHERE n >= 3 AND {_sub('wording')}) SELECT book, phrase, count(*) AS chapters, min(chapter) AS chapter_a, max(chapter) AS chapter_b, count(*) >= 3 AS refrain FROM c GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "cited_roots": f"""{_LN}, w AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), r AS (SELECT root, -ln(w / (SELECT sum(w) FROM w)::DOUBLE) AS rarity FROM w WHERE w * 500 <= (SELECT sum(w) FROM w)), q AS (SELECT DISTINCT verse_id, root, rarity FROM ct JOIN r USING (root))
+    "cited_roots": f"""{_LN}, {_RO}, r AS (SELECT root, rarity FROM ro WHERE w * 500 <= n), q AS (SELECT DISTINCT verse_id, root, rarity FROM ct JOIN r USING (root))
       SELECT from_verse, to_verse, count(*) AS roots, max(votes) AS votes, round(max(a.rarity), 6) + 0.0 AS rarest FROM lv JOIN q a ON a.verse_id = from_verse JOIN q b ON b.verse_id = to_verse AND b.root = a.root WHERE votes >= 2 GROUP BY 1, 2""",
     "books_against_layer": f"""{_T}, u AS (SELECT DISTINCT testament, book, verse_id, root FROM ct JOIN bk USING (book)), k AS (SELECT root FROM u GROUP BY 1 HAVING count(*) >= 20 ORDER BY count(*) DESC, root LIMIT 600), f AS (SELECT * FROM u WHERE root IN (SELECT root FROM k)),
       n AS (SELECT a.testament, a.book, a.root AS root_a, b.root AS root_b, count(*) AS n FROM f a JOIN f b ON a.verse_id = b.verse_id AND a.root < b.root GROUP BY 1, 2, 3, 4), l AS (SELECT testament, root_a, root_b, sum(n)::BIGINT AS all_n FROM n GROUP BY 1, 2, 3),

@@ -8,20 +8,24 @@ from pyspark.sql.window import Window
 from quillmark.functions import measures as M
 from quillmark.operators import corpus as C, facts as X, links as L, similarity as S, strips as H, style as Y
 from quillmark.plans import link_queries as K
-from quillmark.plans.fact_queries import _CC, _FR, _T, _WB, word_book
+from quillmark.plans.fact_queries import _CC, _FR, _RO, _T, _WB, chapter_facts, word_book
 from quillmark.plans.link_queries import _PV
 
 R = M.rounded
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """All words of each book."""
+    return C.tokens(spark, d).groupBy("book").agg(F.count("*").alias("own"))
+
+
 def _books(spark: SparkSession, d: str) -> DataFrame:
     return X.book_counts(X.chapter_counts(C.content(spark, d)))
 
 
 def phrase_weight(spark: SparkSession, d: str) -> DataFrame:
     """Rarity of an echo: the sum over its units that are content roots."""
-    w = C.content(spark, d).groupBy("root").agg(F.count("*").alias("w"))
-    w = w.withColumn("n", w.agg(F.sum("w")).scalar()).select(F.col("root").alias("unit"), M.rarity("w", "n").alias("rarity"))
+    w = S.rarities(C.tokens(spark, d), C.books(spark, d)).select(F.col("root").alias("unit"), "rarity")
     e = X.echoes(X.formula_facts(X.formulas(C.units(spark, d)))).select("phrase", F.explode(F.split("phrase", " ")).alias("unit"))
     return e.join(w, "unit", "left").groupBy("phrase").agg(R(F.sum(F.coalesce("rarity", F.lit(0.0)))).alias("weight"))
 
@@ -45,8 +49,8 @@ def local_rendering(spark: SparkSession, d: str) -> DataFrame:
 def group_keyness(spark: SparkSession, d: str) -> DataFrame:
     """Keyness of a root against the other books of the same group, from 6.63 on."""
     b = _books(spark, d).join(C.books(spark, d).where("baseline_group is not null"), "book")
-    own = b.groupBy("book").agg(F.sum("weight").alias("own"))
-    group = b.groupBy("baseline_group").agg(F.sum("weight").alias("group_total"))
+    own = _sizes(spark, d)
+    group = own.join(C.books(spark, d), "book").groupBy("baseline_group").agg(F.sum("own").alias("group_total"))
     root = b.groupBy("baseline_group", "root").agg(F.sum("weight").alias("group_root"))
     out = b.join(own, "book").join(group, "baseline_group").join(root, ["baseline_group", "root"])
     out = out.withColumn("keyness", R(M.g2("weight", F.col("group_root") - F.col("weight"), "own", F.col("group_total") - F.col("own"))))
@@ -54,14 +58,19 @@ def group_keyness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_lift(spark: SparkSession, d: str) -> DataFrame:
-    return Y.book_lift(_books(spark, d), C.books(spark, d)).select("book", "root", "observed", R(F.col("expected")).alias("expected"), R(F.col("lift")).alias("lift"))
+    return Y.book_lift(_books(spark, d), C.books(spark, d), _sizes(spark, d)).select("book", "root", "observed", R(F.col("expected")).alias("expected"), R(F.col("lift")).alias("lift"))
 
 
 def _passage_counts(spark: SparkSession, d: str) -> DataFrame:
     p = K.passage_words(spark, d)
     w = C.content(spark, d).groupBy("root").agg(F.count("*").alias("w"))
-    size = p.groupBy("passage_id").agg(F.sum("n").alias("size"))
-    return p.join(w, "root").join(size, "passage_id").withColumn("every", w.agg(F.sum("w")).scalar())
+    t = C.tokens(spark, d).join(C.books(spark, d).select("book", "testament"), "book", "left").groupBy("verse_id", F.coalesce("testament", F.lit("")).alias("t")).agg(F.count("*").alias("k"))
+    parts = lambda c: [F.sum(c).alias("all"), F.sum(F.when(F.col("t") == "OT", F.col(c)).otherwise(0)).alias("ot"), F.sum(F.when(F.col("t") == "NT", F.col(c)).otherwise(0)).alias("nt")]
+    size = K.passage_verses(spark, d).join(t, "verse_id").groupBy("passage_id").agg(*parts("k"))
+    every = t.groupBy("t").agg(F.sum("k").alias("k")).agg(F.struct(*parts("k"))).scalar()
+    of = lambda x: F.when(F.col("root").rlike(r"^H\d+$"), F.col(f"{x}ot")).when(F.col("root").rlike(r"^G\d+$"), F.col(f"{x}nt")).otherwise(F.col(f"{x}all"))
+    x = p.join(w, "root").join(size, "passage_id").withColumn("e", every).withColumns({"size": of(""), "every": of("e.")})
+    return x.where("size > 0 and every > size").select("passage_id", "root", "n", "w", "size", "every")
 
 
 def passage_lift(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +94,9 @@ def compare_layers(spark: SparkSession, d: str) -> DataFrame:
     """Roots of the two testaments: lift of each against the other, and keyness."""
     b = _books(spark, d).join(C.books(spark, d), "book")
     c = b.groupBy("root").agg(F.sum(F.when(F.col("testament") == "OT", F.col("weight")).otherwise(0)).alias("a"), F.sum(F.when(F.col("testament") == "NT", F.col("weight")).otherwise(0)).alias("b"))
-    c = c.withColumn("na", c.agg(F.sum("a")).scalar()).withColumn("nb", c.agg(F.sum("b")).scalar())
+    n = _sizes(spark, d).join(C.books(spark, d), "book")
+    of = lambda t: n.where(F.col("testament") == t).agg(F.sum("own")).scalar()
+    c = c.withColumns({"na": of("OT"), "nb": of("NT")})
     out = c.select("root", "a", "b", R(M.lift("a", F.col("b") * F.col("na") / F.col("nb"))).alias("lift_a"), R(M.lift("b", F.col("a") * F.col("nb") / F.col("na"))).alias("lift_b"), R(M.g2("a", "b", "na", "nb")).alias("keyness"))
     return out.where("a + b > 0")
 
@@ -144,7 +155,7 @@ def richness(spark: SparkSession, d: str) -> DataFrame:
 def reach_depth(spark: SparkSession, d: str) -> DataFrame:
     """The 40 roots of highest keyness and the 20 of greatest depth of each book, together."""
     key = word_book(spark, d).where("keyness > 0")
-    deep = X.depth(X.chapter_keyness(X.chapter_counts(C.content(spark, d)), C.books(spark, d)), ["book", "root"])
+    deep = X.depth(X.chapter_keyness(*chapter_facts(spark, d)), ["book", "root"])
     a = X.top_k(key, ["book"], [F.desc("keyness"), F.col("root")], 40).select("book", "root")
     b = X.top_k(deep, ["book"], [F.desc("depth"), F.col("root")], 20).select("book", "root")
     return a.unionByName(b).distinct()
@@ -175,8 +186,8 @@ def section_words(spark: SparkSession, d: str) -> DataFrame:
     """Leading roots of each ten chapters of a book against the rest of the book."""
     c = X.chapter_counts(C.content(spark, d)).withColumn("section", F.floor((F.col("chapter") - 1) / 10).cast("int"))
     s = c.groupBy("book", "section", "root").agg(F.sum("weight").alias("weight"))
-    own = s.groupBy("book", "section").agg(F.sum("weight").alias("own"))
-    book = s.groupBy("book").agg(F.sum("weight").alias("total"))
+    own = X.chapter_sizes(C.tokens(spark, d)).groupBy("book", F.floor((F.col("chapter") - 1) / 10).cast("int").alias("section")).agg(F.sum("words").alias("own"))
+    book = own.groupBy("book").agg(F.sum("own").alias("total"))
     root = s.groupBy("book", "root").agg(F.sum("weight").alias("book_root"))
     out = s.join(own, ["book", "section"]).join(book, "book").join(root, ["book", "root"])
     out = out.withColumn("keyness", R(M.g2("weight", F.col("book_root") - F.col("weight"), "own", F.col("total") - F.col("own")))).where("keyness > 0")
@@ -198,7 +209,7 @@ def halves(spark: SparkSession, d: str) -> DataFrame:
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     t = C.tokens(spark, d)
-    return H.windows(H.verse_facts(C.verses(spark, d).where("book is not null"), t, S.rare_roots(t.where("root is not null and not is_stop"))))
+    return H.windows(H.verse_facts(C.verses(spark, d).where("book is not null"), t, S.rare_roots(t, C.books(spark, d))))
 
 
 def strips(spark: SparkSession, d: str) -> DataFrame:
@@ -249,15 +260,16 @@ z0 AS (SELECT book, sum(weight) AS total FROM w GROUP BY 1), rt AS (SELECT z0.bo
 sd AS (SELECT feature, avg(rate) AS m, stddev_samp(rate) AS sd FROM rt GROUP BY 1), zs AS (SELECT book, feature, (rate - m) / sd AS z FROM rt JOIN sd USING (feature) WHERE sd > 0),
 dl AS (SELECT a.book AS book_a, b.book AS book_b, round(avg(abs(a.z - b.z)), 6) + 0.0 AS delta FROM zs a JOIN zs b ON a.feature = b.feature AND a.book < b.book GROUP BY 1, 2)
 """
-_PC = f"""{_PV}, pw AS (SELECT passage_id, root, count(*) AS n FROM pv JOIN ct USING (verse_id) GROUP BY 1, 2), w AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), e AS (SELECT sum(w) AS ev FROM w),
-sz AS (SELECT passage_id, sum(n) AS size FROM pw GROUP BY 1), px AS (SELECT pw.passage_id, pw.root, n, w, size, ev FROM pw JOIN w USING (root) JOIN sz USING (passage_id) CROSS JOIN e)
+_PC = f"""{_PV}, pw AS (SELECT passage_id, root, count(*) AS n FROM pv JOIN ct USING (verse_id) GROUP BY 1, 2), w AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), vk AS (SELECT verse_id, coalesce(testament, '') AS t, count(*) AS k FROM tk LEFT JOIN bk USING (book) GROUP BY 1, 2),
+lz AS (SELECT unnest(['H', 'G', '']) AS l, unnest(['OT', 'NT', NULL]) AS t), ez AS (SELECT l, sum(k) AS ev FROM vk JOIN lz ON lz.t IS NULL OR lz.t = vk.t GROUP BY 1), sz AS (SELECT passage_id, l, sum(k) AS size FROM pv JOIN vk USING (verse_id) JOIN lz ON lz.t IS NULL OR lz.t = vk.t GROUP BY 1, 2),
+px AS (SELECT pw.passage_id, pw.root, n, w, size, ev FROM pw JOIN w USING (root) JOIN sz ON sz.passage_id = pw.passage_id AND l = CASE WHEN regexp_matches(pw.root, '^[HG]\\d+$') THEN substr(pw.root, 1, 1) ELSE '' END JOIN ez USING (l) WHERE size > 0 AND ev > size)
 """
 _CL = f"""{_CC}, c AS (SELECT root, sum(CASE WHEN testament = 'OT' THEN weight ELSE 0 END)::BIGINT AS a, sum(CASE WHEN testament = 'NT' THEN weight ELSE 0 END)::BIGINT AS b FROM bc JOIN bk USING (book) GROUP BY 1),
-n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c),
+n AS (SELECT sum(n) FILTER (testament = 'OT') AS na, sum(n) FILTER (testament = 'NT') AS nb FROM ts JOIN bk USING (book)),
 cl AS (SELECT root, a, b, round((a + 2.0) / (b * na / nb::DOUBLE + 2.0), 6) + 0.0 AS lift_a, round((b + 2.0) / (a * nb / na::DOUBLE + 2.0), 6) + 0.0 AS lift_b, round({M.sql_g2('a', 'b', 'na', 'nb')}, 6) + 0.0 AS keyness FROM c CROSS JOIN n WHERE a + b > 0)
 """
 _ST = f"""{_T}, v AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chapter, verse, verse_id) - 1 AS i, count(*) OVER (PARTITION BY book) AS bs FROM vb WHERE book IS NOT NULL),
-rw AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), rr AS (SELECT root FROM rw WHERE w * 2000 <= (SELECT sum(w) FROM rw)),
+{_RO}, rr AS (SELECT root FROM ro WHERE w * 2000 <= n),
 vf AS (SELECT v.book, v.i, v.bs, count(tk.position) AS words, count(*) FILTER (tk.root IS NOT NULL AND NOT tk.is_stop) AS content, count(*) FILTER (tk.root IS NOT NULL AND NOT tk.is_stop AND rr.root IS NOT NULL) AS rare,
   count(*) FILTER (tk.root IS NOT NULL AND NOT tk.is_stop AND regexp_matches(tk.morph, '^[HG]?V|^HV|^V')) AS verbs FROM v LEFT JOIN tk USING (verse_id) LEFT JOIN rr ON rr.root = tk.root GROUP BY 1, 2, 3),
 wn AS (SELECT book, i AS start, bs, count(*) OVER q AS vs, sum(words) OVER q AS words, sum(content) OVER q AS content, sum(rare) OVER q AS rare, sum(verbs) OVER q AS verbs FROM vf WINDOW q AS (PARTITION BY book ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
@@ -275,16 +287,16 @@ QUERIES = {
 }
 
 SQL = {
-    "phrase_weight": f"""{_FR}, w AS (SELECT root, count(*) AS w FROM ct GROUP BY 1), r AS (SELECT root, -ln(w / (SELECT sum(w) FROM w)::DOUBLE) AS rarity FROM w), u AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS unit FROM ec)
+    "phrase_weight": f"""{_FR}, {_RO}, r AS (SELECT root, rarity FROM ro), u AS (SELECT phrase, unnest(string_split(phrase, ' ')) AS unit FROM ec)
       SELECT phrase, round(sum(coalesce(rarity, 0)), 6) + 0.0 AS weight FROM u LEFT JOIN r ON r.root = unit GROUP BY 1""",
     "concentration": f"""{_WB}, t AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY keyness DESC, root) AS k FROM wk WHERE keyness > 0) SELECT book, round(sum(CASE WHEN k <= 3 THEN keyness ELSE 0 END) / sum(keyness), 6) + 0.0 AS top_three FROM t WHERE k <= 25 GROUP BY 1""",
     "local_rendering": f"""{_T}, c AS (SELECT * FROM ct WHERE surface IS NOT NULL), h AS (SELECT book, root, surface, count(*) AS uses FROM c GROUP BY 1, 2, 3),
       b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book, root ORDER BY uses DESC, surface) AS k FROM h) WHERE k = 1 AND uses >= 3),
       f AS (SELECT root, surface, count(*) AS form_uses FROM c GROUP BY 1, 2), r AS (SELECT root, count(*) AS root_uses FROM c GROUP BY 1)
       SELECT book, root, surface, uses, form_uses, root_uses FROM b JOIN f USING (root, surface) JOIN r USING (root) WHERE uses * 2 >= form_uses AND form_uses * 2 < root_uses""",
-    "group_keyness": f"""{_CC}, b AS (SELECT bc.*, baseline_group AS g FROM bc JOIN bk USING (book) WHERE baseline_group IS NOT NULL), o AS (SELECT book, sum(weight) AS own FROM b GROUP BY 1), t AS (SELECT g, sum(weight) AS gt FROM b GROUP BY 1), r AS (SELECT g, root, sum(weight) AS gr FROM b GROUP BY 1, 2),
+    "group_keyness": f"""{_CC}, b AS (SELECT bc.*, baseline_group AS g FROM bc JOIN bk USING (book) WHERE baseline_group IS NOT NULL), o AS (SELECT book, sum(n) AS own FROM ts GROUP BY 1), t AS (SELECT baseline_group AS g, sum(own) AS gt FROM o JOIN bk USING (book) GROUP BY 1), r AS (SELECT g, root, sum(weight) AS gr FROM b GROUP BY 1, 2),
       k AS (SELECT book, root, weight, round({M.sql_g2('weight', 'gr - weight', 'own', 'gt - own')}, 6) + 0.0 AS keyness FROM b JOIN o USING (book) JOIN t USING (g) JOIN r USING (g, root)) SELECT * FROM k WHERE keyness >= 6.63""",
-    "book_lift": f"""{_BL}, z AS (SELECT book, sum(weight) AS total FROM bc GROUP BY 1), pt AS (SELECT pr.book, sum(total) AS pt FROM pr JOIN z ON z.book = peer GROUP BY 1), pc AS (SELECT pr.book, root, sum(weight) AS pw FROM pr JOIN bc ON bc.book = peer GROUP BY 1, 2)
+    "book_lift": f"""{_BL}, z AS (SELECT book, sum(n) AS total FROM ts GROUP BY 1), pt AS (SELECT pr.book, sum(total) AS pt FROM pr JOIN z ON z.book = peer GROUP BY 1), pc AS (SELECT pr.book, root, sum(weight) AS pw FROM pr JOIN bc ON bc.book = peer GROUP BY 1, 2)
       SELECT bc.book, bc.root, weight AS observed, round(coalesce(pw, 0) * total / pt::DOUBLE, 6) + 0.0 AS expected, round((weight + 2.0) / (coalesce(pw, 0) * total / pt::DOUBLE + 2.0), 6) + 0.0 AS lift FROM bc JOIN z USING (book) JOIN pt USING (book) LEFT JOIN pc ON pc.book = bc.book AND pc.root = bc.root""",
     "passage_lift": f"""{_PC} SELECT passage_id, root, n, round((n + 2.0) / ((w - n) * size / (ev - size)::DOUBLE + 2.0), 6) + 0.0 AS lift, round({M.sql_g2('n', 'w - n', 'size', 'ev - size')}, 6) + 0.0 AS keyness FROM px""",
     "passage_absence": f"""{_WB.replace(_T, _PV, 1)}, m AS (SELECT DISTINCT passage_id, wk.root FROM (SELECT DISTINCT passage_id, vb.book FROM pv JOIN vb USING (verse_id)) p JOIN wk USING (book) WHERE keyness >= 10.83), u AS (SELECT DISTINCT passage_id, root FROM pv JOIN ct USING (verse_id))
@@ -299,7 +311,7 @@ SQL = {
     "function_profile": f"""{_DL} SELECT book, {', '.join(f"round(1000 * coalesce(sum(weight) FILTER (word = '{c}'), 0) / sum(weight)::DOUBLE, 2) AS w_{c}" for c in ('the', 'and', 'of', 'to', 'in', 'that', 'he', 'shall', 'unto', 'for', 'his', 'they'))} FROM w GROUP BY 1""",
     "richness": f"""{_CC}, r AS (SELECT root, count(*) AS books FROM bc GROUP BY 1) SELECT book, sum(weight)::BIGINT AS words, count(*) AS roots, count(*) FILTER (weight = 1) AS once, count(*) FILTER (books = 1) AS own,
       round(count(*) FILTER (weight = 1) / count(*)::DOUBLE, 6) + 0.0 AS once_share, round(1000 * count(*) FILTER (books = 1) / sum(weight)::DOUBLE, 2) AS own_per_thousand FROM bc JOIN r USING (root) GROUP BY 1""",
-    "reach_depth": f"""{_WB}, ch AS (SELECT book, chapter, sum(weight) AS n FROM cc GROUP BY 1, 2), wc AS (SELECT book, chapter, root, round({M.sql_g2('weight', 'lr - weight', 'n', 'lt - n')}, 6) + 0.0 AS keyness FROM lay JOIN lr USING (layer, root) JOIN lt USING (layer) JOIN ch USING (book, chapter)),
+    "reach_depth": f"""{_WB}, ch AS (SELECT * FROM ts), wc AS (SELECT book, chapter, root, round({M.sql_g2('weight', 'lr - weight', 'n', 'lt - n')}, 6) + 0.0 AS keyness FROM lay JOIN lr USING (root) JOIN lt USING (layer) JOIN ch USING (book, chapter)),
       dp AS (SELECT book, root, max(keyness) AS depth FROM wc WHERE keyness > 0 GROUP BY 1, 2)
       SELECT book, root FROM (SELECT book, root, row_number() OVER (PARTITION BY book ORDER BY keyness DESC, root) AS k FROM wk WHERE keyness > 0) WHERE k <= 40
       UNION SELECT book, root FROM (SELECT book, root, row_number() OVER (PARTITION BY book ORDER BY depth DESC, root) AS k FROM dp) WHERE k <= 20""",
@@ -307,7 +319,7 @@ SQL = {
     "chapter_shifts": f"""{_CC}, n AS (SELECT book, chapter, sum(weight) AS n FROM cc GROUP BY 1, 2), p AS (SELECT book, chapter, root, weight / n::DOUBLE AS p FROM cc JOIN n USING (book, chapter)),
       b AS (SELECT p.book, p.chapter, sum(sqrt(p.p * q.p)) AS c FROM p JOIN p q ON q.book = p.book AND q.chapter + 1 = p.chapter AND q.root = p.root GROUP BY 1, 2)
       SELECT n.book, n.chapter, round(sqrt(greatest(0.0, 1 - coalesce(c, 0))), 6) + 0.0 AS distance FROM n JOIN n m ON m.book = n.book AND m.chapter + 1 = n.chapter LEFT JOIN b ON b.book = n.book AND b.chapter = n.chapter""",
-    "section_words": f"""{_CC}, s AS (SELECT book, ((chapter - 1) // 10)::INT AS section, root, sum(weight)::BIGINT AS weight FROM cc GROUP BY 1, 2, 3), o AS (SELECT book, section, sum(weight) AS own FROM s GROUP BY 1, 2), t AS (SELECT book, sum(weight) AS total FROM s GROUP BY 1), r AS (SELECT book, root, sum(weight) AS br FROM s GROUP BY 1, 2),
+    "section_words": f"""{_CC}, s AS (SELECT book, ((chapter - 1) // 10)::INT AS section, root, sum(weight)::BIGINT AS weight FROM cc GROUP BY 1, 2, 3), o AS (SELECT book, ((chapter - 1) // 10)::INT AS section, sum(n) AS own FROM ts GROUP BY 1, 2), t AS (SELECT book, sum(n) AS total FROM ts GROUP BY 1), r AS (SELECT book, root, sum(weight) AS br FROM s GROUP BY 1, 2),
       k AS (SELECT book, section, root, weight, round({M.sql_g2('weight', 'br - weight', 'own', 'total - own')}, 6) + 0.0 AS keyness FROM s JOIN o USING (book, section) JOIN t USING (book) JOIN r USING (book, root))
       SELECT book, section, rank::INT AS rank, root, weight, keyness FROM (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY keyness DESC, root) AS rank FROM k WHERE keyness > 0) WHERE rank <= 10""",
     "halves": f"""{_T}, v AS (SELECT book, len(words) AS w, sum(len(words)) OVER (PARTITION BY book ORDER BY chapter, verse, verse_id) - len(words) AS before, sum(len(words)) OVER (PARTITION BY book) AS total FROM un)

@@ -31,8 +31,9 @@ def test_spots_join_runs_that_share_half_a_window(spark):
 def test_kin_by_triples(spark):
     rnd = random.Random(3)
     verses = {v: rnd.sample(range(40), rnd.randint(2, 7)) for v in range(30)}
-    rows = [(v, p, f"r{x}") for v, s in verses.items() for p, x in enumerate(s)] + [(100 + i, 0, "common") for i in range(2000)]
-    got = {(r["verse_a"], r["verse_b"]): r["shared"] for r in S.kin(spark.createDataFrame(rows, "verse_id long, position int, root string"), limit=100).collect()}
+    rows = [(v, p, f"r{x}", False, "B") for v, s in verses.items() for p, x in enumerate(s)] + [(100 + i, 0, "common", False, "B") for i in range(2000)]
+    books = spark.createDataFrame([("B", "OT")], "book string, testament string")
+    got = {(r["verse_a"], r["verse_b"]): r["shared"] for r in S.kin(spark.createDataFrame(rows, "verse_id long, position int, root string, is_stop boolean, book string"), books, limit=100).collect()}
     want = {(a, b): len(set(verses[a]) & set(verses[b])) for a in verses for b in verses if a < b and len(set(verses[a]) & set(verses[b])) >= 3}
     assert got == want and want
 
@@ -41,7 +42,7 @@ def test_empty_text(spark):
     t = spark.createDataFrame([], "verse_id long, position int, surface string, root string, is_stop boolean, book string, chapter int, verse int, language string")
     b = spark.createDataFrame([], "book string, testament string, baseline_group string")
     c = X.chapter_counts(t)
-    assert X.weight_scales(c).count() == X.book_keyness(c, b).count() == X.neighbours(t).count() == X.focus_windows(t).count() == S.kin(t).count() == 0
+    assert X.weight_scales(c).count() == X.book_keyness(c, b, X.chapter_sizes(t)).count() == X.neighbours(t).count() == X.focus_windows(t).count() == S.kin(t, b).count() == 0
 
 
 def test_clashing_columns(spark):

@@ -142,6 +142,15 @@ def _p7(name: str, rows: str, least: int) -> str:
     ON a.t = b.t AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))"""
 
 
+def _p7_links(name: str, rows: str, least: int) -> str:
+    return f"""SELECT '{name}' AS set_name, c.id AS verse_id, class_id, copies, coalesce(links, 0) AS links FROM
+    (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM (SELECT id, list_sort(list(t)) AS s FROM ({rows}) WHERE t <> '' GROUP BY 1 HAVING count(*) >= {least})) c
+    LEFT JOIN (SELECT k, count(DISTINCT o) AS links FROM (SELECT x.class_id AS k, y.class_id AS o FROM
+      (SELECT verse_a AS a, verse_b AS b FROM ({_p7(name, rows, least)}) UNION ALL SELECT verse_b, verse_a FROM ({_p7(name, rows, least)})) p
+      JOIN (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM (SELECT id, list_sort(list(t)) AS s FROM ({rows}) WHERE t <> '' GROUP BY 1)) x ON x.id = p.a
+      JOIN (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM (SELECT id, list_sort(list(t)) AS s FROM ({rows}) WHERE t <> '' GROUP BY 1)) y ON y.id = p.b) WHERE k <> o GROUP BY 1) l ON l.k = class_id"""
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_scores": p1_scores, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_terms": p6_terms,
     "p6_weights": p6_weights, "p6_runs": p6_runs, "p7_found": p7_found, "p7_links": p7_links,
@@ -161,5 +170,6 @@ SQL = {
     "p6_runs": f"""WITH {_OCC}, g AS (SELECT 1 AS n, root AS run, verse_id FROM occ WHERE root IS NOT NULL
       UNION ALL SELECT 2, a.root || ' ' || b.root, a.verse_id FROM occ a JOIN occ b ON a.verse_id = b.verse_id AND b.position = a.position + 1 WHERE a.root IS NOT NULL AND b.root IS NOT NULL)
       SELECT n, run, count(*) AS occurrences, count(DISTINCT verse_id) AS verses FROM g GROUP BY 1, 2""",
+    "p7_links": f"{_p7_links('words', _WORDS, 10)} UNION ALL {_p7_links('roots', _ROOTS, 8)}",
     "p7_found": f"{_p7('words', _WORDS, 10)} UNION ALL {_p7('roots', _ROOTS, 8)}",
 }

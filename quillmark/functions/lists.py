@@ -36,6 +36,9 @@ MIN_LIFT = {2: 3.0, 3: 10.0, 4: 30.0, 5: 30.0}
 MIN_KEYNESS = 10.8
 RARE = 2000
 
+# Number words.
+NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000}
+
 
 def sql_list(words) -> str:
     """``words`` as an SQL list, in order."""

@@ -69,3 +69,13 @@ def place_tags_by_verse(words: DataFrame, tags: DataFrame) -> DataFrame:
         return pd.DataFrame({"verse_id": [key[0]] * len(got), "position": [int(w["position"].iloc[i]) for i in got], "number": list(got.values())}).astype({"verse_id": "int64", "position": "int32"})
 
     return words.groupBy("verse_id").cogroup(tags.groupBy("verse_id")).applyInPandas(run, schema)
+
+
+def allowed(tokens: DataFrame, rules: DataFrame) -> DataFrame:
+    """Occurrences that no rule forbids. A rule (root, gloss, book, chapter_from, chapter_to) forbids its root where its gloss isn't part of
+    the word's ``gloss``, and where it names a book, outside those chapters; a null gloss or book asks nothing. Rules are a short list by hand.
+    """
+    r = rules.select(F.col("root").alias("r_root"), F.col("gloss").alias("r_gloss"), F.col("book").alias("r_book"), "chapter_from", "chapter_to")
+    no_gloss = F.col("r_gloss").isNotNull() & ~F.coalesce(F.contains(F.lower("gloss"), F.lower("r_gloss")), F.lit(False))
+    elsewhere = F.col("r_book").isNotNull() & ~(F.col("book").eqNullSafe(F.col("r_book")) & F.coalesce(F.col("chapter").between(F.col("chapter_from"), F.col("chapter_to")), F.lit(False)))
+    return tokens.join(r, (F.col("root") == F.col("r_root")) & (no_gloss | elsewhere), "left_anti")

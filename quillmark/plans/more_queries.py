@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import measures as M, sequences as Q, text as T
-from quillmark.functions.lists import STOPLIST, sql_list
+from quillmark.functions.lists import NUMBERS, STOPLIST, sql_list
 from quillmark.operators import corpus as C, facts as X, judge as J, similarity as S, strips as H
 from quillmark.plans import fact_queries as FQ, link_queries as LQ, mining_queries as MQ, style_queries as YQ
-from quillmark.plans.fact_queries import _CC, _FR, _RO, _T, _sub
-from quillmark.plans.link_queries import _LN, _PV
+from quillmark.plans.fact_queries import _CC, _FR, _RO, _T, _WB, _sub
+from quillmark.plans.link_queries import _LN, _PV, _RN
 from quillmark.plans.style_queries import _ST
 from quillmark.sources.tables import table
 
@@ -314,15 +314,63 @@ def region_revenue(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("r_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("worth"))
 
 
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    v = LQ.link_votes(spark, d).select(F.least("from_verse", "to_verse").alias("verse_a"), F.greatest("from_verse", "to_verse").alias("verse_b"), "votes")
+    return v.groupBy("verse_a", "verse_b").agg(F.max("votes").alias("votes"))
+
+
+def clause_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of verses by the rarity of the rare roots they share and two points for each run of four units."""
+    runs = LQ._run_pairs(spark, d).select("verse_a", "verse_b", "hits")
+    k = LQ.kin(spark, d)
+    x = k.join(runs, ["verse_a", "verse_b"], "full")
+    return x.select("verse_a", "verse_b", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("hits", F.lit(0)).alias("hits"), R(F.coalesce("score", F.lit(0.0)) + 2 * F.coalesce("hits", F.lit(0))).alias("score"))
+
+
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Listed or found pairs of verses, by what speaks for them: quotation (runs, listed), echo (runs), allusion (rare roots, listed), kin (rare roots), listed (nothing found)."""
+    x = clause_scores(spark, d).join(_votes(spark, d), ["verse_a", "verse_b"], "full")
+    hits, shared, votes = (F.coalesce(c, F.lit(0)) for c in ("hits", "shared", "votes"))
+    kind = F.when((hits > 0) & (votes > 0), "quotation").when(hits > 0, "echo").when((shared > 0) & (votes > 0), "allusion").when(shared > 0, "kin").otherwise("listed")
+    return x.select("verse_a", "verse_b", kind.alias("kind"))
+
+
+def rival_check(spark: SparkSession, d: str) -> DataFrame:
+    """For each verse with kin: its closest kin, and whether a cross reference lists that pair or only a weaker one."""
+    k = LQ.kin(spark, d).join(_votes(spark, d), ["verse_a", "verse_b"], "left").select("verse_a", "verse_b", "score", (F.coalesce("votes", F.lit(0)) > 0).alias("listed"))
+    both = k.unionByName(k.select(F.col("verse_b").alias("verse_a"), F.col("verse_a").alias("verse_b"), "score", "listed"))
+    any_listed = both.groupBy("verse_a").agg(F.bool_or("listed").alias("any"))
+    top = X.top_k(both, ["verse_a"], [F.desc("score"), F.col("verse_b")], 1)
+    return top.join(any_listed, "verse_a").select("verse_a", "verse_b", F.when(F.col("listed"), "listed").when(F.col("any"), "rival").otherwise("unlisted").alias("standing"))
+
+
+def number_words(spark: SparkSession, d: str) -> DataFrame:
+    """Number words of each book, with the rate per thousand words."""
+    t = C.tokens(spark, d).groupBy("book").agg(F.count("*").alias("words"), F.count_if(F.lower("surface").isin(*NUMBERS)).alias("numbers"))
+    return t.select("book", "words", "numbers", M.per_thousand("numbers", "words").alias("per_thousand"))
+
+
+def station_words(spark: SparkSession, d: str) -> DataFrame:
+    """Uses in each passage of the roots that mark its book: how many words, and how many different ones."""
+    key = FQ.word_book(spark, d).where("keyness >= 10.83").select("book", "root")
+    c = C.content(spark, d).groupBy("verse_id", "book", "root").agg(F.count("*").alias("n")).join(key, ["book", "root"])
+    return LQ.passage_verses(spark, d).join(c, "verse_id").groupBy("passage_id").agg(F.sum("n").alias("words"), F.count_distinct("book", "root").alias("roots"))
+
+
 _stop = sql_list(STOPLIST)
+_RUNS = _RN[len(_T) :].lstrip(", ")
 _KIN = f"""{_LN}, {_RO}, kr AS (SELECT root, rarity FROM ro WHERE w * 2000 <= n),
 kv AS (SELECT DISTINCT verse_id, root, rarity FROM ct JOIN kr USING (root)), kn AS (SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*)::INT AS shared, round(sum(a.rarity), 6) + 0.0 AS score FROM kv a JOIN kv b ON a.root = b.root AND a.verse_id < b.verse_id GROUP BY 1, 2 HAVING count(*) >= 3)
 """
+_CS = f"""{_KIN}, {_RUNS}, cs AS (SELECT coalesce(kn.verse_a, rp.verse_a) AS verse_a, coalesce(kn.verse_b, rp.verse_b) AS verse_b, coalesce(shared, 0) AS shared, coalesce(hits, 0) AS hits, round(coalesce(score, 0) + 2 * coalesce(hits, 0), 6) + 0.0 AS score
+  FROM kn FULL JOIN rp ON kn.verse_a = rp.verse_a AND kn.verse_b = rp.verse_b),
+vo AS (SELECT least(from_verse, to_verse) AS verse_a, greatest(from_verse, to_verse) AS verse_b, max(votes) AS votes FROM lv GROUP BY 1, 2)
+"""
 
 QUERIES = {
     f.__name__: f
     for f in (kin_within, kin_linked, verdicts, bridged_runs, gloss_absorbed, root_genre, spot_summary, spot_words, tiles, book_ranks, layer_difference, within_echoes, cited_roots, books_against_layer, formula_spans, word_list_shares, telling_words, seam_check, part_likeness,
-              scoped_forms, lexicon_display, language_chapters, lemma_votes, attested_forms, corrected_lemmas, small_groups, cross_layer_links, pair_weights, passage_stretches, citation_counts, parsing_counts, book_codes, part_words, market_baskets, region_revenue)
+              scoped_forms, lexicon_display, language_chapters, lemma_votes, attested_forms, corrected_lemmas, small_groups, cross_layer_links, pair_weights, clause_scores, evidence, rival_check, number_words, station_words, passage_stretches, citation_counts, parsing_counts, book_codes, part_words, market_baskets, region_revenue)
 }
 
 SQL = {
@@ -378,6 +426,13 @@ SQL = {
       SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*) AS shared, round(sum(idf), 6) + 0.0 AS weight FROM c a JOIN c b ON a.book = b.book AND a.chapter = b.chapter AND a.root = b.root AND a.verse_id < b.verse_id JOIN f ON f.root = a.root GROUP BY 1, 2""",
     "passage_stretches": f"""{_PV}, v AS (SELECT verse_id, book, row_number() OVER (PARTITION BY book ORDER BY chapter, verse, verse_id) - 1 AS i FROM vb WHERE book IS NOT NULL), x AS (SELECT passage_id, book, i, i - row_number() OVER (PARTITION BY passage_id, book ORDER BY i) AS g FROM pv JOIN v USING (verse_id))
       SELECT passage_id, book, min(i) AS first, count(*) AS verses FROM x GROUP BY passage_id, book, g""",
+    "clause_scores": f"{_CS} SELECT * FROM cs",
+    "evidence": f"""{_CS} SELECT coalesce(cs.verse_a, vo.verse_a) AS verse_a, coalesce(cs.verse_b, vo.verse_b) AS verse_b, CASE WHEN coalesce(hits, 0) > 0 AND coalesce(votes, 0) > 0 THEN 'quotation' WHEN coalesce(hits, 0) > 0 THEN 'echo'
+      WHEN coalesce(shared, 0) > 0 AND coalesce(votes, 0) > 0 THEN 'allusion' WHEN coalesce(shared, 0) > 0 THEN 'kin' ELSE 'listed' END AS kind FROM cs FULL JOIN vo ON cs.verse_a = vo.verse_a AND cs.verse_b = vo.verse_b""",
+    "rival_check": f"""{_CS}, k AS (SELECT kn.verse_a, kn.verse_b, score, coalesce(votes, 0) > 0 AS listed FROM kn LEFT JOIN vo USING (verse_a, verse_b)), b AS (SELECT * FROM k UNION ALL SELECT verse_b, verse_a, score, listed FROM k),
+      r AS (SELECT *, bool_or(listed) OVER (PARTITION BY verse_a) AS any_, row_number() OVER (PARTITION BY verse_a ORDER BY score DESC, verse_b) AS n FROM b) SELECT verse_a, verse_b, CASE WHEN listed THEN 'listed' WHEN any_ THEN 'rival' ELSE 'unlisted' END AS standing FROM r WHERE n = 1""",
+    "number_words": f"{_T} SELECT book, count(*) AS words, count(*) FILTER (lower(surface) IN {sql_list(NUMBERS)}) AS numbers, round(1000 * count(*) FILTER (lower(surface) IN {sql_list(NUMBERS)}) / count(*)::DOUBLE, 2) AS per_thousand FROM tk GROUP BY 1",
+    "station_words": f"""{_WB.replace(_T, _PV, 1)} SELECT passage_id, count(*) AS words, count(DISTINCT (ct.book, ct.root)) AS roots FROM pv JOIN ct USING (verse_id) JOIN wk ON wk.book = ct.book AND wk.root = ct.root WHERE keyness >= 10.83 GROUP BY 1""",
     "citation_counts": "SELECT from_book, count(*) AS links, count(*) FILTER (relevance_score < 0) AS declined, max(relevance_score) AS best FROM (SELECT DISTINCT id, trim(lower(from_book)) AS from_book, relevance_score FROM cross_references) GROUP BY 1",
     "parsing_counts": f"{_T} SELECT root, morph, count(*) AS uses FROM ct WHERE morph IS NOT NULL GROUP BY 1, 2",
     "book_codes": f"""{_T}, v AS (SELECT book, count(DISTINCT chapter) AS chapters, count(*) AS verses FROM vb GROUP BY 1) SELECT b.book, code, coalesce(chapters, 0) AS chapters, coalesce(verses, 0) AS verses FROM (SELECT name AS book, min(abbreviation) AS code FROM books WHERE name IS NOT NULL GROUP BY 1) b LEFT JOIN v USING (book)""",

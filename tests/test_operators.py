@@ -195,3 +195,9 @@ def test_rendered_runs():
     assert S.render_run("a b c d".split(), "a b c d".split()) == "a b c d"
     assert S.render_run("a b c d".split(), "a x c d".split()) == "a [b / x] c d"
     assert S.render_run("a b d".split(), "a b c d".split()) == "a b [- / c] d" and S.render_run([], ["x"]) == "[- / x]"
+
+
+def test_rules_of_gloss_and_chapter(spark):
+    t = spark.createDataFrame([("H1", "a lion", "B", 1), ("H1", "to be", "B", 1), ("H1", None, "B", 1), ("H2", "x", "B", 3), ("H2", "x", "B", 9), ("H2", "x", "C", 3), ("H3", None, None, None)], "root string, gloss string, book string, chapter int")
+    rules = spark.createDataFrame([("H1", "Lion", None, None, None), ("H2", None, "B", 2, 4)], "root string, gloss string, book string, chapter_from int, chapter_to int")
+    assert {tuple(r) for r in G.allowed(t, rules).collect()} == {("H1", "a lion", "B", 1), ("H2", "x", "B", 3), ("H3", None, None, None)}

@@ -22,10 +22,11 @@ REFS = ["ref_table", "ref_id", "key", "at"]
 PARENTS = ["key", "since", "until"]
 
 
-def references(df: DataFrame, ref_table: str, ref_id: str, key: Column, at: str) -> DataFrame:
-    """Rows of ``df`` as references; rows without a key drop out, copies count once."""
-    out = df.select(F.lit(ref_table).alias("ref_table"), F.col(ref_id).cast("long").alias("ref_id"), key.cast("string").alias("key"), F.col(at).alias("at"))
-    return out.where(F.col("key").isNotNull() & (F.trim("key") != "")).distinct()
+def references(df: DataFrame, ref_table: str, ref_id: str, key: Column, at: str, written: Column | None = None) -> DataFrame:
+    """Rows of ``df`` as references; rows without a key drop out, copies count once. ``written`` is the key as it stands in the row, where ``key`` is a normal form of it."""
+    w = (key if written is None else written).cast("string")
+    out = df.where(w.isNotNull() & (F.trim(w) != "")).select(F.lit(ref_table).alias("ref_table"), F.col(ref_id).cast("long").alias("ref_id"), key.cast("string").alias("key"), F.col(at).alias("at"))
+    return out.distinct()
 
 
 def presence(df: DataFrame, key: Column, since: str, until: str | None = None) -> DataFrame:

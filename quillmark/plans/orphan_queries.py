@@ -22,7 +22,7 @@ def _links(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
     return [
         (O.references(table(spark, d, "theme_verse"), "theme_verse", "id", F.col("verse_id"), "loaded"), verses),
         (O.references(table(spark, d, "passage_ranges"), "passage_ranges", "id", F.col("passage_id"), "added"), passages),
-        (O.references(table(spark, d, "cross_references"), "cross_references", "id", _book_key("to_book"), "added"), O.presence(named, F.col("book_key"), "added", "withdrawn")),
+        (O.references(table(spark, d, "cross_references"), "cross_references", "id", _book_key("to_book"), "added", F.col("to_book")), O.presence(named, F.col("book_key"), "added", "withdrawn")),
     ]
 
 
@@ -58,7 +58,7 @@ refs AS (
   SELECT DISTINCT 'theme_verse' AS ref_table, id AS ref_id, CAST(verse_id AS VARCHAR) AS key, loaded AS moment FROM theme_verse WHERE verse_id IS NOT NULL
   UNION ALL SELECT DISTINCT 'passage_ranges', id, CAST(passage_id AS VARCHAR), added FROM passage_ranges WHERE passage_id IS NOT NULL
   UNION ALL SELECT DISTINCT 'cross_references', id, regexp_replace(lower(trim(to_book)), '\.$', ''), added FROM cross_references
-    WHERE to_book IS NOT NULL AND trim(regexp_replace(lower(trim(to_book)), '\.$', '')) <> ''
+    WHERE to_book IS NOT NULL AND trim(to_book) <> ''
 ),
 parents AS (
   SELECT 'theme_verse' AS ref_table, CAST(verse_id AS VARCHAR) AS key, min(loaded) AS since, CAST(NULL AS TIMESTAMP) AS until FROM verses WHERE verse_id IS NOT NULL GROUP BY verse_id

@@ -27,6 +27,8 @@ def test_probe_borders_nulls_and_copies(spark):
 def test_references_drop_blank_keys(spark):
     df = spark.createDataFrame([(1, "x", D(2024, 1, 1)), (1, "x", D(2024, 1, 1)), (2, None, D(2024, 1, 1)), (3, "  ", D(2024, 1, 1))], "id long, key string, at timestamp_ntz")
     assert [r["ref_id"] for r in O.references(df, "t", "id", F.col("key"), "at").collect()] == [1]
+    dot = spark.createDataFrame([(1, " . ", D(2024, 1, 1)), (2, " ", D(2024, 1, 1))], "id long, k string, at timestamp_ntz")
+    assert [(r["ref_id"], r["key"]) for r in O.references(dot, "t", "id", F.regexp_replace(F.trim("k"), r"\.$", ""), "at", F.col("k")).collect()] == [(1, "")]
 
 
 def test_overlapping_presence_is_merged(spark):

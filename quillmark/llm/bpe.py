@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quillmark.llm.rows import slices
+
 #: Where the public vocabularies lie; every query takes it as a parameter.
 TOKENIZERS = "/opt/tokenizers"
 #: The published split pattern of the 50k byte-level vocabulary (fixed value).
@@ -202,8 +204,7 @@ def encode(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b, 1):
                 ids = bpe.encode(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))

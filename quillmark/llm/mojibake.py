@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quillmark.llm.rows import slices
+
 #: Counters of the character model; bounds on what it holds and on what reaches the driver, whatever the text.
 PAIRS, SINGLES = 1 << 20, 0x110000
 #: Encodings that text is commonly read in by mistake (fixed values: names of codecs).
@@ -108,8 +110,8 @@ def character_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, singles = np.zeros(PAIRS, np.int64), np.zeros(SINGLES, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                c = np.frombuffer("\n".join(batch.column(0).slice(at, 512).to_pylist()).encode("utf-32-le"), np.uint32)
+            for part in slices(batch, 0):
+                c = np.frombuffer("\n".join(part.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
                 if len(c) > 1:
                     pairs += np.bincount(_pair_slots(c[:-1], c[1:]), minlength=PAIRS)
                 singles += np.bincount(c, minlength=SINGLES)

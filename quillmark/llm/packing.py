@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillmark.llm.bpe import TOKENIZERS, SpeculativeBPE, encoder
+from quillmark.llm.rows import slices
 from quillmark.session import cut_lineage
 
 
@@ -149,8 +150,7 @@ def measure(df: DataFrame, key: str, text: str, capacity: int, tokenizers: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, block, seen = encoder(path), TaskContext.get().partitionId(), {}
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in slices(b, 1):
                 texts = part.column(1).to_pylist()
                 bpe.words(texts)
                 rows, cols = [], ([], [], [], [])

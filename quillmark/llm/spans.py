@@ -11,11 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from quillmark.llm.rows import slices
 from quillmark.session import cut_lineage
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
-#: Symbols of texts that are worked on at once.
-_BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -108,8 +107,7 @@ class Layout:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 2048):
-            yield b.slice(at, 2048)
+        yield from slices(b, 1)
 
 
 def _chunker(symbols: Callable[[str], np.ndarray], c: Chunking):

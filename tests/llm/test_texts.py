@@ -186,3 +186,27 @@ def test_garbled_texts_are_found_and_restored(spark):
 
 def test_garbled_empty(spark):
     assert find_garbled(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_slices_hold_every_row_once():
+    import pyarrow as pa
+
+    from quillmark.llm.rows import slices
+
+    texts = ["a" * n for n in (0, 5, 5, 50, 1, 1, 1)] + [None, "é" * 30]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(9)), "t": pa.array(texts, pa.string())})
+    for rows, size in ((2, 1000), (100, 8), (100, 1), (3, 20)):
+        parts = list(slices(batch, 1, rows, size))
+        assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(9)) and all(p.num_rows <= rows for p in parts)
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
+def test_one_very_long_text(spark, exact):
+    long = "the planter rose — élan 光 " * 20000
+    df = spark.createDataFrame([(1, long), (2, "x" + long), (3, "short")], "doc_id long, text string")
+    ids = {r["doc_id"]: r["ids"] for r in encode(df, "doc_id", "text").collect()}
+    assert ids[1] == exact(long)
+    pieces = fill_containers(df, "doc_id", "text").where("doc_id = 1").orderBy("start").collect()
+    assert "".join(p["piece"] for p in pieces) == long and all(p["size"] <= 2048 for p in pieces)
+    assert {r["id"] for r in shared_windows(df, "doc_id", "text").select("id").distinct().collect()} == {1, 2}
+    assert find_garbled(df, "doc_id", "text").count() == 0

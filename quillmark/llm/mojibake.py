@@ -182,18 +182,26 @@ class Repairer:
         """Whether any operation could save enough."""
         for w in words:
             for op, (after, gain, _) in self.undo(w).items():
-                further = max((g for o, (_, g, _) in self.undo(after).items() if o[0] == "utf8"), default=0.0)
-                if (gain if op[0] == "utf8" else 0.0) + further >= UTF8_GAIN and (op[0] == "utf8" or further):
+                gain = gain if op[0] == "utf8" else 0.0
+                if gain >= UTF8_GAIN or gain + max((g for o, (_, g, _) in self.undo(after).items() if o[0] == "utf8"), default=-math.inf) >= UTF8_GAIN:
                     return True
         return sum(map(self.odd, words)) >= ODD_WORDS
 
-    def steps(self, words: tuple[str, ...]) -> Iterator[tuple[float, bool, tuple[str, ...]]]:
-        """Neighbours of a state: one operation on the words, or on the passage, where it saves most."""
-        swaps = sum(map(self.odd, words)) >= ODD_WORDS
+    def steps(self, words: tuple[str, ...], start: bool) -> Iterator[tuple[float, bool, tuple[str, ...]]]:
+        """Neighbours of a state: one operation on the words, or on the passage, where it saves most.
+
+        Other tables of letters are tried at the start and wherever no reading of UTF-8 is left to undo, not again at each state between.
+        """
         seen: dict[tuple, list[tuple[int, str, float, bool]]] = {}
         for i, w in enumerate(words):
-            for op, move in (self.undo(w) | self.swap(w) if swaps and not w.isascii() else self.undo(w)).items():
+            for op, move in self.undo(w).items():
                 seen.setdefault(op, []).append((i, *move))
+        left = not start and any(op[0] == "utf8" and h[2] >= UTF8_GAIN for op, hits in seen.items() for h in hits)
+        if not left and sum(map(self.odd, words)) >= ODD_WORDS:
+            for i, w in enumerate(words):
+                if not w.isascii():
+                    for op, move in self.swap(w).items():
+                        seen.setdefault(op, []).append((i, *move))
         for op, hits in seen.items():
             if op[0] == "table":  # another table of letters holds for a passage, so words that it spoils count against it
                 best = here = 0.0
@@ -229,7 +237,7 @@ class Repairer:
             cost, _, undone, state = heapq.heappop(queue)
             if undone and cost < best[0] and cost <= first - UTF8_GAIN:
                 best = (cost, state)
-            for saved, encoding, nxt in self.steps(state):
+            for saved, encoding, nxt in self.steps(state, state is words):
                 if (h := (hash(nxt), undone or encoding)) not in visited:
                     visited.add(h)
                     count += 1

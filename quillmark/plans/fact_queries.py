@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillmark.functions import measures as M
 from quillmark.functions.lists import STOPLIST, VOICE_TAGS, sql_list
 from quillmark.operators import corpus as C, facts as X
-from quillmark.sources.tables import table
 
 R = M.rounded
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillmark.functions import measures as M
 from quillmark.operators import align as A, corpus as C, evaluate as E, facts as X, strips as H, wordsets as W
 from quillmark.plans import style_queries as Q
-from quillmark.plans.fact_queries import _CC, _T
+from quillmark.plans.fact_queries import _T
 from quillmark.plans.style_queries import _DL
 from quillmark.sources.tables import table
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quillmark.functions import measures as M, sequences as Q, text as T
 from quillmark.functions.lists import NUMBERS, STOPLIST, sql_list
 from quillmark.operators import corpus as C, facts as X, judge as J, similarity as S, strips as H
-from quillmark.plans import fact_queries as FQ, link_queries as LQ, mining_queries as MQ, style_queries as YQ
+from quillmark.plans import fact_queries as FQ, link_queries as LQ, style_queries as YQ
 from quillmark.plans.fact_queries import _CC, _FR, _RO, _T, _WB, _sub
 from quillmark.plans.link_queries import _LN, _PV, _RN
 from quillmark.plans.style_queries import _ST

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmark.operators import corpus as C, links as L, similarity as S
+from quillmark.operators import corpus as C, links as L
 from quillmark.plans import fact_queries as X, link_queries as K, mining_queries as W, style_queries as Y
 from quillmark.plans.notation import Action, parse
 from quillmark.sources.tables import table

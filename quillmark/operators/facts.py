@@ -79,9 +79,9 @@ def chapter_keyness(chapters: DataFrame, books: DataFrame, sizes: DataFrame) ->
 
 
 def depth(keyness: DataFrame, by: list[str]) -> DataFrame:
-    """The highest positive keyness of a root in one chapter, with the chapter; the earliest of equals."""
-    best = F.struct(M.rounded(F.col("keyness")).alias("k"), (-F.col("chapter")).alias("c"))
-    out = keyness.where("keyness > 0").groupBy(*by).agg(F.max(best).alias("b"))
+    """The highest positive keyness of a root in one chapter, to six decimals, with the chapter; the earliest of equals."""
+    best = F.struct(F.col("keyness").alias("k"), (-F.col("chapter")).alias("c"))
+    out = keyness.withColumn("keyness", M.rounded(F.col("keyness"))).where("keyness > 0").groupBy(*by).agg(F.max(best).alias("b"))
     return out.select(*by, F.col("b.k").alias("depth"), (-F.col("b.c")).alias("depth_chapter"))
 
 

@@ -15,6 +15,8 @@ from quillmark.sources.tables import table
 
 R = M.rounded
 LEAST_VERSES, LEAST_SUPPORT = 20, 6
+#: The largest set that is searched.
+LARGEST = 5
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +49,20 @@ def constellations(spark: SparkSession, d: str) -> DataFrame:
     return _named(W.closed(W.above_floors(s))).select("members", "size", "support", "closed")
 
 
+def word_sets_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``word_sets``, whose SQL ends at three roots, with all sizes up to ``LARGEST``."""
+    _, _, s = _sets(spark, d, LARGEST)
+    return _named(s).select("members", "size", "support", R(F.col("lift"), 4).alias("lift"), R(F.col("g2"), 4).alias("g2"))
+
+
+def constellations_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``constellations`` over all sizes: a set of three is closed only if no kept set of four has its support; sets of ``LARGEST`` have none above them."""
+    _, _, s = _sets(spark, d, LARGEST)
+    return _named(W.closed(W.above_floors(s))).select("members", "size", "support", "closed")
+
+
 def set_kinds(spark: SparkSession, d: str) -> DataFrame:
-    u, _, s = _sets(spark, d)
+    u, _, s = _sets(spark, d, LARGEST)
     roots = C.content(spark, d).groupBy("verse_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "root"))), lambda x: x["root"]).alias("roots"))
     return _named(W.kinds(W.occurrences_of(W.above_floors(s), u), roots))
 
@@ -57,16 +71,37 @@ def _order(spark: SparkSession, d: str) -> DataFrame:
     return H.numbered(C.verses(spark, d).where("book is not null")).select(F.col("verse_id").alias("unit"), "book", "chapter", "i")
 
 
+def _stretches(spark: SparkSession, d: str, largest: int) -> DataFrame:
+    u, _, s = _sets(spark, d, largest)
+    return W.stretches(W.occurrences_of(s, u), _order(spark, d))
+
+
+def _places(spark: SparkSession, d: str, largest: int) -> DataFrame:
+    return _named(_stretches(spark, d, largest)).groupBy("members", "book").agg(F.count("*").alias("places"))
+
+
+def _inclusio(spark: SparkSession, d: str, largest: int) -> DataFrame:
+    chapters = C.verses(spark, d).where("book is not null").groupBy("book").agg(F.max("chapter").alias("n_chapters"))
+    return _named(W.inclusio(_stretches(spark, d, largest), chapters, 0.3, 2))
+
+
 def set_places(spark: SparkSession, d: str) -> DataFrame:
-    """In how many places of each book a set stands; verses that follow each other are one place."""
-    u, _, s = _sets(spark, d, 2)
-    return _named(W.stretches(W.occurrences_of(s, u), _order(spark, d))).groupBy("members", "book").agg(F.count("*").alias("places"))
+    """In how many places of each book a pair stands; verses that follow each other are one place."""
+    return _places(spark, d, 2)
+
+
+def set_places_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``set_places``, whose SQL has pairs alone, with all sizes up to ``LARGEST``."""
+    return _places(spark, d, LARGEST)
 
 
 def set_inclusio(spark: SparkSession, d: str) -> DataFrame:
-    u, _, s = _sets(spark, d, 2)
-    chapters = C.verses(spark, d).where("book is not null").groupBy("book").agg(F.max("chapter").alias("n_chapters"))
-    return _named(W.inclusio(W.stretches(W.occurrences_of(s, u), _order(spark, d)), chapters, 0.3, 2))
+    return _inclusio(spark, d, 2)
+
+
+def set_inclusio_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``set_inclusio``, whose SQL has pairs alone, with all sizes up to ``LARGEST``."""
+    return _inclusio(spark, d, LARGEST)
 
 
 def _alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +246,7 @@ tr AS (SELECT f5.s, f5.t, f5.p, b5.p AS back, verses FROM f5 JOIN b5 ON b5.s = f
 
 QUERIES = {
     f.__name__: f
-    for f in (set_vocabulary, word_sets, constellations, set_kinds, set_places, set_inclusio, alignment, trusted_renderings, best_source, renderings, disagreement, book_outliers, shift_evidence, companions, isolation, belonging, label_test, contexts, chapter_chains)
+    for f in (set_vocabulary, word_sets, word_sets_all, constellations, constellations_all, set_kinds, set_places, set_places_all, set_inclusio, set_inclusio_all, alignment, trusted_renderings, best_source, renderings, disagreement, book_outliers, shift_evidence, companions, isolation, belonging, label_test, contexts, chapter_chains)
 }
 
 SQL = {

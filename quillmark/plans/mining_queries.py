@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.functions import measures as M
-from quillmark.operators import align as A, corpus as C, evaluate as E, facts as X, strips as H, wordsets as W
+from quillmark.operators import align as A, contexts as K, corpus as C, evaluate as E, strips as H, wordsets as W
 from quillmark.plans import style_queries as Q
 from quillmark.plans.fact_queries import _T
 from quillmark.plans.style_queries import _DL
@@ -183,22 +182,30 @@ def label_test(spark: SparkSession, d: str) -> DataFrame:
     return E.shuffle_test(iso, "g", "distance").select(R(F.col("observed"), 4).alias("observed"), "above", "times", R(F.col("p")).alias("p"))
 
 
+def _contexts(spark: SparkSession, d: str) -> tuple[K.Contexts, DataFrame]:
+    """Six word contexts of all windows of ten verses, and the verses with their content roots."""
+    roots = C.content(spark, d).groupBy("verse_id").agg(F.collect_list("root").alias("roots"))
+    v = C.verses(spark, d).where("book is not null").join(roots, "verse_id", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<string>")))
+    facts = v.select("*", *(F.lit(0).cast("long").alias(c) for c in ("words", "content", "rare", "verbs")))
+    return K.Contexts(H.windows(facts)), v
+
+
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Share of six word contexts in each book: factors of the books' 500 commonest content roots, weighted by rarity.
-
-    The matrix is books by 500 roots, whatever the text, so it is factored on the driver.
-    """
-    b = X.book_counts(X.chapter_counts(C.content(spark, d)))
-    top = b.groupBy("root").agg(F.sum("weight").alias("w"), F.count("*").alias("books")).orderBy(F.desc("w"), "root").limit(500)
-    n = b.agg(F.count_distinct("book")).scalar()
-    cells = b.join(top, "root").withColumn("n", n).select("book", "root", ((1 + F.log("weight")) * F.log(1 + F.col("n") / F.col("books"))).alias("x")).toPandas()
-    if cells.empty:
-        return spark.createDataFrame([], "book string, context int, share double")
-    m = cells.pivot(index="book", columns="root", values="x").fillna(0.0).sort_index().sort_index(axis=1)
-    w, _ = E.factorise(m.to_numpy(), min(6, *m.shape))
-    w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-    rows = [(book, k, round(float(x), 4)) for book, mix in zip(m.index, w) for k, x in enumerate(mix)]
-    return spark.createDataFrame(rows, "book string, context int, share double")
+    """Mean share of each context in the windows of a book."""
+    k, _ = _contexts(spark, d)
+    return k.of(k.windows).groupBy("book", "context").agg(R(F.avg("share"), 4).alias("share"))
+
+
+def window_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each context in each window of ten verses, one starting at every verse."""
+    k, _ = _contexts(spark, d)
+    return k.of(k.windows).withColumn("share", R(F.col("share"), 4))
+
+
+def verse_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each context in each verse by itself."""
+    k, v = _contexts(spark, d)
+    return k.of(v.select("verse_id", "roots")).withColumn("share", R(F.col("share"), 4))
 
 
 def chapter_chains(spark: SparkSession, d: str) -> DataFrame:
@@ -246,7 +253,7 @@ tr AS (SELECT f5.s, f5.t, f5.p, b5.p AS back, verses FROM f5 JOIN b5 ON b5.s = f
 
 QUERIES = {
     f.__name__: f
-    for f in (set_vocabulary, word_sets, word_sets_all, constellations, constellations_all, set_kinds, set_places, set_places_all, set_inclusio, set_inclusio_all, alignment, trusted_renderings, best_source, renderings, disagreement, book_outliers, shift_evidence, companions, isolation, belonging, label_test, contexts, chapter_chains)
+    for f in (set_vocabulary, word_sets, word_sets_all, constellations, constellations_all, set_kinds, set_places, set_places_all, set_inclusio, set_inclusio_all, alignment, trusted_renderings, best_source, renderings, disagreement, book_outliers, shift_evidence, companions, isolation, belonging, label_test, contexts, window_contexts, verse_contexts, chapter_chains)
 }
 
 SQL = {

@@ -97,3 +97,45 @@ def test_books_against_layer_of_all_sizes(spark, corpus):
     assert got == want and ("C", "H91 H92 H93 H94") in got
     pairs = {(r["book"], f"{r['root_a']} {r['root_b']}"): (r["n"], r["all_n"]) for r in Q["books_against_layer"](spark, d).collect()}
     assert pairs == {k: v for k, v in got.items() if k[1].count(" ") == 1}
+
+
+def test_contexts_of_windows_and_verses(spark, tmp_path):
+    """Two topics, each with 400 roots of its own: more than 500 in all, each verse from one of them."""
+    d, rnd = str(tmp_path), random.Random(4)
+    verses, tokens = [], []
+    for k, book in enumerate("AB"):
+        for i in range(400):
+            topic = (i // 40 + k) % 2
+            verses.append((k * 1000 + i, book, 1 + i // 40, i % 40 + 1, "x"))
+            tokens += [(k * 1000 + i, p, "s", "l", f"H{topic}{rnd.randrange(400):03d}", "H", "N", False) for p in range(10)]
+    verses += [(5000 + v, "S", 1, v + 1, "x") for v in range(3)]
+    tokens += [(5000 + v, 0, "s", "l", "H0001", "H", "N", False) for v in range(2)]
+    spark.createDataFrame(verses, "verse_id long, book string, chapter int, verse int, language string").write.parquet(f"{d}/verses.parquet")
+    spark.createDataFrame(tokens, "verse_id long, position int, surface string, lemma string, root string, strongs string, morph string, is_stop boolean").write.parquet(f"{d}/tokens.parquet")
+    w = Q["window_contexts"](spark, d).toPandas()
+    assert len(w) == 6 * (391 + 391 + 1) and set(w[w.book == "S"].start) == {0}
+    assert w.groupby(["book", "start"]).share.sum().between(0.999, 1.001).all()
+    v = Q["verse_contexts"](spark, d).toPandas().pivot(index="verse_id", columns="context", values="share")
+    assert len(v) == 803 and v.loc[5002].sum() == 0 and v.drop(5002).sum(axis=1).between(0.999, 1.001).all()
+    topic = {i: (i % 1000 // 40 + i // 1000) % 2 for i in v.index if i < 5000}
+    of = {c: v.loc[[i for i in topic if topic[i] == 0], c].mean() > v.loc[[i for i in topic if topic[i] == 1], c].mean() for c in v}
+    right = [v.loc[i, [c for c in of if of[c] == (t == 0)]].sum() > 0.5 for i, t in topic.items()]
+    assert sum(right) > 0.97 * len(right)
+    b = Q["contexts"](spark, d).toPandas()
+    mean = w.groupby(["book", "context"]).share.mean()
+    assert len(b) == 18 and all(abs(mean[r.book, r.context] - r.share) < 2e-4 for r in b.itertuples())
+
+
+def test_factors_rebuild_as_well_as_on_one_machine(spark):
+    import numpy as np
+
+    from quillmark.operators import contexts as K, evaluate as E
+
+    rnd = np.random.default_rng(2)
+    m = rnd.random((90, 3)) @ rnd.random((3, 40)) * (rnd.random((90, 40)) < 0.5)
+    rows = [(i, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for i, r in enumerate(m)]
+    df = spark.createDataFrame(rows, "id long, at array<int>, x array<double>")
+    h = K.fit(df, 40, 3)
+    w = K._mix(h, 90, *K._flat(df.toArrow().combine_chunks().to_batches()[0].select(["at", "x"])))
+    one, other = E.factorise(m, 3, 2000)
+    assert np.linalg.norm(m - w @ h) <= 1.02 * np.linalg.norm(m - one @ other)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -208,16 +210,48 @@ def verse_contexts(spark: SparkSession, d: str) -> DataFrame:
     return k.of(v.select("verse_id", "roots")).withColumn("share", R(F.col("share"), 4))
 
 
+def _structures(spark: SparkSession, d: str, run: Callable[[E.Structure, list[int]], dict], kinds: str) -> DataFrame:
+    """``run`` on the verses of each chapter, with their numbers; rarity is over all verses, and a chapter bounds its group."""
+    c = C.content(spark, d)
+    one = c.select("verse_id", "root").distinct()
+    idf = one.groupBy("root").agg(F.count("*").alias("df")).withColumn("n", one.agg(F.count_distinct("verse_id")).scalar()).select("root", F.log(F.col("n") / F.col("df")).alias("idf"))
+
+    def of_chapter(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf.sort_values(["verse", "verse_id", "position"]).groupby(["verse", "verse_id"], sort=True)["root"].agg(list)
+        got = run(E.Structure(at.tolist(), dict(zip(pdf["root"], pdf["idf"]))), [int(v) for v, _ in at.index])
+        return pd.DataFrame([{"book": pdf["book"].iloc[0], "chapter": pdf["chapter"].iloc[0], **got}])
+
+    return c.join(idf, "root").select("book", "chapter", "verse", "verse_id", "position", "root", "idf").groupBy("book", "chapter").applyInPandas(of_chapter, f"book string, chapter int, {kinds}")
+
+
 def chapter_chains(spark: SparkSession, d: str) -> DataFrame:
-    """The longest chain of mirrored roots of each chapter, over the first root of each verse; a chapter bounds its group."""
-    first = C.content(spark, d).groupBy("book", "chapter", "verse", "verse_id").agg(F.min(F.struct("position", "root")).alias("f")).select("book", "chapter", "verse", "verse_id", F.col("f.root").alias("root"))
+    """The chain of mirrored verses of each chapter that weighs most, over all content roots and runs of two that a pair of verses shares."""
+
+    def run(s: E.Structure, verses: list[int]) -> dict:
+        score, pairs = s.chain()
+        return {"verses": s.n, "pairs": len(pairs), "weight": round(score, 6)}
+
+    return _structures(spark, d, run, "verses long, pairs long, weight double")
+
+
+def chapter_centres(spark: SparkSession, d: str) -> DataFrame:
+    """First and last verse inside the innermost pair of each chapter's chain; no row where there is none."""
+
+    def run(s: E.Structure, verses: list[int]) -> dict:
+        a, b = s.centre(s.chain()[1])
+        return {"first": verses[a] if a >= 0 else None, "last": verses[b] if a >= 0 else None}
+
+    return _structures(spark, d, run, "first int, last int").where("first is not null")
+
+
+def chapter_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The two verses that frame each chapter best; no row where nothing is repeated."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["verse", "verse_id"])
-        chain = E.best_chain(pdf["root"].tolist())
-        return pd.DataFrame({"book": [pdf["book"].iloc[0]], "chapter": [pdf["chapter"].iloc[0]], "verses": [len(pdf)], "pairs": [len(chain)]})
+    def run(s: E.Structure, verses: list[int]) -> dict:
+        score, a, b = s.frame()
+        return {"first": verses[a] if a >= 0 else None, "last": verses[b] if a >= 0 else None, "weight": round(score, 6)}
 
-    return first.groupBy("book", "chapter").applyInPandas(run, "book string, chapter int, verses long, pairs long")
+    return _structures(spark, d, run, "first int, last int, weight double").where("first is not null")
 
 
 _US = f"""{_T}, u AS (SELECT DISTINCT verse_id AS unit, root FROM ct), vo AS (SELECT root, count(*) AS support FROM u GROUP BY 1 HAVING count(*) >= 20 ORDER BY 2 DESC, root LIMIT 600),
@@ -253,7 +287,7 @@ tr AS (SELECT f5.s, f5.t, f5.p, b5.p AS back, verses FROM f5 JOIN b5 ON b5.s = f
 
 QUERIES = {
     f.__name__: f
-    for f in (set_vocabulary, word_sets, word_sets_all, constellations, constellations_all, set_kinds, set_places, set_places_all, set_inclusio, set_inclusio_all, alignment, trusted_renderings, best_source, renderings, disagreement, book_outliers, shift_evidence, companions, isolation, belonging, label_test, contexts, window_contexts, verse_contexts, chapter_chains)
+    for f in (set_vocabulary, word_sets, word_sets_all, constellations, constellations_all, set_kinds, set_places, set_places_all, set_inclusio, set_inclusio_all, alignment, trusted_renderings, best_source, renderings, disagreement, book_outliers, shift_evidence, companions, isolation, belonging, label_test, contexts, window_contexts, verse_contexts, chapter_chains, chapter_centres, chapter_frames)
 }
 
 SQL = {

@@ -139,3 +139,39 @@ def test_factors_rebuild_as_well_as_on_one_machine(spark):
     w = K._mix(h, 90, *K._flat(df.toArrow().combine_chunks().to_batches()[0].select(["at", "x"])))
     one, other = E.factorise(m, 3, 2000)
     assert np.linalg.norm(m - w @ h) <= 1.02 * np.linalg.norm(m - one @ other)
+
+
+def test_chapter_structures(spark, tmp_path):
+    """Verses mirror each other by roots that aren't their first; against the best of all nested chains."""
+    d, rnd = str(tmp_path), random.Random(6)
+    units = {(1, v): [f"H{rnd.randint(500, 999)}", f"H{x}", f"H{rnd.randint(1000, 9999)}"] for v, x in enumerate([1, 2, 3, 9, 3, 2, 1], 1)}
+    units |= {(c, v): [f"H{rnd.randint(100, 400)}" for _ in range(4)] for c in range(2, 12) for v in range(1, 11)}
+    verses = [(c * 100 + v, "B", c, v, "x") for c, v in units]
+    tokens = [(c * 100 + v, p, "s", "l", r, r, "N", False) for (c, v), u in units.items() for p, r in enumerate(u)]
+    spark.createDataFrame(verses, "verse_id long, book string, chapter int, verse int, language string").write.parquet(f"{d}/verses.parquet")
+    spark.createDataFrame(tokens, "verse_id long, position int, surface string, lemma string, root string, strongs string, morph string, is_stop boolean").write.parquet(f"{d}/tokens.parquet")
+    import math
+
+    df = {}
+    for u in units.values():
+        for r in set(u):
+            df[r] = df.get(r, 0) + 1
+    idf = {r: math.log(len(units) / n) for r, n in df.items()}
+
+    def weight(us, i, j):
+        theme = {r for u in us for r in u if len(us) >= 6 and 3 * sum(r in set(x) for x in us) > len(us)}
+        shared = {r for r in set(us[i]) & set(us[j]) if idf[r] >= 2 and r not in theme}
+        runs = set(zip(us[i], us[i][1:])) & set(zip(us[j], us[j][1:]))
+        return sum(idf[r] for r in shared) + sum((idf[a] + idf[b]) / 2 for a, b in runs if a in shared and b in shared)
+
+    def best(us, i, j):
+        return 0.0 if i >= j else max(best(us, i + 1, j), best(us, i, j - 1), best(us, i + 1, j - 1) + weight(us, i, j))
+
+    got = {r["chapter"]: r for r in Q["chapter_chains"](spark, d).collect()}
+    for c in (1, 2, 3):
+        us = [u for (k, _), u in units.items() if k == c]
+        assert got[c]["verses"] == len(us) and got[c]["weight"] == pytest.approx(best(us, 0, len(us) - 1), abs=1e-5)
+    assert got[1]["pairs"] == 3
+    centre = {r["chapter"]: (r["first"], r["last"]) for r in Q["chapter_centres"](spark, d).collect()}
+    frame = {r["chapter"]: (r["first"], r["last"]) for r in Q["chapter_frames"](spark, d).collect()}
+    assert centre[1] == (4, 4) and frame[1] == (1, 7)

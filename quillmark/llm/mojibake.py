@@ -23,8 +23,8 @@ READ_AS = ("cp1252", "latin-1", "cp437", "mac_roman", "cp1251", "cp1250", "cp850
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1255", "iso8859_2", "koi8_r", "cp866", "cp437", "mac_roman")
 #: Nats a repair must save: where bytes form UTF-8, which hardly happens by chance; and where only another table of letters is tried.
 UTF8_GAIN, TABLE_GAIN = 2.0, 18.0
-#: A word is odd when its character pairs cost this much each; other tables are tried where a text has so many odd words.
-ODD, ODD_WORDS = 5.5, 2
+#: A character pair outside ASCII is odd when it costs this much; other tables are tried where the odd pairs of a text cost ``TABLE_GAIN``, as no less could be saved.
+ODD_PAIR = 8.0
 #: Nats a character not seen anywhere may cost a word that decodes whole, where the same operation is proved by another word.
 UNSEEN = 12.0
 #: States that are taken from the queue for one text before the cheapest found so far is taken.
@@ -133,6 +133,7 @@ class Repairer:
         self.pairs, self.singles, self.total = pairs, singles, max(1, int(singles.sum()))
         self.pair_cost: dict[tuple[str, str], float] = {}
         self.word_cost: dict[str, float] = {}
+        self.odd_cost: dict[str, float] = {}
         self.undone: dict[str, dict[tuple, Move]] = {}
         self.tables: dict[str, dict[tuple, Move]] = {}
         self.swaps = [("table", r, w) for r in READ_AS[:9] for w in WRITTEN_IN if r != w]
@@ -151,8 +152,12 @@ class Repairer:
             c = self.word_cost[word] = sum(map(self._cost, " " + word, word + " "))
         return c
 
-    def odd(self, word: str) -> bool:
-        return self.cost(word) > ODD * (len(word) + 1)
+    def odd(self, word: str) -> float:
+        """What the odd pairs of a word cost, however plain the rest of it is."""
+        if (c := self.odd_cost.get(word)) is None:
+            w = f" {word} "
+            c = self.odd_cost[word] = sum(x for a, b in zip(w, w[1:]) if not (a.isascii() and b.isascii()) and (x := self._cost(a, b)) >= ODD_PAIR)
+        return c
 
     def undo(self, word: str) -> dict[tuple, Move]:
         """What undoing a reading of UTF-8, or an HTML escape, makes of a word: (text, nats saved, nothing left as it was)."""
@@ -185,7 +190,7 @@ class Repairer:
                 gain = gain if op[0] == "utf8" else 0.0
                 if gain >= UTF8_GAIN or gain + max((g for o, (_, g, _) in self.undo(after).items() if o[0] == "utf8"), default=-math.inf) >= UTF8_GAIN:
                     return True
-        return sum(map(self.odd, words)) >= ODD_WORDS
+        return sum(map(self.odd, words)) >= TABLE_GAIN
 
     def steps(self, words: tuple[str, ...], start: bool) -> Iterator[tuple[float, bool, tuple[str, ...]]]:
         """Neighbours of a state: one operation on the words, or on the passage, where it saves most.
@@ -197,7 +202,7 @@ class Repairer:
             for op, move in self.undo(w).items():
                 seen.setdefault(op, []).append((i, *move))
         left = not start and any(op[0] == "utf8" and h[2] >= UTF8_GAIN for op, hits in seen.items() for h in hits)
-        if not left and sum(map(self.odd, words)) >= ODD_WORDS:
+        if not left and sum(map(self.odd, words)) >= TABLE_GAIN:
             for i, w in enumerate(words):
                 if not w.isascii():
                     for op, move in self.swap(w).items():
@@ -248,8 +253,8 @@ class Repairer:
 
     def repair(self, text: str) -> str | None:
         """The restored text, or None where nothing is found to be garbled."""
-        if max(map(len, (self.pair_cost, self.word_cost, self.undone))) > REMEMBERED:
-            for known in (self.pair_cost, self.word_cost, self.undone, self.tables):
+        if max(map(len, (self.pair_cost, self.word_cost, self.odd_cost, self.undone))) > REMEMBERED:
+            for known in (self.pair_cost, self.word_cost, self.odd_cost, self.undone, self.tables):
                 known.clear()
         parts = _BLANKS.split(text)  # words at even places, the blanks between them at odd ones
         at = [i for i in range(0, len(parts), 2) if not parts[i].isascii() or "&" in parts[i]]

@@ -27,7 +27,7 @@ UTF8_GAIN, TABLE_GAIN = 2.0, 18.0
 ODD_PAIR = 8.0
 #: Nats a character not seen anywhere may cost a word that decodes whole, where the same operation is proved by another word.
 UNSEEN = 12.0
-#: States that are taken from the queue for one text before the cheapest found so far is taken.
+#: States that are taken from the queue before the cheapest found so far is taken; the search then starts again from it, until nothing is saved.
 POPS = 48
 REMEMBERED = 200_000
 
@@ -261,8 +261,10 @@ class Repairer:
         words = [parts[i] for i in at]
         if not self.suspect(words):
             return None
-        out = self.search(tuple(words))
-        if out is None or out == tuple(words):
+        out = tuple(words)
+        while (better := self.search(out)) is not None and better != out:  # each search saves something, so it ends
+            out = better
+        if out == tuple(words):
             return None
         for i, w in zip(at, out):
             parts[i] = w

@@ -22,3 +22,19 @@ def test_single_odd_letters_in_plain_words_are_found(spark):
     got = {r["doc_id"]: r["restored"] for r in find_garbled(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert len(bad) >= 2 and set(got) == set(bad), (len(bad), sorted(set(bad) ^ set(got)))
     assert [i for i in bad if got[i] != bad[i]] == []
+
+
+def test_many_separate_passages_are_restored():
+    """More passages than states of one search, with plain words between that the table would spoil."""
+    import numpy as np
+
+    from quillmark.llm import mojibake as J
+
+    rnd = random.Random(3)
+    sentence = lambda: " ".join([*(rnd.choice(VOCABULARY[:10]) for _ in range(6)), *(rnd.choice(VOCABULARY[10:]) for _ in range(4))]) + "."
+    c = np.frombuffer("\n".join(sentence() for _ in range(4000)).encode("utf-32-le"), np.uint32)
+    r = J.Repairer(np.bincount(J._pair_slots(c[:-1], c[1:]), minlength=J.PAIRS), np.bincount(c, minlength=J.SINGLES))
+    text = [sentence() for _ in range(2 * J.POPS + 30)]
+    bad = [s.encode("cp1252").decode("mac_roman") if i % 2 else s for i, s in enumerate(text)]
+    got = [s.strip() + "." for s in r.repair(" ".join(bad)).split(".")][: len(text)]
+    assert sum(a != b for a, b in zip(got, text)) <= 10  # one search of POPS states leaves 21 of 126

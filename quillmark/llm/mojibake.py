@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import html
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,8 @@ ODD_PAIR = 8.0
 UNSEEN = 12.0
 #: States that are taken from the queue before the cheapest found so far is taken; the search then starts again from it, until nothing is saved.
 POPS = 48
-REMEMBERED = 200_000
+#: Characters of words that a worker remembers, and characters that are costed in one array; without effect on results.
+REMEMBERED, STRETCH = 1 << 21, 1 << 13
 
 _BLANKS = regex.compile(r"([\t-\r ]+)")
 Move = tuple[str, float, bool]
@@ -127,36 +128,80 @@ def character_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Repairer:
-    """Searches the cheapest text that encode, decode and unescape operations lead to."""
+    """Searches the cheapest text that encode, decode and unescape operations lead to.
+
+    What is known of a word (its cost, its odd pairs, what each operation makes of it) is kept between texts, up to ``REMEMBERED``
+    characters of words; ``learn`` fills it for many words at once, so that the costs under all tables are array operations.
+    """
 
     def __init__(self, pairs: np.ndarray, singles: np.ndarray):
         self.pairs, self.singles, self.total = pairs, singles, max(1, int(singles.sum()))
-        self.pair_cost: dict[tuple[str, str], float] = {}
+        self.swaps = [(r, w) for r in READ_AS for w in WRITTEN_IN if r != w]
+        tables = [_table(*op) for op in self.swaps]
+        moved = sorted({c for t in tables for c in t})
+        self.index = np.zeros(0x110000, np.int16)
+        self.index[moved] = np.arange(1, len(moved) + 1)
+        self.moved = np.array([[0, *(ord(t.get(c, chr(c))) for c in moved)] for t in tables], np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.held = 0
         self.word_cost: dict[str, float] = {}
-        self.odd_cost: dict[str, float] = {}
+        self.odd: dict[str, float] = {}
+        self.garbled: dict[str, bool] = {}
         self.undone: dict[str, dict[tuple, Move]] = {}
-        self.tables: dict[str, dict[tuple, Move]] = {}
-        self.swaps = [("table", r, w) for r in READ_AS[:9] for w in WRITTEN_IN if r != w]
-
-    def _cost(self, a: str, b: str) -> float:
-        if (c := self.pair_cost.get((a, b))) is None:
-            n12 = int(self.pairs[_pair_slots(np.array([ord(a)]), np.array([ord(b)]))[0]])
-            single = (int(self.singles[ord(b)]) + 0.1) / (self.total + 1000.0)
-            c = -math.log(0.95 * n12 / (int(self.singles[ord(a)]) + 20.0) + 0.05 * single) + (6.0 if b == _LOST or "\x7f" <= b < "\xa0" else 0.0)
-            self.pair_cost[a, b] = c
-        return c
+        self.row: dict[str, int] = {}
+        self.gains = np.zeros((1024, len(self.swaps)))
+
+    def _costs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Nats of each character ``b`` after ``a``; control characters and lost ones cost more."""
+        single = (self.singles[b] + 0.1) / (self.total + 1000.0)
+        return 6.0 * ((b == ord(_LOST)) | ((b >= 0x7F) & (b < 0xA0))) - np.log(0.95 * self.pairs[_pair_slots(a, b)] / (self.singles[a] + 20.0) + 0.05 * single)
+
+    def _laid_out(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The words with blanks between, in stretches: (characters, places of pairs outside ASCII, word of each pair)."""
+        codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        for p in range(0, len(codes) - 1, STRETCH):
+            c = codes[p : p + STRETCH + 1]
+            yield c, owner[p : p + STRETCH], np.flatnonzero((c[:-1] >= 0x80) | (c[1:] >= 0x80))
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Costs, odd pairs and readings of UTF-8 of words not known yet."""
+        if new := [w for w in dict.fromkeys(words) if w not in self.garbled]:
+            cost, odd = np.zeros(len(new)), np.zeros(len(new))
+            for c, owner, outside in self._laid_out(new):
+                each = self._costs(c[:-1], c[1:])
+                np.add.at(cost, owner, each)
+                dear = outside[each[outside] >= ODD_PAIR]
+                np.add.at(odd, owner[dear], each[dear])
+            self.word_cost.update(zip(new, cost.tolist()))
+            self.odd.update(zip(new, odd.tolist()))
+            self.garbled.update((w, self._garbled(w)) for w in new)
+            self.held += sum(map(len, new))
+
+    def learn_swaps(self, words: Iterable[str]) -> None:
+        """What every other table of letters saves, of words not known yet."""
+        if new := [w for w in dict.fromkeys(words) if w not in self.row]:
+            at = len(self.row)
+            self.row.update(zip(new, range(at, at + len(new))))
+            while len(self.row) > len(self.gains):
+                self.gains = np.concatenate([self.gains, np.zeros_like(self.gains)])
+            self.gains[at : at + len(new)] = 0.0
+            for c, owner, outside in self._laid_out(new):
+                if len(outside):
+                    i = self.index[c]
+                    after = np.where(i > 0, self.moved[:, i], c)
+                    saved = self._costs(c[outside], c[outside + 1]) - self._costs(after[:, outside], after[:, outside + 1])
+                    starts = np.flatnonzero(np.diff(owner[outside], prepend=-1))
+                    self.gains[at + owner[outside][starts]] += np.add.reduceat(saved, starts, axis=1).T
 
     def cost(self, word: str) -> float:
         """Sum of the costs of the character pairs of a word between blanks."""
         if (c := self.word_cost.get(word)) is None:
-            c = self.word_cost[word] = sum(map(self._cost, " " + word, word + " "))
-        return c
-
-    def odd(self, word: str) -> float:
-        """What the odd pairs of a word cost, however plain the rest of it is."""
-        if (c := self.odd_cost.get(word)) is None:
-            w = f" {word} "
-            c = self.odd_cost[word] = sum(x for a, b in zip(w, w[1:]) if not (a.isascii() and b.isascii()) and (x := self._cost(a, b)) >= ODD_PAIR)
+            x = np.frombuffer(f" {word} ".encode("utf-32-le"), np.uint32)
+            c = self.word_cost[word] = float(self._costs(x[:-1], x[1:]).sum())
+            self.held += len(word)
         return c
 
     def undo(self, word: str) -> dict[tuple, Move]:
@@ -171,105 +216,133 @@ class Repairer:
             if "&" in word and (after := html.unescape(word)) != word:
                 m["unescape",] = (after, self.cost(word) - self.cost(after), True)
             self.undone[word] = m
+            self.held += len(word)
         return m
 
-    def swap(self, word: str) -> dict[tuple, Move]:
-        """What other tables of letters make of a word."""
-        if (m := self.tables.get(word)) is None:
-            m = self.tables[word] = {}
-            for op in self.swaps:
-                after = word.translate(_table(op[1], op[2]))
-                if after != word:
-                    m[op] = (after, self.cost(word) - self.cost(after), True)
-        return m
+    def _garbled(self, word: str) -> bool:
+        """Whether undoing readings of UTF-8 or escapes could save enough in this word."""
+        for op, (after, gain, _) in self.undo(word).items():
+            gain = gain if op[0] == "utf8" else 0.0
+            if gain >= UTF8_GAIN or gain + max((g for o, (_, g, _) in self.undo(after).items() if o[0] == "utf8"), default=-math.inf) >= UTF8_GAIN:
+                return True
+        return False
 
-    def suspect(self, words: list[str]) -> bool:
-        """Whether any operation could save enough."""
-        for w in words:
-            for op, (after, gain, _) in self.undo(w).items():
-                gain = gain if op[0] == "utf8" else 0.0
-                if gain >= UTF8_GAIN or gain + max((g for o, (_, g, _) in self.undo(after).items() if o[0] == "utf8"), default=-math.inf) >= UTF8_GAIN:
-                    return True
-        return sum(map(self.odd, words)) >= TABLE_GAIN
+    def odd_enough(self, words: Iterable[str]) -> bool:
+        """Whether another table of letters could save enough."""
+        return sum(map(self.odd.__getitem__, words)) >= TABLE_GAIN
 
-    def steps(self, words: tuple[str, ...], start: bool) -> Iterator[tuple[float, bool, tuple[str, ...]]]:
-        """Neighbours of a state: one operation on the words, or on the passage, where it saves most.
+    def tables(self, words: tuple[str, ...]) -> Iterator[tuple[float, tuple[str, ...]]]:
+        """What each other table of letters makes of the runs of words it saves most in.
 
-        Other tables of letters are tried at the start and wherever no reading of UTF-8 is left to undo, not again at each state between.
+        A table holds for a passage, so words that it spoils count against it; each run of words saves ``TABLE_GAIN`` at least, and where
+        words between two runs would lose more than that, they are two runs.
         """
+        at = [i for i, w in enumerate(words) if not w.isascii()]
+        self.learn_swaps(words[i] for i in at)
+        saved = self.gains[[self.row[words[i]] for i in at]]
+        sums = np.cumsum(saved, axis=0)
+        most = (sums - np.minimum(0.0, np.minimum.accumulate(np.concatenate([np.zeros((1, sums.shape[1])), sums[:-1]])))).max(axis=0)
+        for k in np.flatnonzero(most >= TABLE_GAIN).tolist():
+            table, out, gain = _table(*self.swaps[k]), list(words), 0.0
+            for j in _runs(saved[:, k].tolist(), TABLE_GAIN):
+                out[at[j]] = words[at[j]].translate(table)
+                gain += saved[j, k]
+            yield float(gain), tuple(out)
+
+    def steps(self, words: tuple[str, ...]) -> Iterator[tuple[float, bool, tuple[str, ...]]]:
+        """Neighbours of a state: one operation on the words, or on the passages, where it saves most."""
+        self.learn(words)
         seen: dict[tuple, list[tuple[int, str, float, bool]]] = {}
         for i, w in enumerate(words):
-            for op, move in self.undo(w).items():
+            for op, move in self.undone[w].items():
                 seen.setdefault(op, []).append((i, *move))
-        left = not start and any(op[0] == "utf8" and h[2] >= UTF8_GAIN for op, hits in seen.items() for h in hits)
-        if not left and sum(map(self.odd, words)) >= TABLE_GAIN:
-            for i, w in enumerate(words):
-                if not w.isascii():
-                    for op, move in self.swap(w).items():
-                        seen.setdefault(op, []).append((i, *move))
-        for op, hits in seen.items():
-            if op[0] == "table":  # another table of letters holds for a passage, so words that it spoils count against it
-                best = here = 0.0
-                lo = hi = start = 0
-                for k, h in enumerate(hits):
-                    if here <= 0:
-                        here, start = 0.0, k
-                    here += h[2]
-                    if here > best:
-                        best, lo, hi = here, start, k + 1
-                chosen, need = hits[lo:hi], TABLE_GAIN
-            else:  # UTF-8 proves itself word by word; where it did, words of nothing else follow
-                best, need = max(h[2] for h in hits), -UNSEEN  # a step may cost something where the next one saves more
+        for op, hits in seen.items():  # UTF-8 proves itself word by word; where it did, words of nothing else follow
+            best = max(h[2] for h in hits)
+            if best >= -UNSEEN:  # a step may cost something where the next one saves more
                 proved = best >= UTF8_GAIN
                 chosen = [h for h in hits if h[2] > 0 or (h[2] > -UNSEEN * len(h[1]) if proved and h[3] else not proved and h[2] == best)]
-            if chosen and best >= need:
                 out = list(words)
                 for i, after, _, _ in chosen:
                     out[i] = after
                 yield sum(h[2] for h in chosen), op[0] != "unescape", tuple(out)
+        if self.odd_enough(words):
+            for saved, out in self.tables(words):
+                yield saved, True, out
 
     def search(self, words: tuple[str, ...]) -> tuple[str, ...] | None:
         """Best-first: the cheapest state is taken next, states seen are not taken again, and the cheapest one met is the result.
 
-        An HTML escape by itself is markup, so a state counts only once an encoding was undone on the way to it.
+        An HTML escape by itself is markup, so a state counts only once an encoding was undone on the way to it. States dearer than
+        the text by more than ``UNSEEN`` are not gone on from. With something found, the search ends after ``POPS`` states, to start
+        again from there; without, it goes on until no state is left.
         """
         first = sum(map(self.cost, words))
         queue: list[tuple[float, int, bool, tuple[str, ...]]] = [(first, 0, False, words)]
-        visited, best, count = {(hash(words), False)}, (math.inf, words), 0
-        for _ in range(POPS):
-            if not queue:
-                break
+        visited, best, count, taken = {(hash(words), False)}, (math.inf, words), 0, 0
+        while queue and queue[0][0] < best[0] and (taken < POPS or best[0] == math.inf):
             cost, _, undone, state = heapq.heappop(queue)
+            taken += 1
             if undone and cost < best[0] and cost <= first - UTF8_GAIN:
                 best = (cost, state)
-            for saved, encoding, nxt in self.steps(state, state is words):
-                if (h := (hash(nxt), undone or encoding)) not in visited:
+            for saved, encoding, nxt in self.steps(state):
+                if cost - saved <= first + UNSEEN and (h := (hash(nxt), undone or encoding)) not in visited:
                     visited.add(h)
                     count += 1
                     heapq.heappush(queue, (cost - saved, count, undone or encoding, nxt))
-            if queue and queue[0][0] >= best[0]:
-                break
         return best[1] if best[0] < math.inf else None
 
-    def repair(self, text: str) -> str | None:
-        """The restored text, or None where nothing is found to be garbled."""
-        if max(map(len, (self.pair_cost, self.word_cost, self.odd_cost, self.undone))) > REMEMBERED:
-            for known in (self.pair_cost, self.word_cost, self.odd_cost, self.undone, self.tables):
-                known.clear()
-        parts = _BLANKS.split(text)  # words at even places, the blanks between them at odd ones
-        at = [i for i in range(0, len(parts), 2) if not parts[i].isascii() or "&" in parts[i]]
-        words = [parts[i] for i in at]
-        if not self.suspect(words):
-            return None
-        out = tuple(words)
+    def repair_all(self, texts: list[str]) -> list[str | None]:
+        """The restored texts; None where nothing is found to be garbled."""
+        if self.held > REMEMBERED:
+            self.forget()
+        split = [_BLANKS.split(t) for t in texts]  # words at even places, the blanks between them at odd ones
+        at = [[i for i in range(0, len(parts), 2) if not parts[i].isascii() or "&" in parts[i]] for parts in split]
+        self.learn(parts[i] for parts, places in zip(split, at) for i in places)
+        suspects, odd = [], []
+        for k, (parts, places) in enumerate(zip(split, at)):
+            words = [parts[i] for i in places]
+            if strange := self.odd_enough(words):
+                odd += [w for w in words if not w.isascii()]
+            suspects.append(strange or any(map(self.garbled.__getitem__, words)))
+        self.learn_swaps(odd)
+        return [self._restored(parts, places) if s else None for parts, places, s in zip(split, at, suspects)]
+
+    def _restored(self, parts: list[str], places: list[int]) -> str | None:
+        words = out = tuple(parts[i] for i in places)
         while (better := self.search(out)) is not None and better != out:  # each search saves something, so it ends
             out = better
-        if out == tuple(words):
+        if out == words:
             return None
-        for i, w in zip(at, out):
+        for i, w in zip(places, out):
             parts[i] = w
         return "".join(parts)
 
+    def repair(self, text: str) -> str | None:
+        """The restored text, or None where nothing is found to be garbled."""
+        return self.repair_all([text])[0]
+
+
+def _runs(saved: list[float], price: float) -> list[int]:
+    """The places in the runs that save most together, where each run costs ``price``."""
+    off, on, began = 0.0, -math.inf, []
+    closed = []
+    for g in saved:  # best sums so far, outside and inside a run
+        opened = off - price > on
+        on_now = (off - price if opened else on) + g
+        ended = on > off
+        off = max(off, on)
+        began.append(opened)
+        closed.append(ended)
+        on = on_now
+    inside, out = on > off, []
+    for k in range(len(saved) - 1, -1, -1):
+        if inside:
+            out.append(k)
+            inside = not began[k]
+        else:
+            inside = closed[k]
+    return out[::-1]
+
 
 def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, restored, whole) of the rows some part of whose text was read in a wrong encoding.
@@ -287,10 +360,10 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Repairer(*shared.value)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             at, restored, whole = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                out = r.repair(t)
+            texts = b.column(1).to_pylist()
+            for i, (t, out) in enumerate(zip(texts, r.repair_all(texts))):
                 if out is not None or _LOST in t:
                     at.append(i)
                     restored.append(t if out is None else out)

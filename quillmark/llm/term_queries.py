@@ -24,7 +24,12 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    out = distinctive_terms(_book_roots(spark, d), "book", "root", min_df=1)
+    """The score chooses the candidates, the exact rule is then checked on their counts.
+
+    From n / t >= 8 m / u follows n / t >= (n + m) / (t + u), so that the smoothed probability is no less than the collection's and the
+    score is not negative (nought where there is one book). Roots of one book count by the rule, so the cutoff is one record.
+    """
+    out = distinctive_terms(_book_roots(spark, d), "book", "root", min_df=1).where(F.col("score") >= -1e-12)
     m, u = F.col("term_total") - F.col("n"), F.col("total") - F.col("record_total")
     return out.where((F.col("n") >= 5) & (F.col("n") * u >= 8 * m * F.col("record_total"))).select("book", "root")
 
@@ -84,8 +89,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Every run of up to two roots with its occurrences and verses."""
-    out = ngram_counts(occurrences(spark, d, "root"), "verse_id", "position", ["root"], n_max=2)
+    """Every run of up to three roots with its occurrences and verses."""
+    out = ngram_counts(occurrences(spark, d, "root"), "verse_id", "position", ["root"], n_max=3)
     return out.select("n", F.array_join("gram", " ").alias("run"), "occurrences", F.col("records").alias("verses"))
 
 
@@ -168,7 +173,9 @@ SQL = {
     "p6_terms": f"{_P6} SELECT field_name, term, occurrences, verses, CASE WHEN verses = 1 THEN 'rare' WHEN verses * 10 > n THEN 'common' ELSE 'useful' END AS mark FROM f CROSS JOIN v",
     "p6_weights": f"{_P6} SELECT w.term, weight, coalesce(occurrences, 0) AS occurrences, weight = coalesce(occurrences, 0) AS agrees FROM w LEFT JOIN f ON f.field_name = 'root' AND f.term = w.term",
     "p6_runs": f"""WITH {_OCC}, g AS (SELECT 1 AS n, root AS run, verse_id FROM occ WHERE root IS NOT NULL
-      UNION ALL SELECT 2, a.root || ' ' || b.root, a.verse_id FROM occ a JOIN occ b ON a.verse_id = b.verse_id AND b.position = a.position + 1 WHERE a.root IS NOT NULL AND b.root IS NOT NULL)
+      UNION ALL SELECT 2, a.root || ' ' || b.root, a.verse_id FROM occ a JOIN occ b ON a.verse_id = b.verse_id AND b.position = a.position + 1 WHERE a.root IS NOT NULL AND b.root IS NOT NULL
+      UNION ALL SELECT 3, a.root || ' ' || b.root || ' ' || c.root, a.verse_id FROM occ a JOIN occ b ON a.verse_id = b.verse_id AND b.position = a.position + 1
+        JOIN occ c ON a.verse_id = c.verse_id AND c.position = a.position + 2 WHERE a.root IS NOT NULL AND b.root IS NOT NULL AND c.root IS NOT NULL)
       SELECT n, run, count(*) AS occurrences, count(DISTINCT verse_id) AS verses FROM g GROUP BY 1, 2""",
     "p7_links": f"{_p7_links('words', _WORDS, 10)} UNION ALL {_p7_links('roots', _ROOTS, 8)}",
     "p7_found": f"{_p7('words', _WORDS, 10)} UNION ALL {_p7('roots', _ROOTS, 8)}",

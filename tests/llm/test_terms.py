@@ -48,21 +48,22 @@ def test_pairs_empty(spark):
     assert co_occurring(spark.createDataFrame([], "basket long, item string"), "basket", "item").count() == 0
 
 
-@pytest.mark.parametrize("segment", [8192, 5])
-def test_ngrams_against_brute_force(spark, segment):
+@pytest.mark.parametrize("segment, n_max, key", [(8192, 3, "long"), (5, 3, "long"), (5, 3, "string"), (8192, None, "string")])
+def test_ngrams_against_brute_force(spark, segment, n_max, key):
     rnd = random.Random(3)
     rows = []
-    for rec in range(40):
+    for rec in (i if key == "long" else f"r{i}" for i in range(40)):
         for pos in range(rnd.randint(0, 17)):
             if rnd.random() < 0.93:
                 rows.append((rec, pos, rnd.choice(["a", "b", "c", "", None]), rnd.choice("xy")))
-    df = spark.createDataFrame(rows, "rec long, position int, t string, gram string")
-    got = {(r["field"], tuple(r["gram"])): (r["occurrences"], r["records"]) for r in ngram_counts(df, "rec", "position", ["t", "gram"], 3, segment).collect()}
+    rows += [("long" if key == "string" else 77, pos, "a", "xy"[pos % 7 == 0]) for pos in range(60)]
+    df = spark.createDataFrame(rows, f"rec {key}, position int, t string, gram string")
+    got = {(r["field"], tuple(r["gram"])): (r["occurrences"], r["records"]) for r in ngram_counts(df, "rec", "position", ["t", "gram"], n_max, segment).collect()}
     tf, df_ = Counter(), defaultdict(set)
     for field, k in (("t", 2), ("gram", 3)):
         at = {(r[0], r[1]): r[k] for r in rows}
         for (rec, pos), _ in at.items():
-            for n in (1, 2, 3):
+            for n in range(1, (n_max or 60) + 1):
                 g = tuple(at.get((rec, pos + j)) for j in range(n))
                 if None not in g:
                     tf[field, g] += 1
@@ -121,3 +122,16 @@ def test_common_terms_use_combinations(spark):
     sets = {i: frozenset(rnd.sample(range(14), rnd.randint(8, 12))) for i in range(700)}
     df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, items array<string>")
     assert {(r["id_a"], r["id_b"]) for r in similar_pairs(df, 8).collect()} == _brute(sets, 8)
+
+
+@pytest.mark.parametrize("num, den", [(3, 10), (1, 2), (2, 3), (9, 10), (1, 1), (1, 20)])
+def test_set_join_at_any_threshold(spark, num, den):
+    """Small and large sets, one term in nearly all of them; nothing is lost at any threshold."""
+    rnd = random.Random(num * 31 + den)
+    sets = {0: {"c"}} | {i: {"c", f"x{i}"} for i in range(1, 41)}
+    for i in range(100, 260):
+        base = set(rnd.choice(list(sets.values()))) if rnd.random() < 0.6 else {f"w{int(rnd.paretovariate(0.7)) % 90}" for _ in range(rnd.choice([1, 2, 3, 5, 9, 20, 70, 100]))}
+        sets[i] = base | {"c"} | {f"w{rnd.randint(0, 89)}" for _ in range(rnd.randint(0, 2))}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<string>")
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2) if den * len(x & y) >= num * len(x | y)}
+    assert {(r["id_a"], r["id_b"]) for r in similar_pairs(df, 1, num, den).collect()} == want

@@ -19,7 +19,7 @@ TOKENIZERS = "/opt/tokenizers"
 #: The published split pattern of the 50k byte-level vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a Python worker remembers before it starts anew; a bound on memory, without effect on results.
-REMEMBERED = 400_000
+REMEMBERED = 1 << 22
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,6 +59,7 @@ class SpeculativeBPE:
         self.longest = max(map(len, self.ids))
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.mended = 0
 
     def greedy(self, word: bytes) -> list[int]:
@@ -151,9 +152,11 @@ class SpeculativeBPE:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, all border checks of the batch at once."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         new = [w for w in words if w not in self.known]
+        self.held += sum(map(len, new)) + 16 * len(new)
         if not new:
             return
         raw = [w.encode("utf-8") for w in new]

@@ -67,7 +67,8 @@ _SEEN = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>")
 _CLASS = {c: row.split() for row in LOOKALIKES.split("\n") for c in row.split()}
 _SHAPE = {ord(c): row[0] for c, row in _CLASS.items()}
 _SWITCH = 1e4  # a change of script weighs more than any n-gram score of a word
-REMEMBERED = 400_000
+#: Characters of words that a worker remembers; without effect on results.
+REMEMBERED = 1 << 22
 
 
 @lru_cache(maxsize=None)
@@ -105,17 +106,20 @@ class Lattice:
             self.total[a] += n
         self.counts = counts
         self.known: dict[str, str] = {}
+        self.held = 0
 
     def score(self, a: str, b: str) -> float:
         return math.log((self.counts.get((a, b), 0) + 0.5) / (self.total[a] + 64.0))
 
     def word(self, w: str) -> str:
-        """The best path: fewest changes of script, then the highest sum of character bigram scores, then code points."""
+        """The best path: fewest changes of script, then the highest sum of character bigram scores; of equal ones the same for every word of the shape."""
         shape = w.translate(_SHAPE)
         if (out := self.known.get(shape)) is None:
-            if len(self.known) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.known.clear()
+                self.held = 0
             out = self.known[shape] = self._search(shape)
+            self.held += len(shape)
         return out
 
     def _search(self, shape: str) -> str:
@@ -124,19 +128,23 @@ class Lattice:
             (only,) = fixed
             if all(any(script(x) == only for x in _CLASS[c]) for c in shape if c in _CLASS):
                 return "".join(next(x for x in _CLASS[c] if script(x) == only) if c in _CLASS else c for c in shape)
-        paths: dict[tuple[str, str], tuple[float, str]] = {("", "^"): (0.0, "")}  # (script, last letter) -> cost, text
+        # per step: (last letter, its script) -> (cost, the state before); letters are read back from the end, so a word of any length is one pass
+        paths: dict[tuple[str, str], tuple[float, tuple[str, str]]] = {("^", ""): (0.0, ("", ""))}
+        trail: list[dict[tuple[str, str], tuple[float, tuple[str, str]]]] = []
         for c in shape:
             if c not in _CLASS and not script(c):  # marks, digits and signs don't break a word's script
-                paths = {k: (cost, t + c) for k, (cost, t) in paths.items()}
                 continue
-            step: dict[tuple[str, str], tuple[float, str]] = {}
+            step = {}
             for x in _CLASS.get(c, [c]):
                 s = script(x)
-                best = min((cost + (_SWITCH if was and was != s else 0.0) - self.score(*_pair(was, last, x)), t + x) for (was, last), (cost, t) in paths.items())
-                if (s, x) not in step or best < step[s, x]:
-                    step[s, x] = best
+                step[x, s] = min((cost + (_SWITCH if was and was != s else 0.0) - self.score(*_pair(was, last, x)), (last, was)) for (last, was), (cost, _) in paths.items())
+            trail.append(step)
             paths = step
-        return min(paths.values())[1]
+        at, letters = min(paths, key=lambda k: (paths[k][0], k)), []
+        for step in reversed(trail):
+            letters.append(at[0])
+            at = step[at][1]
+        return "".join(letters.pop() if c in _CLASS or script(c) else c for c in shape)
 
     def form(self, text: str) -> str:
         return unicodedata.normalize("NFC", " ".join([self.word(w) for w in plain(text).split(" ")]))
@@ -161,8 +169,11 @@ def bigram_counts(df: DataFrame, text: str) -> dict[tuple[str, str], int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: Counter[tuple[str, str]] = Counter()
         words: Counter[str] = Counter()
+        held = 0
 
         def spend() -> None:
+            nonlocal held
+            held = 0
             for w, n in words.items():
                 letters = [c for c in w if script(c)]
                 if letters and len({script(c) for c in letters}) == 1:
@@ -175,8 +186,9 @@ def bigram_counts(df: DataFrame, text: str) -> dict[tuple[str, str], int]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 words.update(plain(t).split(" "))
-            if len(words) > REMEMBERED:
-                spend()
+                held += len(t)  # an upper bound of what the words hold
+                if held > REMEMBERED:
+                    spend()
         spend()
         keys = list(out)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([out[k] for k in keys], pa.int64())], names=["a", "b", "n"])

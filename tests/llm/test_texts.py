@@ -150,6 +150,7 @@ def test_one_form():
     assert f("") == "" and plain("a\tb") == "a b"
     long = "ｔｈе " * 20000
     assert f(long) == "the " * 20000
+    assert f("ｔｈе" * 100000) == "the" * 100000  # one word without a blank
 
 
 def test_form_column_and_pairs(spark):

@@ -13,28 +13,22 @@ def _book_key(c: str) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.col(c))), r"\.$", "")
 
 
-def _links(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    """The three kinds of reference, each with its parent index."""
-    verses = O.presence(table(spark, d, "verses"), F.col("verse_id"), "loaded")
-    passages = O.presence(table(spark, d, "passages"), F.col("passage_id"), "added", "withdrawn")
+def _state(spark: SparkSession, d: str) -> O.OrphanState:
+    """The three kinds of reference and their parents, run through the state in the order of their times; keys bear the table they point at."""
+    at = lambda name, key: F.concat(F.lit(f"{name} "), key.cast("string"))
     books = table(spark, d, "books")
     named = books.select(F.explode(F.array(F.lower("name"), F.lower("abbreviation"))).alias("book_key"), "added", "withdrawn")
-    return [
-        (O.references(table(spark, d, "theme_verse"), "theme_verse", "id", F.col("verse_id"), "loaded"), verses),
-        (O.references(table(spark, d, "passage_ranges"), "passage_ranges", "id", F.col("passage_id"), "added"), passages),
-        (O.references(table(spark, d, "cross_references"), "cross_references", "id", _book_key("to_book"), "added", F.col("to_book")), O.presence(named, F.col("book_key"), "added", "withdrawn")),
-    ]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return _union([O.probe(refs, parents) for refs, parents in _links(spark, d)])
+    parents = (
+        O.parent_records(table(spark, d, "verses"), at("verses", F.col("verse_id")), "loaded")
+        .unionByName(O.parent_records(table(spark, d, "passages"), at("passages", F.col("passage_id")), "added", "withdrawn"))
+        .unionByName(O.parent_records(named, at("books", F.col("book_key")), "added", "withdrawn"))
+    )
+    refs = (
+        O.references(table(spark, d, "theme_verse"), "theme_verse", "id", at("verses", F.col("verse_id")), "loaded", F.col("verse_id"))
+        .unionByName(O.references(table(spark, d, "passage_ranges"), "passage_ranges", "id", at("passages", F.col("passage_id")), "added", F.col("passage_id")))
+        .unionByName(O.references(table(spark, d, "cross_references"), "cross_references", "id", at("books", _book_key("to_book")), "added", F.col("to_book")))
+    )
+    return O.fold(refs, parents)
 
 
 def _month(df: DataFrame) -> DataFrame:
@@ -42,15 +36,15 @@ def _month(df: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("ref_table", "ref_id").distinct()
+    return O.orphaned(_state(spark, d).log()).select("ref_table", "ref_id").distinct()
 
 
 def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return _month(O.orphans_by_period(_orphans(spark, d)))
+    return _month(O.orphans_by_period(O.orphaned(_state(spark, d).log())))
 
 
 def p3_pending(spark: SparkSession, d: str) -> DataFrame:
-    return _month(_union([O.pending_by_period(refs, parents) for refs, parents in _links(spark, d)]))
+    return _month(O.pending_by_period(_state(spark, d).log()))
 
 
 _REFS_SQL = r"""

@@ -31,20 +31,17 @@ def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def track_orphans(stream: DataFrame, path: str, checkpoint: str, seen: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Keep orphan state over a stream of rows (kind, ref_table, ref_id, key, at), kind being ``ref``, ``arrival`` or ``deletion``.
 
-    Each batch reads the state the last one wrote, applies one step and writes the next under ``path``/<batch>; a batch that
-    runs again writes the same folder, so nothing counts twice. ``seen`` gets the batch's changes.
+    Each batch adds its own folder to the logs under ``path``; a batch that runs again writes the same folder, so nothing counts
+    twice. ``seen`` gets the batch's changes.
     """
 
     def step(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        last = f"{path}/{batch - 1}"
-        state = OrphanState(spark.read.parquet(f"{last}/parents"), spark.read.parquet(f"{last}/refs")) if batch else OrphanState.empty(spark)
-        refs = df.where("kind = 'ref'").select("ref_table", "ref_id", "key", "at")
-        state, changes = state.step(refs, df.where("kind = 'arrival'").select("key", F.col("at").alias("since")), df.where("kind = 'deletion'").select("key", F.col("at").alias("until")))
-        changes.write.mode("overwrite").parquet(f"{path}/{batch}/changes")
-        state.parents.write.mode("overwrite").parquet(f"{path}/{batch}/parents")
-        state.refs.write.mode("overwrite").parquet(f"{path}/{batch}/refs")
+        df = df.persist()
+        pick = lambda kind, t: df.where(F.col("kind") == kind).select("key", F.col("at").alias(t))
+        state = OrphanState(df.sparkSession, path, batch, df.schema["at"].dataType.simpleString())
+        _, changes = state.step(df.where("kind = 'ref'").select("ref_table", "ref_id", "key", "at"), pick("arrival", "since"), pick("deletion", "until"))
         if seen:
-            seen(batch, spark.read.parquet(f"{path}/{batch}/changes"))
+            seen(batch, changes)
+        df.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

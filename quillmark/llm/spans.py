@@ -7,12 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from quillmark.llm.rows import slices
-from quillmark.session import cut_lineage
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2**64
 
@@ -118,69 +117,99 @@ def _chunker(symbols: Callable[[str], np.ndarray], c: Chunking):
             own = lay.owner[start]
             base = lay.starts[own]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(own)), pa.array(lay.digest(start, end, 0)), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32))],
-                names=["id", "chunk", "lo", "hi"],
+                [b.column(0).take(pa.array(own)), pa.array(lay.digest(start, end, 0)), pa.array((start - base) << 32 | (end - base))], names=["id", "chunk", "place"]
             )
 
     return run
 
 
-def _windows(symbols: Callable[[str], np.ndarray], c: Chunking):
-    """Digests of every window of ``span`` symbols around the chunks of a record; each window once."""
+def _windows(b: pa.RecordBatch, symbols: Callable[[str], np.ndarray], c: Chunking) -> tuple[Layout, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of ``span`` symbols around the chunks of each record: (layout, starts, first start of the same window in the record, two digests)."""
+    lay = Layout([symbols(t) for t in b.column(1).to_pylist()], c)
+    place = b.column(2).flatten().to_numpy()
+    own = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+    a, e = (place >> 32) + lay.starts[own], (place & 0xFFFFFFFF) + lay.starts[own]
+    first = np.maximum(e - c.span, lay.starts[own])
+    final = np.minimum(a, lay.starts[own] + lay.lengths[own] - c.span)
+    ok = first <= final
+    mark = np.zeros(len(lay.g) + 1, np.int64)
+    np.add.at(mark, first[ok], 1)
+    np.add.at(mark, final[ok] + 1, -1)
+    s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    w1, w2, who = lay.digest(s, s + c.span, 0), lay.digest(s, s + c.span, 1), lay.owner[s]
+    order = np.lexsort((w2, w1, who))
+    new = np.ones(len(s), bool)
+    new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1]) | (who[order][1:] != who[order][:-1])
+    again = np.empty(len(s), np.int64)
+    again[order] = s[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(s) else s
+    return lay, s, again, w1, w2
+
+
+def _digests(symbols: Callable[[str], np.ndarray], c: Chunking):
+    """Each window of a record once, with the place where it comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _groups(batches):
-            seqs = [symbols(t) for t in b.column(1).to_pylist()]
-            lay = Layout(seqs, c)
-            m = len(lay.g)
-            lo, hi = b.column(2), b.column(3)
-            own = np.repeat(np.arange(b.num_rows), np.diff(lo.offsets.to_numpy()))
-            a = lo.flatten().to_numpy().astype(np.int64) + lay.starts[own]
-            e = hi.flatten().to_numpy().astype(np.int64) + lay.starts[own]
-            first = np.maximum(e - c.span, lay.starts[own])
-            final = np.minimum(a, lay.starts[own] + lay.lengths[own] - c.span)
-            ok = first <= final
-            mark = np.zeros(m + 1, np.int64)
-            np.add.at(mark, first[ok], 1)
-            np.add.at(mark, final[ok] + 1, -1)
-            s = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            lay, s, first, w1, w2 = _windows(b, symbols, c)
+            at = np.flatnonzero(s == first)
+            who = lay.owner[s[at]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), pa.array(w1[at]), pa.array(w2[at]), pa.array((s[at] - lay.starts[who]).astype(np.int32))], names=["id", "w1", "w2", "at"])
+
+    return run
+
+
+def _shared(symbols: Callable[[str], np.ndarray], c: Chunking, totals: bool):
+    """The windows of each record less those that it alone holds; with ``totals`` how many symbols they cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _groups(batches):
+            lay, s, first, _, _ = _windows(b, symbols, c)
+            alone = b.column(3).flatten().to_numpy() + np.repeat(lay.starts, pc.fill_null(pc.list_value_length(b.column(3)), 0).to_numpy())
+            s = s[~np.isin(first, alone)]
             who = lay.owner[s]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(who)), pa.array(lay.digest(s, s + c.span, 0)), pa.array(lay.digest(s, s + c.span, 1)), pa.array((s - lay.starts[who]).astype(np.int32)), pa.array(lay.lengths[who].astype(np.int32))],
-                names=["id", "w1", "w2", "at", "length"],
-            )
+            if not totals:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), pa.array((s - lay.starts[who]).astype(np.int32)), pa.array(lay.lengths[who].astype(np.int32))], names=["id", "at", "length"])
+                continue
+            step = np.full(len(s), c.span)
+            step[:-1] = np.where(who[1:] == who[:-1], np.minimum(np.diff(s), c.span), c.span)
+            records, begin = np.unique(who, return_index=True)
+            sums = np.add.reduceat(step, begin) if len(s) else step
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(records)), pa.array(sums.astype(np.int64)), pa.array(lay.lengths[records])], names=["id", "shared", "length"])
 
     return run
 
 
+def _searched(df: DataFrame, key: str, text: str, units: bool, chunking: Chunking | None, totals: bool) -> DataFrame:
+    c = chunking or (UNITS if units else CHARACTERS)
+    symbols = unit_symbols if units else character_symbols
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").groupBy("id").agg(F.max("text").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    chunks = rows.mapInArrow(_chunker(symbols, c), f"id {kind}, chunk long, place long")
+    common = chunks.groupBy("chunk").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("chunk")
+    near = chunks.join(common, "chunk", "left_semi").groupBy(F.col("id").alias("rid")).agg(F.collect_list("place").alias("places"))
+    texts = rows.join(near, F.col("id") == F.col("rid")).select("id", "text", "places")
+    windows = texts.mapInArrow(_digests(symbols, c), f"id {kind}, w1 long, w2 long, at int")
+    alone = windows.groupBy("w1", "w2").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("at").alias("at")).where("a = b")
+    alone = alone.groupBy(F.col("a").alias("aid")).agg(F.collect_list(F.col("at").cast("long")).alias("alone"))
+    found = texts.join(alone, F.col("id") == F.col("aid"), "left").select("id", "text", "places", "alone")
+    return found.mapInArrow(_shared(symbols, c, totals), f"id {kind}, shared long, length long" if totals else f"id {kind}, at int, length int")
+
+
 def shared_windows(df: DataFrame, key: str, text: str, units: bool = False, chunking: Chunking | None = None) -> DataFrame:
     """(id, at, length): where each record holds a span of ``chunking.span`` symbols that another record holds too.
 
     Symbols are code points, or the blank-separated units of the text. Chunks are found where the records are read; the digests
     of all chunks are grouped, and those of two different records or more are candidates. Around candidate chunks every
     window of the span is hashed to 128 bits and grouped likewise, which checks the whole span exactly. Neither step makes
-    pairs: a group of any size is two partial aggregates, least and greatest id.
+    pairs: a group of any size is two partial aggregates, least and greatest id. What goes back to the records are the windows
+    that turned out to be theirs alone, which are few around shared chunks.
 
     A shared span always holds a chunk that both records cut alike, so nothing is missed. Null ids and null texts take no part; an
     id with several texts counts with the greatest; a span repeated inside one record alone isn't shared; empty gives empty.
     """
-    c = chunking or (UNITS if units else CHARACTERS)
-    symbols = unit_symbols if units else character_symbols
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").groupBy("id").agg(F.max("text").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    chunks = rows.mapInArrow(_chunker(symbols, c), f"id {kind}, chunk long, lo int, hi int")
-    common = chunks.groupBy("chunk").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("chunk")
-    near = chunks.join(common, "chunk", "left_semi").groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
-    texts = rows.join(near, F.col("id") == F.col("rid")).select("id", "text", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
-    windows = cut_lineage(texts.mapInArrow(_windows(symbols, c), f"id {kind}, w1 long, w2 long, at int, length int"))
-    both = windows.groupBy("w1", "w2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("w1", "w2")
-    return windows.join(both, ["w1", "w2"], "left_semi").select("id", "at", "length")
+    return _searched(df, key, text, units, chunking, False)
 
 
 def shared_share(df: DataFrame, key: str, text: str, units: bool = False, chunking: Chunking | None = None) -> DataFrame:
     """(id, shared, length, share) of the records that hold a shared span: how many of their symbols stand in one."""
-    span = (chunking or (UNITS if units else CHARACTERS)).span
-    w = Window.partitionBy("id").orderBy("at")
-    steps = shared_windows(df, key, text, units, chunking).withColumn("step", F.least(F.lit(span), F.coalesce(F.lead("at").over(w) - F.col("at"), F.lit(span))))
-    out = steps.groupBy("id").agg(F.sum("step").alias("shared"), F.max("length").cast("long").alias("length"))
-    return out.withColumn("share", F.col("shared") / F.col("length"))
+    return _searched(df, key, text, units, chunking, True).withColumn("share", F.col("shared") / F.col("length"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.llm.bpe import encode
 from quillmark.llm.packing import fill_containers
-from quillmark.llm.spans import shared_share, shared_windows
+from quillmark.llm.spans import shared_share
 from quillmark.sources.tables import table
 
 
@@ -28,7 +28,7 @@ _FIELDS = {"phrase_string": True, "text": False}
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [shared_windows(table(spark, d, "verses"), "verse_id", c, units).select(F.lit(c).alias("field_name"), F.col("id").alias("verse_id")).distinct() for c, units in _FIELDS.items()]
+    parts = [shared_share(table(spark, d, "verses"), "verse_id", c, units).select(F.lit(c).alias("field_name"), F.col("id").alias("verse_id")) for c, units in _FIELDS.items()]
     return parts[0].unionByName(parts[1])
 
 

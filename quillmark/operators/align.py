@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from quillmark.session import cut_lineage
+from quillmark.session import cut_lineage, shared_dir
 
 NULL = "NULL"
 
@@ -22,16 +24,50 @@ def ibm1(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     """(s, t, p): probability of a target word given a source word after ``rounds`` of expectation maximisation.
 
     Each round shares a target word of a verse among the verse's source words by their present probabilities, then normalises over
-    source words. The pairs are written once, the table of probabilities each round; it is as large as the distinct pairs.
+    source words. Both sums that a round needs, by verse and target word and by source and target word, stay within a target word, so
+    the pairs are kept in tables bucketed by it and no round moves them; only the totals of source words are exchanged. Target words with
+    more than a fair share of the pairs lie in a table that isn't bucketed, where the same sums are exchanged and so spread.
     """
+    spark = pairs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut_lineage(pairs)
-    prob = pairs.select("s", "t").distinct().withColumn("p", F.lit(1.0))
-    for _ in range(rounds):
-        total = F.sum("p").over(Window.partitionBy("verse_id", "t"))
-        x = pairs.join(prob, ["s", "t"]).select("s", "t", F.col("n") * F.col("p") / total)
-        share = x.toDF("s", "t", "c").groupBy("s", "t").agg(F.sum("c").alias("c"))
-        prob = cut_lineage(share.join(share.groupBy("s").agg(F.sum("c").alias("all")), "s").select("s", "t", (F.col("c") / F.col("all")).alias("p")))
-    return prob
+    sizes = pairs.groupBy("t").agg(F.count("*").alias("n"))
+    fair = sizes.agg(F.sum("n")).scalar() / (4 * n)
+    crowded = cut_lineage(sizes.where(F.col("n") > fair).select("t"))
+    parts = [(pairs.join(F.broadcast(crowded), "t", "left_anti").repartition(n, "t"), n)]  # at most 4 * n words
+    if not crowded.limit(1).isEmpty():
+        parts.append((pairs.join(F.broadcast(crowded), "t", "left_semi"), 0))
+    path, tables = f"{shared_dir(spark)}/align-{uuid.uuid4().hex}", []
+
+    def kept(df: DataFrame, name: str, buckets: int) -> DataFrame:
+        if not buckets:
+            df.write.parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        tables.append(f"quillmark_{uuid.uuid4().hex}")
+        df.write.bucketBy(buckets, "t").option("path", f"{path}/{name}").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
+    total = F.sum("p").over(Window.partitionBy("verse_id", "t"))
+    shared = F.sum("c").over(Window.partitionBy("s", "t"))
+    now = [(df.select("verse_id", "s", "t", "n", F.lit(1.0).alias("c"), F.lit(1.0).alias("st")), b) for df, b in parts]
+    over = None
+    for k in range(rounds):
+        after = []
+        for i, (df, buckets) in enumerate(now):
+            df = df.withColumn("p", F.lit(1.0)) if over is None else df.join(over, "s").withColumn("p", F.col("st") / F.col("over"))
+            df = df.select("verse_id", "s", "t", "n", (F.col("n") * F.col("p") / total).alias("c")).withColumn("st", shared)
+            after.append((kept(df, f"{k}-{i}", buckets), buckets))
+        now, every = after, after[0][0].select("s", "c")
+        for df, _ in after[1:]:
+            every = every.unionByName(df.select("s", "c"))
+        over = cut_lineage(every.groupBy("s").agg(F.sum("c").alias("over")))
+    every = now[0][0].select("s", "t", "st")
+    for df, _ in now[1:]:
+        every = every.unionByName(df.select("s", "t", "st"))
+    out = cut_lineage(every.distinct().join(over, "s").select("s", "t", (F.col("st") / F.col("over")).alias("p")))
+    for name in tables:
+        spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def both_ways(forward: DataFrame, backward: DataFrame, support: DataFrame, least: float = 0.05, verses: int = 2) -> DataFrame:

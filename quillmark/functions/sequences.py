@@ -91,3 +91,18 @@ def bridged_run(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(IntegerType())
 def tightest_span(items: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([smallest_window(list(x), list(y)) for x, y in zip(items, wanted)])
+
+
+def sql_lcs(a: str, b: str) -> str:
+    """DuckDB: length of the longest common subsequence of two lists, row by row of the table of prefixes."""
+    rows = f"list_transform({a}, lambda x: list_transform({b}, lambda y: (x = y)::INT))"
+    step = "list_transform(range(1, len(m) + 1), lambda j: greatest(acc[j], list_max(list_transform(range(1, j + 1), lambda k: m[k] * (coalesce(acc[k - 1], 0) + 1)))))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE list_max(list_reduce(list_prepend(list_transform({b}, lambda y: 0), {rows}), lambda acc, m: {step})) END"
+
+
+def sql_common_run(a: str, b: str) -> str:
+    """DuckDB: length of the longest run of items that two lists share side by side."""
+    rows = f"list_transform({a}, lambda x: list_transform({b}, lambda y: (x = y)::INT))"
+    step = "list_concat(list_transform(range(1, len(m) + 1), lambda j: m[j] * (coalesce(acc[j - 1], 0) + 1)), acc[len(m) + 1 :])"
+    best = f"list_reduce(list_prepend(list_transform({b}, lambda y: 0), {rows}), lambda acc, m: list_append(({step})[1 : len(m)], greatest(list_max(acc), list_max(list_transform(range(1, len(m) + 1), lambda j: m[j] * (CASE WHEN j > 1 THEN acc[j - 1] ELSE 0 END + 1))))))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE list_max({best}) END"

@@ -89,6 +89,26 @@ def test_stems(spark):
     assert {r[0]: r[1] for r in df.select("w", T.stems(F.col("w"), known | {"come"})).collect()} == cases | {None: None}
 
 
+IRREGULAR_CASES = ("made", "knew", "kept", "wolves", "died", "left", "priests", "dies", "thing", "glass", "boxes", "horses", "praised", "judged", "falling", "stopped", "")
+
+
+def test_stems_with_a_joined_vocabulary(spark):
+    """The vocabulary as a table gives what the plain function gives, whatever words there are."""
+    rnd = random.Random(4)
+    letters = [rnd.choice(["ab", "move", "profan", "sit", "stopp", "judg", "chur", "wal"]) + rnd.choice(["", "ch", "s", "k", "e", "v"]) + rnd.choice(["", "s", "es", "ed", "ing", "ings", "eth", "est", "ieth", "ies", "ied", "'s", "ous", "is"]) for _ in range(400)]
+    words = [*letters, *IRREGULAR_CASES, "saith", None]
+    known = frozenset(w for w in letters if rnd.random() < 0.3) | {"move", "profane"}
+    df = spark.createDataFrame([(w, "clash") for w in words], "w string, stem_x string")
+    got = {r["w"]: r["stem"] for r in T.stemmed(df, spark.createDataFrame([(w,) for w in [*known, None]], "word string"), "w").collect()}
+    assert got == {w: None if w is None else T.stem(w, known) for w in words}
+    assert T.stemmed(df.limit(0), df.select(F.col("w").alias("word")), "w").count() == 0
+
+
+def test_irregular_forms():
+    assert all(T.stem(w) == T.IRREGULAR[w] for w in T.IRREGULAR) and len(T.IRREGULAR) == 139
+    assert {w: T.stem(w) for w in ("made", "knew", "kept", "wolves", "boxes", "stopped", "glass", "dies")} == {"made": "make", "knew": "know", "kept": "keep", "wolves": "wolf", "boxes": "box", "stopped": "stop", "glass": "glass", "dies": "die"}
+
+
 def test_normal_forms():
     old = {"shew": "show", "publick": "public", "shewed": "showed"}
     assert [T.normal_form(w, old) for w in ("Shew", "shewed", "Lord's", "Beth-el", "publick")] == ["show", "show", "lord", "bethel", "public"]
@@ -98,6 +118,13 @@ def test_transliteration():
     assert T.greek_latin("λόγος") == "logos" and T.greek_latin("ἄγγελος") == "angelos" and T.greek_latin("ὕδωρ") == "hudor" and T.greek_latin("Χριστός") == "Christos"
     assert T.hebrew_latin("שָׁלוֹם") == "shalom" and T.hebrew_latin("דָּבָר") == "davar" and T.hebrew_latin("בֵּן") == "ben" and T.hebrew_latin("שִׂים") == "sim"
     assert T.bare("Λόγος, ὁ") == "λογοσ"
+    assert T.greek_latin("ὕδωρ", True) == "hudōr" and T.greek_latin("ῥῆμα") == "rhema" and T.greek_latin("") == ""
+    hebrew = {
+        "תּוֹרָה": "tora", "בַּיִת": "bayit", "בְּרִית": "berit", "כֹּהֵן": "kohen", "רוּחַ": "ruakh", "חָכְמָה": "khokhma", "שַׁבָּת": "shabbat", "וָבֹהוּ": "vavohu", "גָּדוֹל": "gadol", "הַשָּׁמַיִם": "hashamayim",
+        "וּמִן": "umin", "בֵּית־אֵל": "bet-el", "קֹדֶשׁ": "kodesh", "צִוָּה": "tsivva", "בָּאָרֶץ": "ba'arets", "חַיִּים": "khayyim", "": "",
+    }
+    assert {w: T.hebrew_latin(w) for w in hebrew} == hebrew
+    assert T.hebrew_latin("צָבָא", True) == "tsāvā" and T.hebrew_latin("תֹהוּ", True) == "tōhū"
 
 
 def test_packing(spark):

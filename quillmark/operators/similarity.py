@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import measures as M
@@ -38,8 +38,8 @@ def kin(tokens: DataFrame, books: DataFrame, least: int = 3, limit: int = RARE)
     words = tokens.where("root is not null and not is_stop").groupBy("verse_id", "root").agg(F.min("position").alias("at")).join(rare, "root")
     verses = words.groupBy("verse_id").agg(F.sort_array(F.collect_list(F.struct("root", "rarity", "at"))).alias("r")).where(F.size("r") >= 3)
     n = F.size("r")
-    triples = F.flatten(F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, n), lambda y, j: F.transform(F.slice("r", i + j + 3, n), lambda z: F.xxhash64(x["root"], y["root"], z["root"]))))))
-    keys = verses.select("verse_id", F.explode(triples).alias("key"))
+    triples = F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, n), lambda y, j: F.transform(F.slice("r", i + j + 3, n), lambda z: F.xxhash64(x["root"], y["root"], z["root"]))))
+    keys = verses.select("verse_id", F.explode(F.flatten(F.flatten(triples))).alias("key"))
     a, b = keys.withColumnRenamed("verse_id", "verse_a"), keys.withColumnRenamed("verse_id", "verse_b")
     met = a.join(b, "key").where("verse_a < verse_b").select("verse_a", "verse_b").distinct()
     out = met.join(verses.select(F.col("verse_id").alias("verse_a"), F.col("r").alias("ra")), "verse_a").join(verses.select(F.col("verse_id").alias("verse_b"), F.col("r").alias("rb")), "verse_b")
@@ -67,23 +67,33 @@ def shared_vocabulary(content: DataFrame, low: int = 2, high: int = 5) -> DataFr
     return pairs.groupBy("book", "chapter_a", "chapter_b").agg(F.count("*").alias("shared"), F.sum(F.log(F.col("n") / F.col("df"))).alias("weight"))
 
 
-def runs_of(units: DataFrame, n: int, content_words: int = 2) -> DataFrame:
-    """(verse_id, book, chapter, at, run): runs of ``n`` units with enough content words."""
-    rows = units.where("size(units) = size(words)").withColumn("z", F.arrays_zip(F.col("units").alias("u"), F.col("words").alias("w"))).where(F.size("z") >= n)
+def runs_of(units: DataFrame, n: int, content_words: int = 2, of: str = "units") -> DataFrame:
+    """(verse_id, book, chapter, at, run): runs of ``n`` units, or of ``n`` words as written, with enough content words."""
+    rows = units if of == "words" else units.where("size(units) = size(words)")
+    rows = rows.withColumn("z", F.arrays_zip(F.col(of).alias("u"), F.col("words").alias("w"))).where(F.size("z") >= n)
     at = F.transform(F.sequence(F.lit(1), F.size("z") - n + 1), lambda i: F.struct(i.alias("at"), F.slice("z", i, n).alias("z")))
     out = rows.select("verse_id", "book", "chapter", F.explode(at).alias("r"))
     out = out.where(F.size(F.filter("r.z", lambda x: ~is_stop(x["w"]))) >= content_words)
     return out.select("verse_id", "book", "chapter", F.col("r.at").alias("at"), F.array_join("r.z.u", " ").alias("run"))
 
 
-def run_pairs(runs: DataFrame, most: int) -> DataFrame:
-    """(verse_a, book_a, verse_b, book_b, hits): verses sharing runs that at most ``most`` verses hold; a formula said everywhere is no parallel."""
+def run_classes(runs: DataFrame) -> DataFrame:
+    """(run, verse_id, book, verses, books): each run that more than one verse holds, with its verses; a run held by any number of them is so many rows."""
     distinct = runs.select("run", "verse_id", "book").distinct()
-    held = distinct.groupBy("run").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("run")
-    sets = distinct.join(held, "run", "left_semi").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("verse_id", "book"))).alias("v"))
-    first = sets.select("v", F.posexplode("v").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b"))
-    return pairs.groupBy(F.col("a.verse_id").alias("verse_a"), F.col("a.book").alias("book_a"), F.col("b.verse_id").alias("verse_b"), F.col("b.book").alias("book_b")).agg(F.count("*").alias("hits"))
+    held = distinct.groupBy("run").agg(F.count("*").alias("verses"), F.count_distinct("book").alias("books")).where("verses > 1")
+    return distinct.join(held, "run")
+
+
+def run_pairs(runs: DataFrame, most: int | None = None) -> DataFrame:
+    """(verse_a, book_a, verse_b, book_b, hits): verses sharing runs, with the number of runs; no run is left out for the number of its verses.
+
+    With ``most`` only runs in at most so many verses are made into pairs; ``run_classes`` then gives the others. Runs are joined by a digest,
+    so that adaptive execution can split a hot one.
+    """
+    c = run_classes(runs)
+    c = (c if most is None else c.where(F.col("verses") <= most)).select(F.xxhash64("run").alias("r1"), F.hash("run").alias("r2"), "verse_id", "book")
+    a, b = (c.select("r1", "r2", F.col("verse_id").alias(f"verse_{x}"), F.col("book").alias(f"book_{x}")) for x in "ab")
+    return a.join(b, ["r1", "r2"]).where("verse_a < verse_b").groupBy("verse_a", "book_a", "verse_b", "book_b").agg(F.count("*").alias("hits"))
 
 
 def verse_roots(content: DataFrame) -> DataFrame:
@@ -91,12 +101,59 @@ def verse_roots(content: DataFrame) -> DataFrame:
     return content.groupBy("verse_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "root"))), lambda x: x["root"]).alias("units"))
 
 
-def parallels(units: DataFrame, pairs: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
-    """Of candidate pairs those whose roots share a common subsequence of ``least`` and of ``share`` of the shorter verse."""
-    u = units.select("verse_id", "units")
-    out = pairs.join(u.select(F.col("verse_id").alias("verse_a"), F.col("units").alias("ua")), "verse_a").join(u.select(F.col("verse_id").alias("verse_b"), F.col("units").alias("ub")), "verse_b")
+#: Records expected to share a combination of roots from which a longer one is taken.
+CROWD = 32.0
+
+
+def _rarest_keys(o: Column, n: Column, verses: float, close: bool) -> Column:
+    """Hashes of combinations of up to three of the roots ``o`` (array of (df, unit), rare ones first), longer where the rarest is common.
+
+    Two records that share three units share the combination of their three rarest, and both see how common the first is. ``close`` says that
+    every unit counts in both records, so that the first lies among all but the last two.
+    """
+    last = n - 2 if close else n
+
+    def keys(x: Column, i: Column) -> Column:
+        df = x["df"].cast("double")
+        rest = F.slice(o, i + 2, n)
+        pairs = F.transform(rest, lambda y: F.xxhash64(F.lit(2), x["t"], y["t"]))
+        triples = F.flatten(F.transform(rest, lambda y, j: F.transform(F.slice(o, i + j + 3, n), lambda z: F.xxhash64(F.lit(3), x["t"], y["t"], z["t"]))))
+        return F.when(df <= CROWD, F.array(F.xxhash64(F.lit(1), x["t"]))).when(df * df * 4 / verses <= CROWD, pairs).otherwise(triples)
+
+    return F.flatten(F.transform(F.slice(o, 1, F.greatest(last, F.lit(0))), keys))
+
+
+def parallels(verses: DataFrame, sizes: DataFrame, least: int = 3, share: float = 0.3, common: float = 0.1) -> DataFrame:
+    """(verse_a, book_a, verse_b, book_b, common, likeness): for each verse the verses of other books whose roots follow each other likewise.
+
+    ``verses`` has (verse_id, book, layer, kind, units): a verse's units in order, for each kind of unit it may be compared by; verses are
+    compared by one kind, ``root`` within a layer (testament) and ``stem`` across. Units in more than ``common`` of the verses of
+    book_a (``sizes``: book, verses) are set aside on both sides, or a book's formulas would pair all its verses. What remains shares
+    ``least`` different units, and a common subsequence of ``least`` units and of ``share`` of the shorter verse.
+
+    The relation has a direction, as the units set aside are those of book_a. Candidates meet in combinations of their rarest shared
+    units, so a unit of many verses is never the key by itself. Verses are bounded by what they are; nothing is capped.
+    """
+    flat = verses.select("kind", "book", "verse_id", F.explode(F.array_distinct("units")).alias("t"))
+    by_book = flat.groupBy("kind", "book", "t").agg(F.count("*").alias("n"))
+    df = by_book.groupBy("kind", "t").agg(F.sum("n").alias("df"))
+    skip = by_book.join(sizes, "book").where(F.col("n") > common * F.col("verses")).select("kind", "book", "t")
+    skips = skip.groupBy("kind", "book").agg(F.collect_set("t").alias("skip"))
+    ordered = flat.join(df, ["kind", "t"]).groupBy("kind", "verse_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
+    rows = verses.join(ordered, ["kind", "verse_id"]).join(skips, ["kind", "book"], "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<string>")))
+    every = float(max(1, verses.count()))
+    left = rows.withColumn("own", F.filter("o", lambda x: ~F.array_contains("skip", x["t"])))
+    left = left.select("kind", F.col("verse_id").alias("verse_a"), F.col("book").alias("book_a"), F.col("layer").alias("layer_a"), F.explode(_rarest_keys(F.col("own"), F.size("own"), every, True)).alias("key"))
+    right = rows.select("kind", F.col("verse_id").alias("verse_b"), F.col("book").alias("book_b"), F.col("layer").alias("layer_b"), F.explode(_rarest_keys(F.col("o"), F.size("o"), every, False)).alias("key"))
+    across = F.when(F.col("layer_a").eqNullSafe(F.col("layer_b")), "root").otherwise("stem")
+    met = left.join(right, ["kind", "key"]).where((F.col("book_a") != F.col("book_b")) & (F.col("kind") == across)).select("kind", "verse_a", "verse_b").distinct()
+    one = rows.select("kind", F.col("verse_id").alias("verse_a"), F.col("book").alias("book_a"), F.col("units").alias("ua"), "skip")
+    two = verses.select("kind", F.col("verse_id").alias("verse_b"), F.col("book").alias("book_b"), F.col("units").alias("ub"))
+    out = met.join(one, ["kind", "verse_a"]).join(two, ["kind", "verse_b"])
+    kept = lambda c: F.filter(c, lambda x: ~F.array_contains("skip", x))
+    out = out.withColumns({"ua": kept("ua"), "ub": kept("ub")}).where(F.size(F.array_intersect("ua", "ub")) >= least)
     out = out.withColumn("common", lcs("ua", "ub")).withColumn("likeness", F.col("common") / F.least(F.size("ua"), F.size("ub")))
-    return out.where((F.col("common") >= least) & (F.col("likeness") >= share)).drop("ua", "ub")
+    return out.where((F.col("common") >= least) & (F.col("likeness") >= share)).select("verse_a", "book_a", "verse_b", "book_b", "common", "likeness")
 
 
 def render_run(here: list[str], there: list[str]) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmark.functions import measures as M
+from quillmark.functions import measures as M, sequences as Q, text as T
 from quillmark.operators import corpus as C, facts as X, links as L, similarity as S
 from quillmark.plans.fact_queries import _FR, _RO, _T, _stop, _sub
+from quillmark.session import cut_lineage
 from quillmark.sources.tables import table
 
 R = M.rounded
@@ -24,17 +25,37 @@ def shared_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return S.shared_vocabulary(C.content(spark, d)).withColumn("weight", R(F.col("weight")))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return S.runs_of(C.units(spark, d), 4, of="words")
+
+
 def _run_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return S.run_pairs(S.runs_of(C.units(spark, d), 4), 12)
+    return S.run_pairs(_runs(spark, d))
+
+
+def run_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each run of four words that verses share, with its verses."""
+    return S.run_classes(_runs(spark, d))
 
 
 def parallel_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Verses of two books that share runs of four units, with the number of runs."""
+    """Verses of two books that share runs of four words, with the number of runs."""
     return _run_pairs(spark, d).where("book_a <> book_b")
 
 
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """Content units of each verse, as roots and as stems of the words written."""
+    t = C.content(spark, d).withColumn("w", F.lower(F.coalesce("surface", F.lit(""))))
+    words = C.tokens(spark, d).select(F.lower("surface").alias("word"))
+    t = T.stemmed(t, words, "w")
+    each = t.select("verse_id", "book", "position", F.explode(F.array(F.struct(F.lit("root").alias("kind"), F.col("root").alias("u")), F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("u")))).alias("x"))
+    rows = each.groupBy("verse_id", "book", F.col("x.kind").alias("kind")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "x.u"))), lambda x: x["u"]).alias("units"))
+    return rows.join(C.books(spark, d).select("book", F.col("testament").alias("layer")), "book", "left")
+
+
 def parallels(spark: SparkSession, d: str) -> DataFrame:
-    return S.parallels(S.verse_roots(C.content(spark, d)), _run_pairs(spark, d).where("book_a <> book_b")).withColumn("likeness", R(F.col("likeness")))
+    sizes = C.verses(spark, d).where("book is not null").groupBy("book").agg(F.count("*").alias("verses"))
+    return S.parallels(cut_lineage(_compared(spark, d)), sizes).withColumn("likeness", R(F.col("likeness")))
 
 
 def synopsis(spark: SparkSession, d: str) -> DataFrame:
@@ -104,15 +125,28 @@ def links_covered(spark: SparkSession, d: str) -> DataFrame:
     return v.join(found, ["low", "high"], "left").select("low", "high", "votes", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def cited_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Verses of one chapter that themes cite together, with the number of themes; a chapter bounds each group, a large theme doesn't."""
+#: A theme that cites more verses than this is a list, not a reading of two together.
+CITED_MOST = 12
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "theme_verse").where("theme_id is not null and verse_id is not null").select("theme_id", "verse_id").distinct()
-    v = C.verses(spark, d).select("verse_id", "book", "chapter")
-    sets = t.join(v, "verse_id").groupBy("theme_id", "book", "chapter").agg(F.sort_array(F.collect_list("verse_id")).alias("v"))
+    t = t.join(C.verses(spark, d).select("verse_id"), "verse_id")
+    return t.join(t.groupBy("theme_id").agg(F.count("*").alias("verses")), "theme_id")
+
+
+def cited_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Verses that themes cite together, with the number of themes. Themes of more than twelve verses are lists, which ``cited_lists`` gives."""
+    sets = _cited(spark, d).where(F.col("verses") <= CITED_MOST).groupBy("theme_id").agg(F.sort_array(F.collect_list("verse_id")).alias("v"))
     first = sets.select("theme_id", "v", F.posexplode("v").alias("i", "verse_a"))
     return first.select("theme_id", "verse_a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("verse_b")).groupBy("verse_a", "verse_b").agg(F.count("*").alias("themes"))
 
 
+def cited_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The verses of the themes that are lists: a class each, not expanded into pairs."""
+    return _cited(spark, d).where(F.col("verses") > CITED_MOST).select("theme_id", "verse_id", "verses")
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     b = C.books(spark, d).select("book", "book_num")
     r = table(spark, d, "passage_ranges").where("passage_id is not null").select("passage_id", "book_num", "chapter_start", "verse_start", "chapter_end", "verse_end").distinct()
@@ -155,11 +189,34 @@ lb AS (SELECT DISTINCT id, verse_id AS to_verse FROM cr JOIN bn ON bn.key = t JO
 sc AS (SELECT id, max(relevance_score) AS score FROM cross_references GROUP BY 1),
 lv AS (SELECT from_verse, to_verse, max(score) AS votes FROM la JOIN lb USING (id) JOIN sc USING (id) GROUP BY 1, 2)
 """
-_RN = f"""{_T}, r4 AS (SELECT verse_id, book, chapter, i AS at_, array_to_string(list_slice(units, i, i + 3), ' ') AS run, list_slice(words, i, i + 3) AS w
-  FROM (SELECT *, unnest(range(1, len(units) - 2)) AS i FROM un WHERE len(units) = len(words) AND len(units) >= 4)),
-rn AS (SELECT * FROM r4 WHERE len(list_filter(w, lambda x: x NOT IN {_stop})) >= 2),
-rd AS (SELECT DISTINCT run, verse_id, book FROM rn), rk AS (SELECT run FROM rd GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12),
-rp AS (SELECT a.verse_id AS verse_a, a.book AS book_a, b.verse_id AS verse_b, b.book AS book_b, count(*) AS hits FROM rd a JOIN rd b ON a.run = b.run AND a.verse_id < b.verse_id WHERE a.run IN (SELECT run FROM rk) GROUP BY 1, 2, 3, 4)
+_RUNS4 = f"""r4 AS (SELECT verse_id, book, chapter, i AS at_, array_to_string(list_slice(_OF_, i, i + 3), ' ') AS run, list_slice(words, i, i + 3) AS w
+  FROM (SELECT *, unnest(range(1, len(_OF_) - 2)) AS i FROM un WHERE _IF_ len(_OF_) >= 4)),
+rn AS (SELECT * FROM r4 WHERE len(list_filter(w, lambda x: x NOT IN {_stop})) >= 2)
+"""
+_RU = f"{_T}, " + _RUNS4.replace("_OF_", "units").replace("_IF_", "len(units) = len(words) AND")
+_RN = f"{_T}, " + _RUNS4.replace("_OF_", "words").replace("_IF_", "") + """, rd AS (SELECT DISTINCT run, verse_id, book FROM rn), rk AS (SELECT run, count(*) AS verses, count(DISTINCT book) AS books FROM rd GROUP BY 1 HAVING count(*) > 1),
+rp AS (SELECT a.verse_id AS verse_a, a.book AS book_a, b.verse_id AS verse_b, b.book AS book_b, count(*) AS hits FROM rd a JOIN rd b ON a.run = b.run AND a.verse_id < b.verse_id GROUP BY 1, 2, 3, 4)
+"""
+_CI = f"""{_T}, t AS (SELECT DISTINCT theme_id, tv.verse_id FROM theme_verse tv JOIN vb ON vb.verse_id = tv.verse_id WHERE theme_id IS NOT NULL), z AS (SELECT theme_id, count(*) AS verses FROM t GROUP BY 1)
+"""
+_KN = f"""{_T}, {_RO}, ra AS (SELECT root, rarity FROM ro WHERE w * 2000 <= n), v AS (SELECT verse_id, root, rarity, min(position) AS at_ FROM ct JOIN ra USING (root) GROUP BY 1, 2, 3),
+kn AS (SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*)::INT AS shared, sum(a.rarity) AS score, list(a.root ORDER BY a.at_, a.root) AS oa, list(b.root ORDER BY b.at_, b.root) AS ob
+  FROM v a JOIN v b ON a.root = b.root AND a.verse_id < b.verse_id GROUP BY 1, 2 HAVING count(*) >= 3)
+"""
+_PA = f"""{_T}, kw AS (SELECT DISTINCT lower(surface) AS word FROM tk WHERE surface IS NOT NULL), sm AS ({T.sql_stems("kw", "kw")}),
+cu AS (SELECT 'root' AS kind, verse_id, book, list(root ORDER BY position) AS u FROM ct GROUP BY 2, 3
+  UNION ALL SELECT 'stem', verse_id, book, list(coalesce(stem, '') ORDER BY position) FROM ct LEFT JOIN sm ON sm.word = lower(coalesce(surface, '')) GROUP BY 2, 3),
+cl AS (SELECT cu.*, testament AS layer FROM cu LEFT JOIN bk USING (book)),
+cd AS (SELECT DISTINCT kind, verse_id, book, layer, unnest(u) AS t FROM cl),
+cz AS (SELECT book, count(*) AS z FROM vb WHERE book IS NOT NULL GROUP BY 1),
+sk AS (SELECT kind, book, t FROM cd JOIN cz USING (book) GROUP BY kind, book, t, z HAVING count(*) > 0.1 * z),
+ks AS (SELECT kind, book, list(t) AS skip FROM sk GROUP BY 1, 2),
+ca AS (SELECT * FROM cd ANTI JOIN sk USING (kind, book, t)),
+cp AS (SELECT a.kind, a.book AS book_a, a.verse_id AS verse_a, b.verse_id AS verse_b, b.book AS book_b FROM ca a JOIN cd b ON a.kind = b.kind AND a.t = b.t AND a.book <> b.book
+  AND (a.kind = 'root') = (a.layer IS NOT DISTINCT FROM b.layer) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 3),
+cq AS (SELECT cp.*, list_filter(x.u, lambda i: NOT list_contains(coalesce(skip, []), i)) AS ua, list_filter(y.u, lambda i: NOT list_contains(coalesce(skip, []), i)) AS ub
+  FROM cp JOIN cl x ON x.kind = cp.kind AND x.verse_id = verse_a JOIN cl y ON y.kind = cp.kind AND y.verse_id = verse_b LEFT JOIN ks ON ks.kind = cp.kind AND ks.book = book_a),
+cr2 AS (SELECT *, {Q.sql_lcs('ua', 'ub')} AS common FROM cq)
 """
 _PV = f"""{_T}, pv AS (SELECT DISTINCT passage_id, verse_id FROM passage_ranges r JOIN bk ON bk.book_num = r.book_num JOIN vb ON vb.book = bk.book WHERE passage_id IS NOT NULL AND chapter_start IS NOT NULL AND verse_start IS NOT NULL
   AND (vb.chapter > chapter_start OR (vb.chapter = chapter_start AND vb.verse >= verse_start))
@@ -168,13 +225,15 @@ _PV = f"""{_T}, pv AS (SELECT DISTINCT passage_id, verse_id FROM passage_ranges
 
 QUERIES = {
     f.__name__: f
-    for f in (kin, kin_ordered, shared_vocabulary, parallel_runs, parallels, synopsis, compare_chapters, bridged_verses, near_far_runs, link_votes, links_between, links_covered, cited_pairs, passage_verses, passage_words, theme_roles, theme_strip)
+    for f in (kin, kin_ordered, shared_vocabulary, run_classes, parallel_runs, parallels, synopsis, compare_chapters, bridged_verses, near_far_runs, link_votes, links_between, links_covered, cited_pairs, cited_lists, passage_verses, passage_words, theme_roles, theme_strip)
 }
 
 SQL = {
-    "kin": f"""{_T}, {_RO}, ra AS (SELECT root, rarity FROM ro WHERE w * 2000 <= n),
-      v AS (SELECT DISTINCT verse_id, root, rarity FROM ct JOIN ra USING (root))
-      SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*)::INT AS shared, round(sum(a.rarity), 6) + 0.0 AS score FROM v a JOIN v b ON a.root = b.root AND a.verse_id < b.verse_id GROUP BY 1, 2 HAVING count(*) >= 3""",
+    "kin": f"{_KN} SELECT verse_a, verse_b, shared, round(score, 6) + 0.0 AS score FROM kn",
+    "kin_ordered": f"""{_KN} SELECT verse_a, verse_b, shared, o::INT AS in_order, round(score * (1 + 0.5 * o / shared::DOUBLE), 6) + 0.0 AS score FROM (SELECT *, {Q.sql_lcs('oa', 'ob')} AS o FROM kn)""",
+    "run_classes": f"{_RN} SELECT rd.*, verses, books FROM rd JOIN rk USING (run)",
+    "parallels": f"""{_PA} SELECT verse_a, book_a, verse_b, book_b, common::INT AS common, round(common / least(len(ua), len(ub))::DOUBLE, 6) + 0.0 AS likeness FROM cr2 WHERE common >= 3 AND common >= 0.3 * least(len(ua), len(ub))""",
+    "cited_lists": f"{_CI} SELECT theme_id, verse_id, verses FROM t JOIN z USING (theme_id) WHERE verses > 12",
     "shared_vocabulary": f"""{_T}, c AS (SELECT DISTINCT book, chapter, root FROM ct), z AS (SELECT book, count(DISTINCT chapter) AS n FROM c GROUP BY 1), f AS (SELECT book, root, count(*) AS df FROM c GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 5)
       SELECT a.book, a.chapter AS chapter_a, b.chapter AS chapter_b, count(*) AS shared, round(sum(ln(n / df::DOUBLE)), 6) + 0.0 AS weight FROM c a JOIN c b ON a.book = b.book AND a.root = b.root AND a.chapter < b.chapter JOIN f ON f.book = a.book AND f.root = a.root JOIN z ON z.book = a.book GROUP BY 1, 2, 3""",
     "parallel_runs": f"{_RN} SELECT * FROM rp WHERE book_a <> book_b",
@@ -186,7 +245,7 @@ SQL = {
     "bridged_verses": f"""{_FR}, w AS (SELECT wording FROM fr WHERE n >= 3 AND language IS NOT NULL GROUP BY 1 HAVING count(DISTINCT verse_id) BETWEEN 2 AND 6 AND count(DISTINCT book) >= 2 AND count(DISTINCT language) >= 2 AND {_sub('wording')}),
       a AS (SELECT DISTINCT wording, verse_id, language FROM fr WHERE n >= 3 AND language IS NOT NULL AND wording IN (SELECT wording FROM w))
       SELECT x.verse_id AS verse_a, y.verse_id AS verse_b, count(*) AS wordings FROM a x JOIN a y ON x.wording = y.wording AND x.verse_id < y.verse_id AND x.language <> y.language GROUP BY 1, 2""",
-    "near_far_runs": f"""{_RN}, o AS (SELECT rn.* FROM rn JOIN bk USING (book) WHERE testament = 'OT'), t AS (SELECT rn.* FROM rn JOIN bk USING (book) WHERE testament = 'NT'),
+    "near_far_runs": f"""{_RU}, o AS (SELECT rn.* FROM rn JOIN bk USING (book) WHERE testament = 'OT'), t AS (SELECT rn.* FROM rn JOIN bk USING (book) WHERE testament = 'NT'),
       k AS (SELECT run FROM o GROUP BY 1 HAVING count(DISTINCT verse_id) <= 6),
       m AS (SELECT DISTINCT t.verse_id AS near_verse, o.verse_id AS far_verse, t.at_ AS na, o.at_ AS fa FROM t JOIN o USING (run) WHERE run IN (SELECT run FROM k)),
       i AS (SELECT *, na - row_number() OVER (PARTITION BY near_verse, far_verse, na - fa ORDER BY na) AS isl FROM m)
@@ -196,8 +255,7 @@ SQL = {
     "links_covered": f"""{_FR.replace(_T, _LN, 1)}, fo AS (SELECT DISTINCT a.verse_id AS low, b.verse_id AS high FROM ep a JOIN ep b ON a.phrase = b.phrase AND a.verse_id < b.verse_id),
       v AS (SELECT least(from_verse, to_verse) AS low, greatest(from_verse, to_verse) AS high, max(votes) AS votes FROM lv GROUP BY 1, 2)
       SELECT v.low, v.high, votes, fo.low IS NOT NULL AS found FROM v LEFT JOIN fo USING (low, high)""",
-    "cited_pairs": f"""{_T}, t AS (SELECT DISTINCT theme_id, tv.verse_id, vb.book, vb.chapter FROM theme_verse tv JOIN vb ON vb.verse_id = tv.verse_id WHERE theme_id IS NOT NULL)
-      SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*) AS themes FROM t a JOIN t b ON a.theme_id = b.theme_id AND a.book = b.book AND a.chapter = b.chapter AND a.verse_id < b.verse_id GROUP BY 1, 2""",
+    "cited_pairs": f"""{_CI} SELECT a.verse_id AS verse_a, b.verse_id AS verse_b, count(*) AS themes FROM t a JOIN t b ON a.theme_id = b.theme_id AND a.verse_id < b.verse_id JOIN z ON z.theme_id = a.theme_id WHERE verses <= 12 GROUP BY 1, 2""",
     "passage_verses": f"{_PV} SELECT * FROM pv",
     "passage_words": f"{_PV} SELECT passage_id, root, count(*) AS n FROM pv JOIN ct USING (verse_id) GROUP BY 1, 2",
     "theme_roles": f"""{_T} SELECT theme_id, role, count(*) AS verses, count(*) FILTER (vb.verse_id IS NULL) AS missing FROM (SELECT DISTINCT id, theme_id, role, verse_id FROM theme_verse) t LEFT JOIN vb USING (verse_id) GROUP BY 1, 2""",

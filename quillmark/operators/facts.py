@@ -196,3 +196,58 @@ def partners(at: DataFrame) -> DataFrame:
     sets = b.groupBy("phrase").agg(F.sort_array(F.collect_list("book")).alias("books"))  # an echo stands in few verses, so in few books
     first = sets.select("books", F.posexplode("books").alias("i", "book_a"))
     return first.select("book_a", F.explode(F.slice("books", F.col("i") + 2, F.size("books"))).alias("book_b")).groupBy("book_a", "book_b").agg(F.count("*").alias("echoes"))
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    """The items with which two arrays begin alike."""
+    n = F.least(F.size(a), F.size(b))
+    unlike = F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i > n) | (F.get(a, i - 1) != F.get(b, i - 1)))
+    return F.slice(a, 1, F.array_min(unlike) - 1)
+
+
+def grown(units: DataFrame, lengths: tuple[int, ...] = FORMULA_LENGTHS, least: int = 2) -> DataFrame:
+    """(book, phrase, n, verses, grown): formulas in ``least`` verses of a book, grown to both sides as long as all these verses go on alike.
+
+    What follows a formula is taken at its first place in each verse. All verses of a group go on alike exactly as far as the least and
+    the greatest of what follows do, so growth is two partial aggregates for each side and no group of verses is gathered.
+    """
+    rows = units.where("size(units) = size(words) and size(units) > 0").select("verse_id", "book", "units", "words")
+    starts = F.sequence(F.lit(1), F.size("units"))
+    runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.size("units")), lambda i: F.struct(i.alias("i"), n.alias("n")))))
+    at = rows.select("book", "verse_id", "units", "words", F.explode(runs).alias("r")).where(~is_stop(F.element_at("words", F.col("r.i") + F.col("r.n") - 1)))
+    u, i, n = F.col("units"), F.col("r.i"), F.col("r.n")
+    place = F.struct(i.alias("i"), F.slice(u, i + n, F.size(u)).alias("after"), F.reverse(F.slice(u, 1, i - 1)).alias("before"))
+    first = at.groupBy("book", "verse_id", F.array_join(F.slice(u, i, n), " ").alias("phrase"), n.alias("n")).agg(F.min(place).alias("p"))
+    g = first.groupBy("book", "phrase", "n").agg(F.count("*").alias("verses"), *(f(f"p.{c}").alias(f"{k}_{c}") for c in ("after", "before") for k, f in (("a", F.min), ("z", F.max)))).where(F.col("verses") >= least)
+    left, right = F.reverse(_common_start(F.col("a_before"), F.col("z_before"))), _common_start(F.col("a_after"), F.col("z_after"))
+    return g.select("book", "phrase", "n", "verses", F.array_join(F.concat(left, F.array("phrase"), right), " ").alias("grown"))
+
+
+def signature_formulas(units: DataFrame, sizes: DataFrame, tried: int = 75, shown: int = 25, cover: float = 0.8) -> DataFrame:
+    """(book, rank, grown, verses, rest, keyness): the formulas that mark each book, judged on verses.
+
+    The formulas of a book are grown, those that grow into one are taken once, by their best; of the ``tried`` best those are left out
+    whose verses a longer one that holds them covers to ``cover``; what is grown is counted again outside the book. ``sizes`` has (book,
+    size) in verses. Only the tried ones, a fixed number for each book, are set against each other.
+    """
+    g = grown(units)
+    total = formulas(units).groupBy("phrase", "verse_id").agg(F.lit(1)).groupBy("phrase").agg(F.count("*").alias("total"))
+    every = sizes.agg(F.sum("size")).scalar()
+    key = lambda rest: M.g2("verses", rest, "size", F.col("every") - F.col("size"))
+    s = g.join(total, "phrase").join(sizes, "book").withColumn("every", every).withColumn("rest", F.col("total") - F.col("verses"))
+    s = s.withColumn("key0", M.rounded(key(F.col("rest"))))
+    best = [F.desc("key0"), F.desc("n"), F.col("phrase")]
+    chosen = top_k(top_k(s, ["book", "grown"], best, 1, "once"), ["book"], best, tried, "place").drop("once", "place")
+    inside = chosen.select("book", F.col("grown").alias("g"), F.col("phrase").alias("q"), F.col("verses").alias("v"))
+    pairs = chosen.select("book", "grown", "phrase", "verses").join(inside, "book").where((F.col("grown") != F.col("g")) & F.contains(F.concat(F.lit(" "), "g", F.lit(" ")), F.concat(F.lit(" "), "grown", F.lit(" "))))
+    held = formulas(units).select("book", "phrase", "verse_id").join(chosen.select("book", "phrase"), ["book", "phrase"], "left_semi").distinct()
+    both = pairs.join(held, ["book", "phrase"]).join(held.select("book", F.col("phrase").alias("q"), "verse_id"), ["book", "q", "verse_id"]).groupBy("book", "grown", "g", "verses").agg(F.count("*").alias("both"))
+    nested = both.where(F.col("both") >= cover * F.col("verses")).select("book", "grown").distinct()
+    left = chosen.join(nested, ["book", "grown"], "left_anti")
+    longer = left.where("grown <> phrase").select("book", "grown", "phrase")
+    away = units.select(F.col("book").alias("b"), "verse_id", F.concat(F.lit(" "), F.array_join("units", " "), F.lit(" ")).alias("s"))
+    seen = formulas(units).select("phrase", F.col("book").alias("b"), "verse_id").join(longer.select("phrase").distinct(), "phrase", "left_semi").distinct().join(away, ["b", "verse_id"])
+    count = longer.join(seen, "phrase").where((F.col("b") != F.col("book")) & F.contains("s", F.concat(F.lit(" "), "grown", F.lit(" ")))).groupBy("book", "grown").agg(F.count("*").alias("again"))
+    out = left.join(count, ["book", "grown"], "left").withColumn("rest", F.when(F.col("grown") == F.col("phrase"), F.col("rest")).otherwise(F.coalesce("again", F.lit(0))))
+    out = out.withColumn("keyness", M.rounded(key(F.col("rest"))))
+    return top_k(out, ["book"], [F.desc("keyness"), F.desc(F.length("grown")), F.col("grown")], shown).select("book", "rank", "grown", "verses", "rest", "keyness")

@@ -1,136 +1,172 @@
-"""Pages: an action as named DataFrames, lazy until they are shown or stored."""
+"""Pages: an action as named DataFrames, lazy until they are shown or stored; with a build they read stored facts alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmark.operators import corpus as C, links as L
-from quillmark.plans import fact_queries as X, link_queries as K, mining_queries as W, style_queries as Y
+from quillmark.operators import links as L
 from quillmark.plans.notation import Action, parse
+from quillmark.plans.store import Facts
 from quillmark.sources.tables import table
 
 Page = dict[str, DataFrame]
 
 
-def verses_with_root(spark: SparkSession, d: str, root: str, scope: str | None = None) -> DataFrame:
-    t = C.tokens(spark, d).where(F.col("root") == root)
-    return (t.where(F.col("book") == scope) if scope else t).select("book", "chapter", "verse", "verse_id").distinct()
+def verses_with_root(spark: SparkSession, d: str, root: str, scope: str | None = None, build: str | None = None) -> DataFrame:
+    t = Facts(spark, d, build)("root_verses").where(F.col("root") == root)
+    return (t.where(F.col("book") == scope) if scope else t).select("book", "chapter", "verse", "verse_id")
 
 
-def verses_with_phrase(spark: SparkSession, d: str, phrase: str, scope: str | None = None) -> DataFrame:
-    v = C.verse_texts(spark, d).where(F.contains("word_string", F.lit(f" {phrase.lower()} ")) | F.contains("phrase_string", F.lit(f" {phrase} ")))
-    return (v.where(F.col("book") == scope) if scope else v).select("book", "chapter", "verse", "verse_id", "text")
+def verses_with_phrase(spark: SparkSession, d: str, phrase: str, scope: str | None = None, build: str | None = None, outside: bool = False) -> DataFrame:
+    """Verses with a phrase, in the scope or, with ``outside``, in all other books."""
+    v = Facts(spark, d, build)("verses").where(F.contains("word_string", F.lit(f" {phrase.lower()} ")) | F.contains("phrase_string", F.lit(f" {phrase} ")))
+    if scope:
+        v = v.where((F.col("book") != scope) if outside else (F.col("book") == scope))
+    return v.select("book", "chapter", "verse", "verse_id", "text")
 
 
-def meetings(spark: SparkSession, d: str, a: str, b: str, window: int = 5, scope: str | None = None) -> DataFrame:
+def meetings(spark: SparkSession, d: str, a: str, b: str, window: int = 5, scope: str | None = None, build: str | None = None) -> DataFrame:
     """Verses where two roots stand within ``window`` words, with the number of meetings; both sides are filtered before they meet."""
-    t = C.tokens(spark, d).select("verse_id", "book", "position", "root")
+    t = Facts(spark, d, build)("words").select("verse_id", "book", "position", "root")
     t = t.where(F.col("book") == scope) if scope else t
     x = t.where(F.col("root") == a).select("verse_id", "book", F.col("position").alias("p"))
     y = t.where(F.col("root") == b).select("verse_id", F.col("position").alias("q"))
     return x.join(y, "verse_id").where(F.abs(F.col("p") - F.col("q")).between(1, window)).groupBy("book", "verse_id").agg(F.count("*").alias("meetings"))
 
 
-def word_page(spark: SparkSession, d: str, root: str, scope: str | None = None) -> Page:
-    one = lambda df, c="root": df.where(F.col(c) == root)
-    pull = one(X.pull(spark, d), "focus").where(F.col("scope") == (scope or "(all)"))
-    return {"weights": one(X.weight_scales(spark, d)), "forms": one(X.common_form(spark, d)), "neighbours": pull.orderBy(F.desc("pull"), "neighbour").limit(25), "shadow": one(X.shadow(spark, d), "focus"), "verses": verses_with_root(spark, d, root, scope), "renderings": one(W.renderings(spark, d)), "home": one(Y.word_book(spark, d)).orderBy(F.desc("keyness"), "book")}
+def word_page(spark: SparkSession, d: str, root: str, scope: str | None = None, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
+    one = lambda name, c="root": f(name).where(F.col(c) == root)
+    pull = one("pull", "focus").where(F.col("scope") == (scope or "(all)"))
+    held = f("formulas").where(F.contains(F.concat(F.lit(" "), "phrase", F.lit(" ")), F.lit(f" {root} ")))
+    return {
+        "weights": one("weight_scales"), "forms": one("common_form"), "behind": one("lexicon_display"), "neighbours": pull.orderBy(F.desc("pull"), "neighbour").limit(25), "shadow": one("shadow", "focus"),
+        "verses": verses_with_root(spark, d, root, scope, build), "renderings": one("renderings"), "home": one("word_book").orderBy(F.desc("keyness"), "book"), "formulas": held.orderBy(F.desc("verses"), "phrase").limit(25),
+    }
 
 
-def book_page(spark: SparkSession, d: str, book: str) -> Page:
-    of = lambda df, c="book": df.where(F.col(c) == book)
+def book_page(spark: SparkSession, d: str, book: str, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
+    of = lambda name: f(name).where(F.col("book") == book)
+    top = of("signature_words").select(F.col("root"))
     return {
-        "totals": of(X.book_totals(spark, d)), "signature": of(X.signature_words(spark, d)), "kind": of(Y.group_keyness(spark, d)).orderBy(F.desc("keyness"), "root").limit(25), "function_words": of(Y.function_profile(spark, d)),
-        "richness": of(Y.richness(spark, d)), "partners": of(X.echo_partners(spark, d)).orderBy(F.desc("echoes"), "partner"), "reach_depth": of(Y.reach_depth(spark, d)), "within": of(K.shared_vocabulary(spark, d)).orderBy(F.desc("weight"), "chapter_a", "chapter_b"),
-        "sections": of(Y.section_words(spark, d)), "nearest": of(Y.nearest_books(spark, d)), "spots": of(Y.spots(spark, d)), "lift": of(Y.book_lift(spark, d)).orderBy(F.desc("lift"), "root").limit(40),
+        "totals": of("book_totals"), "signature": of("signature_words"), "behind": f("lexicon_display").join(top, "root", "left_semi"), "kind": of("group_keyness").orderBy(F.desc("keyness"), "root").limit(25), "function_words": of("function_profile"),
+        "richness": of("richness"), "partners": of("echo_partners").orderBy(F.desc("echoes"), "partner"), "echoes": of("echo_places").orderBy("verse_id", "phrase"), "formulas": of("folded_signatures").orderBy("rank"),
+        "reach_depth": of("reach_depth"), "within": of("shared_vocabulary").orderBy(F.desc("weight"), "chapter_a", "chapter_b"), "grammar": of("parts_of_speech"), "verbs": of("verb_table"),
+        "sections": of("section_words"), "nearest": of("nearest_books"), "spots": of("spots"), "lift": of("book_lift").orderBy(F.desc("lift"), "root").limit(40),
     }
 
 
-def chapter_page(spark: SparkSession, d: str, book: str, chapter: int) -> Page:
+def chapter_page(spark: SparkSession, d: str, book: str, chapter: int, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
     here = lambda df: df.where((F.col("book") == book) & (F.col("chapter") == chapter))
-    ids = here(C.verses(spark, d)).select(F.col("verse_id").alias("verse_a"))
-    return {"words": here(X.word_chapter(spark, d)).orderBy(F.desc("keyness"), "root").limit(25), "synopsis": K.synopsis(spark, d).join(ids, "verse_a", "left_semi"), "kin": _kin(spark, d, ids).limit(8), "strip": here(Y.chapter_strip(spark, d))}
+    ids = here(f("verses")).select("verse_id")
+    words = here(f("word_chapter")).orderBy(F.desc("keyness"), "root").limit(25)
+    near = f("pull").where((F.col("scope") == book) & (F.col("pull") > 0)).join(words.select(F.col("root").alias("focus")), "focus", "left_semi")
+    return {
+        "words": words, "neighbours": near.orderBy("focus", F.desc("pull"), "neighbour"), "echoes": f("echo_places").where(F.col("book") == book).join(ids, "verse_id", "left_semi"),
+        "synopsis": f("synopsis").join(ids.withColumnRenamed("verse_id", "verse_a"), "verse_a", "left_semi"), "kin": _kin(f, ids).limit(8), "strip": here(f("chapter_strip")), "verbs": here(f("verb_table")),
+    }
 
 
-def _kin(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
-    k = K.kin_ordered(spark, d)
+def _kin(f: Facts, ids: DataFrame) -> DataFrame:
+    k = f("kin_ordered")
     both = k.unionByName(k.select(F.col("verse_b").alias("verse_a"), F.col("verse_a").alias("verse_b"), "shared", "in_order", "score"))
-    return both.join(ids, "verse_a", "left_semi").orderBy(F.desc("score"), "verse_a", "verse_b")
+    return both.join(ids.withColumnRenamed("verse_id", "verse_a"), "verse_a", "left_semi").orderBy(F.desc("score"), "verse_a", "verse_b")
 
 
-def kin_page(spark: SparkSession, d: str, book: str, place: str) -> Page:
+def kin_page(spark: SparkSession, d: str, book: str, place: str, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
     chapter, _, verses = place.partition(":")
-    v = C.verses(spark, d).where((F.col("book") == book) & (F.col("chapter") == int(chapter)))
+    v = f("verses").where((F.col("book") == book) & (F.col("chapter") == int(chapter)))
     if verses:
         low, _, high = verses.partition("-")
         v = v.where(F.col("verse").between(int(low), int(high or low)))
-    return {"kin": _kin(spark, d, v.select(F.col("verse_id").alias("verse_a")))}
+    return {"kin": _kin(f, v.select("verse_id"))}
 
 
-def compare_page(spark: SparkSession, d: str, a: str, b: str) -> Page:
+def compare_page(spark: SparkSession, d: str, a: str, b: str, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
     low, high = sorted((a, b))
-    pair = lambda df: df.where((F.col("book_a") == low) & (F.col("book_b") == high))
-    return {"chapters": pair(K.compare_chapters(spark, d)), "parallels": pair(K.parallel_runs(spark, d)).orderBy(F.desc("hits"), "verse_a", "verse_b"), "delta": pair(Y.delta(spark, d)), "closeness": pair(Y.dice_books(spark, d))}
+    pair = lambda name: f(name).where((F.col("book_a") == low) & (F.col("book_b") == high))
+    either = f("parallel_runs").where(((F.col("book_a") == low) & (F.col("book_b") == high)) | ((F.col("book_a") == high) & (F.col("book_b") == low)))
+    return {"chapters": pair("compare_chapters"), "parallels": either.orderBy(F.desc("hits"), "verse_a", "verse_b"), "delta": pair("delta"), "closeness": pair("dice_books")}
 
 
-def testament_page(spark: SparkSession, d: str, name: str) -> Page:
-    from quillmark.plans.text_queries import home_words
+def testament_page(spark: SparkSession, d: str, name: str, build: str | None = None) -> Page:
+    from quillmark.operators import corpus as C
 
+    f = Facts(spark, d, build)
     books = C.books(spark, d).where(F.col("testament") == name).select("book")
-    return {"books": X.book_totals(spark, d).join(books, "book", "left_semi"), "home_words": home_words(spark, d).join(books.withColumnRenamed("book", "home"), "home", "left_semi").orderBy(F.desc("share"), "root"), "leaning": Y.leaning_words(spark, d).where(F.col("leans") == name)}
+    home = f("home_words").join(books.withColumnRenamed("book", "home"), "home", "left_semi")
+    return {
+        "books": f("book_totals").join(books, "book", "left_semi"), "home_words": home.orderBy(F.desc("share"), "root"), "home_map": home.groupBy("home").agg(F.count("*").alias("roots")).orderBy(F.desc("roots"), "home"),
+        "leaning": f("leaning_words").where(F.col("leans") == name),
+    }
 
 
-def passage_page(spark: SparkSession, d: str, name: str) -> Page:
+def passage_page(spark: SparkSession, d: str, name: str, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
     ids = table(spark, d, "passages").where(F.col("name") == name).select("passage_id").distinct()
-    of = lambda df: df.join(ids, "passage_id", "left_semi")
-    return {"verses": of(K.passage_verses(spark, d)), "lift": of(Y.passage_lift(spark, d)).orderBy(F.desc("keyness"), "root").limit(40), "absence": of(Y.passage_absence(spark, d))}
+    of = lambda df: f(df).join(ids, "passage_id", "left_semi")
+    return {"verses": of("passage_verses"), "lift": of("passage_lift").orderBy(F.desc("keyness"), "root").limit(40), "absence": of("passage_absence")}
 
 
-def theme_page(spark: SparkSession, d: str, name: str) -> Page:
-    of = lambda df: df.where(F.col("theme_id") == name)
-    return {"roles": of(K.theme_roles(spark, d)), "strip": of(K.theme_strip(spark, d)).orderBy("book", "chapter")}
+def theme_page(spark: SparkSession, d: str, name: str, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
+    of = lambda df: f(df).where(F.col("theme_id") == name)
+    return {"roles": of("theme_roles"), "strip": of("theme_strip").orderBy("book", "chapter")}
 
 
-def verse_page(spark: SparkSession, d: str, book: str, chapter: int, verse: int) -> Page:
-    v = C.verse_texts(spark, d).where((F.col("book") == book) & (F.col("chapter") == chapter) & (F.col("verse") == verse))
-    ids = v.select("verse_id")
-    t = C.tokens(spark, d).join(ids, "verse_id", "left_semi")
-    votes = K.link_votes(spark, d).join(ids.withColumnRenamed("verse_id", "from_verse"), "from_verse", "left_semi")
-    return {"text": v, "words": t.orderBy("position"), "links": votes.orderBy(F.desc("votes"), "to_verse"), "parallels": K.synopsis(spark, d).join(ids.withColumnRenamed("verse_id", "verse_a"), "verse_a", "left_semi")}
+def verse_page(spark: SparkSession, d: str, book: str, chapter: int, verse: int, build: str | None = None) -> Page:
+    f = Facts(spark, d, build)
+    at = lambda df: df.where((F.col("book") == book) & (F.col("chapter") == chapter) & (F.col("verse") == verse))
+    ids = at(f("verses")).select("verse_id")
+    words = at(f("words"))
+    votes = f("link_votes").join(ids.withColumnRenamed("verse_id", "from_verse"), "from_verse", "left_semi")
+    company = f("pull").where((F.col("scope") == book) & (F.col("pull") > 0)).join(words.select(F.col("root").alias("focus")).distinct(), "focus", "left_semi")
+    return {
+        "text": at(f("verses")), "words": words.orderBy("position"), "links": votes.orderBy(F.desc("votes"), "to_verse"), "parallels": f("synopsis").join(ids.withColumnRenamed("verse_id", "verse_a"), "verse_a", "left_semi"),
+        "company": company.orderBy(F.desc("pull"), "focus", "neighbour").limit(25), "echoes": f("echo_places").join(ids, "verse_id", "left_semi"), "kin": _kin(f, ids).limit(8),
+    }
 
 
-def section_page(spark: SparkSession, d: str, name: str) -> Page:
+def section_page(spark: SparkSession, d: str, name: str, build: str | None = None) -> Page:
     book, _, section = name.rpartition(" ")
-    return {"words": Y.section_words(spark, d).where((F.col("book") == book) & (F.col("section") == int(section)))}
+    f = Facts(spark, d, build)
+    here = (F.col("book") == book) & (F.col("section") == int(section))
+    chapters = F.floor((F.col("chapter") - 1) / 10) == int(section)
+    return {"words": f("section_words").where(here), "strip": f("chapter_strip").where((F.col("book") == book) & chapters), "verbs": f("verb_table").where((F.col("book") == book) & chapters)}
 
 
-def answer(spark: SparkSession, d: str, question: str | Action) -> Page:
+def answer(spark: SparkSession, d: str, question: str | Action, build: str | None = None) -> Page:
     """The page of a line of notation; book names may be written in any case or as abbreviations."""
     a = parse(question) if isinstance(question, str) else question
     named = lambda x: (L.book_names(table(spark, d, "books")).where(F.col("key") == x.strip().lower().removesuffix(".")).select("book").first() or [x])[0]
     scope = named(a.scope) if a.scope else None
     if a.kind == "word":
-        return word_page(spark, d, a.args[0], scope)
+        return word_page(spark, d, a.args[0], scope, build)
     if a.kind == "pair":
-        return {"meetings": meetings(spark, d, *a.args, scope=scope)}
+        return {"meetings": meetings(spark, d, *a.args, scope=scope, build=build)}
     if a.kind == "phrase":
-        return {"verses": verses_with_phrase(spark, d, a.args[0], scope)}
+        return {"verses": verses_with_phrase(spark, d, a.args[0], scope, build)} | ({"outside": verses_with_phrase(spark, d, a.args[0], scope, build, True)} if scope else {})
     if a.kind == "book":
-        return book_page(spark, d, named(a.args[0]))
+        return book_page(spark, d, named(a.args[0]), build)
     if a.kind == "chapter":
-        return chapter_page(spark, d, named(a.args[0]), int(a.args[1]))
+        return chapter_page(spark, d, named(a.args[0]), int(a.args[1]), build)
     if a.kind == "verse":
-        return verse_page(spark, d, named(a.args[0]), int(a.args[1]), int(a.args[2]))
+        return verse_page(spark, d, named(a.args[0]), int(a.args[1]), int(a.args[2]), build)
     if a.kind == "kin":
-        return kin_page(spark, d, named(a.args[0]), a.args[1])
+        return kin_page(spark, d, named(a.args[0]), a.args[1], build)
     if a.kind == "compare":
-        return compare_page(spark, d, named(a.args[0]), named(a.args[1]))
+        return compare_page(spark, d, named(a.args[0]), named(a.args[1]), build)
     pages = {"testament": testament_page, "passage": passage_page, "theme": theme_page, "section": section_page}
-    return pages[a.kind](spark, d, a.args[0])
+    return pages[a.kind](spark, d, a.args[0], build)
 
 
-def dossier(spark: SparkSession, d: str, book: str) -> dict[str, Page]:
-    """Every page of a book: its own, its comparisons with the five nearest books, and its chapters."""
-    near = [r["near"] for r in Y.nearest_books(spark, d).where(F.col("book") == book).orderBy("rank").collect()]
-    chapters = [r["chapter"] for r in C.verses(spark, d).where(F.col("book") == book).select("chapter").distinct().orderBy("chapter").collect()]
-    return {book: book_page(spark, d, book)} | {f"{book} ~ {b}": compare_page(spark, d, book, b) for b in near} | {f"{book} {c}": chapter_page(spark, d, book, c) for c in chapters}
+def dossier(spark: SparkSession, d: str, book: str, build: str | None = None) -> dict[str, Page]:
+    """Every page of a book: its own, its comparisons with the five nearest books, and its chapters. It has a page for each chapter, so it is best read from a build."""
+    f = Facts(spark, d, build)
+    near = [r["near"] for r in f("nearest_books").where(F.col("book") == book).orderBy("rank").collect()]
+    chapters = [r["chapter"] for r in f("verses").where(F.col("book") == book).select("chapter").distinct().orderBy("chapter").collect()]
+    return {book: book_page(spark, d, book, build)} | {f"{book} ~ {b}": compare_page(spark, d, book, b, build) for b in near} | {f"{book} {c}": chapter_page(spark, d, book, c, build) for c in chapters}

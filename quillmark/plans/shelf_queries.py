@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmark.functions import measures as M, text as T
+from quillmark.functions import measures as M, sequences as Q, text as T
 from quillmark.functions.lists import LEADING, STOPLIST, sql_list
 from quillmark.operators import corpus as C, facts as X, judge as J, links as L
 from quillmark.plans import fact_queries as FQ
 from quillmark.plans.fact_queries import _FR, _T, _WB
-from quillmark.plans.link_queries import SQL as LINK_SQL, theme_strip
-from quillmark.plans.text_queries import _BN, _REF
+from quillmark.plans.link_queries import SQL as LINK_SQL, _RN, theme_strip
+from quillmark.plans.style_queries import SQL as STYLE_SQL, _ST
+from quillmark.plans.text_queries import _BN, _PS, _REF
 from quillmark.sources.tables import table
 
 R = M.rounded
@@ -209,4 +210,18 @@ SQL = {
     "theme_predictions": f"""{_T}, t AS (SELECT theme_id || ' / ' || vb.book AS prediction, vb.book, min(chapter) AS a, max(chapter) AS z FROM (SELECT DISTINCT theme_id, verse_id FROM theme_verse WHERE theme_id IS NOT NULL) x JOIN vb USING (verse_id) WHERE vb.book IS NOT NULL GROUP BY theme_id, vb.book),
       p AS (SELECT bk.book, chapter_start AS f, coalesce(chapter_end, chapter_start) AS l FROM passage_ranges JOIN bk USING (book_num) WHERE passage_id IS NOT NULL AND chapter_start IS NOT NULL)
       SELECT prediction, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.book = t.book AND f <= z AND l >= a) THEN 'hit' WHEN EXISTS (SELECT 1 FROM p WHERE p.book = t.book AND f <= z + 1 AND l >= a - 1) THEN 'near' ELSE 'miss' END AS judgement FROM t""",
+    # of queries of other modules, by common subsequences and lists
+    "verdicts": f"""{_RN}, cu AS (SELECT verse_id, list_filter(units, lambda w: w NOT IN {sql_list(STOPLIST)}) AS u FROM un), x AS (SELECT verse_a, verse_b, hits, a.u AS ua, b.u AS ub FROM rp JOIN cu a ON a.verse_id = verse_a JOIN cu b ON b.verse_id = verse_b WHERE book_a <> book_b),
+      y AS (SELECT *, {Q.sql_lcs("ua", "ub")} AS k, least(len(ua), len(ub)) AS n, len(list_distinct(list_intersect(ua, ub))) AS bt FROM x)
+      SELECT verse_a, verse_b, hits, CASE WHEN n = 0 THEN 'departs' WHEN k = n AND len(ua) = len(ub) THEN 'whole' WHEN k = n - 1 AND n >= 3 THEN 'one word changed' WHEN k = n THEN 'held inside'
+        WHEN bt >= 2 AND k < bt THEN 'same words, other order (' || bt || ' roots)' WHEN k >= 3 THEN 'formula' ELSE 'departs' END AS verdict FROM y""",
+    "part_likeness": f"""{_T}, x AS (SELECT verse_id, position, morph, CASE WHEN regexp_matches(morph, '^H[A-Z]') THEN substr(morph, 2, 1) ELSE substr(morph, 1, 1) END AS x FROM tk WHERE morph IS NOT NULL),
+      p AS (SELECT verse_id, position, CASE WHEN morph = 'PREP' THEN 'preposition' WHEN morph = 'CONJ' THEN 'conjunction' ELSE {_PS} END AS p FROM x), v AS (SELECT verse_id, list(p ORDER BY position) AS p FROM p WHERE p IS NOT NULL GROUP BY 1 HAVING count(*) >= 4),
+      h AS (SELECT verse_id, p[1 : len(p) // 2] AS a, p[len(p) // 2 + 1 : len(p)] AS b FROM v) SELECT verse_id, round({Q.sql_lcs("a", "b")} / greatest(len(a), len(b))::DOUBLE, 6) + 0.0 AS likeness FROM h""",
+    "seam_check": f"""WITH s AS ({STYLE_SQL["chapter_shifts"]}), t AS (SELECT theme_id, book, min(chapter) AS a, max(chapter) AS b FROM ({LINK_SQL["theme_strip"]}) GROUP BY 1, 2), e AS (SELECT DISTINCT book, unnest([a, b]) AS chapter FROM t)
+      SELECT e.book, e.chapter, round(((SELECT count(*) FROM s y WHERE y.book = e.book AND y.distance < s.distance) + 0.5 * (SELECT count(*) FROM s y WHERE y.book = e.book AND y.distance = s.distance)) / (SELECT count(*) FROM s y WHERE y.book = e.book), 6) + 0.0 AS percentile
+      FROM e JOIN s ON s.book = e.book AND s.chapter = e.chapter""",
+    "strip_variety": f"""{_ST}, cw AS (SELECT v.book, v.i, list(root ORDER BY position) AS q FROM v JOIN ct USING (verse_id) GROUP BY 1, 2), wq AS (SELECT book, start, flatten(list(q ORDER BY i)) AS q FROM wk0 LEFT JOIN cw USING (book) WHERE i BETWEEN start AND start + 9 GROUP BY 1, 2),
+      ww AS (SELECT book, start, list_transform(range(1, greatest(2, len(q) - 48)), lambda k: len(list_distinct(q[k : k + 49])) / least(50, len(q))::DOUBLE) AS r FROM wq)
+      SELECT book, start, round(coalesce(list_avg(r), 0), 6) + 0.0 AS variety FROM wk0 LEFT JOIN ww USING (book, start)""",
 }

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.plans import notation as N, pages as P
+from quillmark.plans.store import build_facts
 from quillmark.sources import files as S, stores as W
 from quillmark.streaming import events as V
 
@@ -112,10 +113,24 @@ def test_notation_and_sql_guards(spark):
     with pytest.raises(ValueError):
         N.parse("'open")
     assert N.guarded_sql(spark, "select 1 as x -- drop\n;").first()["x"] == 1
-    for bad in ("drop table x", "select 1; select 2", "with a as (select 1) insert into t select * from a"):
+    spark.range(5).createOrReplaceTempView("five")
+    bad = (
+        "drop table x", "select 1; select 2", "with a as (select 1) insert into t select * from a", "select reflect('java.lang.System', 'getenv', 'HOME')", "select try_reflect('java.lang.System', 'getenv', 'HOME')",
+        "select * from text.`/etc/hostname`", "select * from parquet.`/tmp`", "select * from other", "select (select max(value) from text.`/etc/hostname`)", "select 1 where exists (select 1 from text.`/etc/hostname`)",
+        "select * from five where id in (select java_method('java.lang.Math', 'random'))", "with a as (select * from text.`/etc/hostname`) select * from a", "set a = b", "show tables", "explain select 1", "cache table five", "select",
+    )
+    for q in bad:
         with pytest.raises(ValueError):
-            N.guarded_sql(spark, bad)
-    assert N.guarded_sql(spark, "select ';drop' as s").first()["s"] == ";drop"
+            N.guarded_sql(spark, q)
+    assert N.guarded_sql(spark, "select ';drop' as s").first()["s"] == ";drop" and N.guarded_sql(spark, "select '--x' as s").first()["s"] == "--x"
+    good = {
+        "select count(*) as n from five": 5, "with a as (select * from five) select sum(id) as n from a join five using (id)": 10, "select max(id) as n from five where id in (select id from five where id < 3) having count(*) > 1": 2,
+        "select count(*) as n from (select *, row_number() over (partition by id % 2 order by id) as k from five) where k <= 1": 2, "select sum(x) as n from five lateral view explode(array(1, 2)) t as x": 15,
+        "select (select max(id) from five) as n": 4, "select size(filter(array(1, 2, 3), x -> x > 1)) as n": 2, "select n from values (1), (7) as t(n) order by n desc": 7,
+    }
+    for q, want in good.items():
+        assert N.guarded_sql(spark, q).first()["n"] == want
+    assert N.guarded_sql(spark, "select * from five", 2).count() == 2
 
 
 @pytest.mark.parametrize("line", ["Orvath", "orv 1", "Orvath 1:1", "Orvath ~ Kel", "testament OT", "#seed-given", "'H4936' [Orvath]", "'H4936' + 'H1840'", '"of the"', "kin Orvath 1", "section Orvath 0"])
@@ -129,6 +144,16 @@ def test_page_rows(spark):
     assert page["totals"].count() == 1 and 0 < page["signature"].count() <= 25
 
 
+def test_pages_of_a_build_equal_those_of_the_tables(spark, tmp_path):
+    """What a page reads from stored facts is what it makes from the tables."""
+    names = ["verses", "words", "word_chapter", "pull", "echo_places", "synopsis", "kin_ordered", "chapter_strip", "verb_table", "root_verses"]
+    build = build_facts(spark, DATA, str(tmp_path), "b1", names)
+    a, b = P.answer(spark, DATA, "Orvath 1"), P.answer(spark, DATA, "Orvath 1", build)
+    flat = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    assert a.keys() == b.keys() and all(flat(a[k]) == flat(b[k]) for k in a) and a["words"].count() > 0
+    assert flat(P.verses_with_root(spark, DATA, "H4936", build=build)) == flat(P.verses_with_root(spark, DATA, "H4936"))
+
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import measures as M
+from quillmark.operators.order import running
+from quillmark.session import shared_dir
+
+#: Query vectors held against all rows in one job.
+QUERIES = 4096
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -21,17 +28,17 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
 def companions(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
     """(a, rank, b, distance) by cosine: the query set is every row whose id is divisible by ``every``, held against all rows.
 
-    The query vectors are shipped in blocks of 1,000; each task holds its rows against a block and keeps the best ``k`` of each query, so
-    what is shuffled is ``k`` rows for each query, block and task.
+    The query vectors are shipped in blocks of ``QUERIES``; each task holds its rows against a block and keeps the best ``k`` of each query, so
+    what is shuffled is ``k`` rows for each query and task. Each block is a job of its own whose result is written, so plans don't grow.
     """
     spark = vectors.sparkSession
     rows = vectors.where("id is not null and vector is not null").select("id", "vector")
-    queries = rows.where(F.col("id") % every == 0)
-    found = None
-    ids = queries.select("id").distinct()
-    n = max(1, -(-ids.count() // 1000))
+    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    n = max(1, -(-queries.count() // QUERIES))
+    path = f"{shared_dir(spark)}/companions-{uuid.uuid4().hex}"
+    done = []
     for block in range(n):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).dropDuplicates(["id"]).toArrow()
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).toArrow()
         if not part.num_rows:
             continue
         held = spark.sparkContext.broadcast((part["id"].to_numpy(), np.array(part["vector"].to_pylist(), np.float64)))
@@ -52,11 +59,12 @@ def companions(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
                 ok = np.isfinite(dd)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[ok]]), pa.array(ids[bb[ok]]), pa.array(dd[ok])], names=["a", "b", "distance"])
 
-        one = rows.mapInArrow(run, "a long, b long, distance double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "a long, rank int, b long, distance double")
-    return nearest(found.groupBy("a", "b").agg(M.rounded(F.min("distance"), 9).alias("distance")), k)
+        one = rows.mapInArrow(run, "a long, b long, distance double").groupBy("a", "b").agg(M.rounded(F.min("distance"), 9).alias("distance"))
+        nearest(one, k).write.mode("overwrite").parquet(f"{path}/{block}")
+        done.append(f"{path}/{block}")
+        held.destroy()
+    schema = "a long, rank int, b long, distance double"
+    return spark.read.schema(schema).parquet(*done) if done else spark.range(0).select(*(F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in schema.split(", ")))
 
 
 def local_outlier(near: DataFrame) -> DataFrame:
@@ -68,77 +76,139 @@ def local_outlier(near: DataFrame) -> DataFrame:
     return out.groupBy("a").agg((F.avg("other") / F.first("density")).alias("lof"))
 
 
-def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance of the vectors; partial sums of dimension squared are what reaches the driver, whatever the rows."""
+def moments(vectors: DataFrame, mean: np.ndarray | None = None, spread: np.ndarray | None = None, cap: float = math.inf) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of the vectors, or of their places (v - mean) / spread kept within ``cap``.
+
+    Each task adds up its own rows; the sums are added up by their number in the matrix, so dimension squared numbers is what meets and what
+    reaches the driver, whatever the rows and tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, ss = 0, None, None
         for b in batches:
             if b.num_rows:
                 v = np.array(b.column(0).to_pylist(), np.float64)
+                v = v if mean is None else np.clip((v - mean) / spread, -cap, cap)
                 n += len(v)
                 s = v.sum(0) if s is None else s + v.sum(0)
                 ss = v.T @ v if ss is None else ss + v.T @ v
         if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+            flat = np.concatenate([[n], s, ss.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int64)), pa.array(flat)], names=["i", "x"])
 
-    parts = vectors.where("vector is not null").select("vector").mapInArrow(run, "n long, s array<double>, ss array<double>")
-    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
-    parts = parts.coalesce(1).agg(F.sum("n").alias("n"), F.reduce(F.collect_list("s"), F.array().cast("array<double>"), lambda x, y: F.when(F.size(x) == 0, y).otherwise(add(x, y))).alias("s"), F.reduce(F.collect_list("ss"), F.array().cast("array<double>"), lambda x, y: F.when(F.size(x) == 0, y).otherwise(add(x, y))).alias("ss"))
-    row = parts.first()
-    if row is None or not row["n"]:
+    got = vectors.where("vector is not null").select("vector").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    if not got.num_rows:
         return 0, np.zeros(0), np.zeros((0, 0))
-    n, mean = row["n"], np.array(row["s"]) / row["n"]
-    return n, mean, np.array(row["ss"]).reshape(len(mean), -1) / n - np.outer(mean, mean)
+    flat = np.zeros(got.num_rows)
+    flat[got["i"].to_numpy()] = got["x"].to_numpy()
+    d = int((math.isqrt(4 * (len(flat) - 1) + 1) - 1) // 2)
+    n, m = int(flat[0]), flat[1 : d + 1] / flat[0]
+    return n, m, flat[d + 1 :].reshape(d, d) / n - np.outer(m, m)
+
+
+def shrunk(vectors: DataFrame, mean: np.ndarray, spread: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean, covariance, share): the covariance of capped places drawn towards a sphere by the share that Ledoit and Wolf's estimate gives."""
+    n, m, cov = moments(vectors, mean, spread, cap)
+    d = len(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = np.clip((np.array(b.column(0).to_pylist(), np.float64) - mean) / spread, -cap, cap) - m
+                yield pa.RecordBatch.from_pydict({"x": [float((np.einsum("ij,ij->i", v, v) ** 2).sum())]})
+
+    fourth = vectors.where("vector is not null").select("vector").mapInArrow(run, "x double").agg(F.sum("x")).first()[0]
+    sphere = np.trace(cov) / d
+    apart = ((cov - sphere * np.eye(d)) ** 2).sum()
+    noise = (fourth / n - (cov**2).sum()) / n
+    share = 0.0 if apart <= 0 else min(1.0, max(0.0, noise / apart))
+    return m, (1 - share) * cov + share * sphere * np.eye(d), share
+
 
+def mahalanobis(vectors: DataFrame, cap: float = 6.0) -> DataFrame:
+    """(id, distance): squared distance from the mean under the covariance of the coordinates' places, each kept within ``cap`` for the fit alone.
 
-def mahalanobis(vectors: DataFrame, shrink: float = 0.1) -> DataFrame:
-    """(id, distance): squared distance from the mean under the covariance, drawn by ``shrink`` towards a sphere of the same mean variance."""
+    The covariance is shrunk by Ledoit and Wolf's estimate, so that it can be inverted however few rows there are. Coordinates that don't vary
+    count nothing. Null ids and vectors take no part; an empty table gives an empty result.
+    """
     n, mean, cov = moments(vectors)
     if not n:
-        return vectors.sparkSession.createDataFrame([], "id long, distance double")
-    cov = (1 - shrink) * cov + shrink * np.trace(cov) / len(mean) * np.eye(len(mean))
-    held = vectors.sparkSession.sparkContext.broadcast((mean, np.linalg.inv(cov)))
+        return vectors.sparkSession.range(0).select(F.col("id"), F.lit(None).cast("double").alias("distance"))
+    spread = np.where(np.diag(cov) > 1e-18, np.sqrt(np.maximum(np.diag(cov), 0)), np.inf)
+    m, fitted, _ = shrunk(vectors, mean, spread, cap)
+    held = vectors.sparkSession.sparkContext.broadcast((mean, spread, m, np.linalg.pinv(fitted, hermitian=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, inv = held.value
+        mean, spread, m, inv = held.value
         for b in batches:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, len(mean)) - mean
+            v = (np.array(b.column(1).to_pylist(), np.float64).reshape(-1, len(mean)) - mean) / spread - m
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.einsum("ij,jk,ik->i", v, inv, v))], names=["id", "distance"])
 
     return vectors.where("id is not null and vector is not null").select("id", "vector").mapInArrow(run, "id long, distance double")
 
 
 def empirical_p(values: DataFrame, value: str) -> DataFrame:
-    """Adds ``p`` = (values at least as great, itself apart, + 1) / (n + 1). Distinct values are what is ordered."""
+    """Adds ``p`` = (values at least as great, itself apart, + 1) / (n + 1). Distinct values are what is ordered, by ranges."""
     c = values.groupBy(value).agg(F.count("*").alias("n"))
-    c = c.select(value, (F.sum("n").over(Window.orderBy(F.desc(value))) - 1).alias("above")).withColumn("all", c.agg(F.sum("n")).scalar())
-    return values.join(c.select(value, ((F.col("above") + 1) / (F.col("all") + 1)).alias("p")), value)
+    c = running(c, [F.col(value)], F.col("n"), "above", reverse=True).withColumn("all", c.agg(F.sum("n")).scalar())
+    return values.join(c.select(value, (F.col("above") / (F.col("all") + 1)).alias("p")), value)
 
 
 def false_discovery(values: DataFrame, p: str = "p") -> DataFrame:
     """Adds ``q``, the step-up corrected value: the least of p * n / rank over all values from here up."""
     c = values.groupBy(p).agg(F.count("*").alias("k"))
-    up = Window.orderBy(p)
-    c = c.withColumn("n", c.agg(F.sum("k")).scalar()).withColumn("rank", F.sum("k").over(up))
-    c = c.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("n") / F.col("rank")).over(up.rowsBetween(0, Window.unboundedFollowing))))
-    return values.join(c.select(p, "q"), p)
+    c = running(c, [F.col(p)], F.col("k"), "rank").withColumn("n", c.agg(F.sum("k")).scalar())
+    c = running(c, [F.col(p)], F.col(p) * F.col("n") / F.col("rank"), "q", "min", reverse=True)
+    return values.join(c.select(p, F.least(F.lit(1.0), F.col("q")).alias("q")), p)
 
 
-def shuffle_test(rows: DataFrame, group: str, value: str, times: int = 200, seed: int = 7) -> DataFrame:
-    """(observed, above, times, p): the difference of two groups' means against ``times`` seeded reassignments of rows to groups.
+def uniform(ids: np.ndarray, trial: int, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each id, by the bits of id, trial and seed; the same wherever the row lies."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64((trial * 0x9E3779B97F4A7C15 + seed * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
 
-    A row's group in a reassignment comes from a hash of its id, the seed and the number of the reassignment, so the result
-    doesn't depend on partitions. ``group`` is boolean; ``id`` must be unique.
+def shuffle_tests(rows: DataFrame, label: str, value: str, times: int = 200, seed: int = 7) -> DataFrame:
+    """(label, observed, above, times, p): for each label the difference of its rows' mean from the others', against seeded reassignments.
+
+    Each row's group in a reassignment comes from the bits of its id, so the result doesn't depend on partitions, and no row is copied: a task
+    adds up its own rows for each label and reassignment, and these sums are what is shuffled. ``id`` is a unique long; rows without a
+    label or value take no part; a label that all rows or none have has no result.
     """
-    r = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select("id", F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    share = r.agg(F.avg(F.col("g").cast("int"))).scalar()
-    real = r.agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("observed"))
-    x = r.withColumn("share", share).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    mine = F.pmod(F.xxhash64("id", "trial", F.lit(seed)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    trials = x.groupBy("trial").agg((F.avg(F.when(mine, F.col("v"))) - F.avg(F.when(~mine, F.col("v")))).alias("d"))
-    out = trials.withColumn("observed", real.scalar())
-    return out.groupBy("observed").agg(F.count_if(F.col("d") >= F.col("observed")).alias("above"), F.count("*").alias("times")).withColumn("p", (F.col("above") + 1) / (F.col("times") + 1))
+    r = rows.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select("id", F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("v"))
+    own = r.groupBy("label").agg(F.count("*").alias("k"), F.sum("v").alias("s")).orderBy("label").collect()  # one row for each label
+    n, every = sum(x["k"] for x in own), sum(x["s"] for x in own)
+    own = [x for x in own if x["k"] < n]
+    shares = np.array([x["k"] / n for x in own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros((times, len(shares)), np.int64), np.zeros((times, len(shares)))
+        order = np.argsort(shares)
+        for b in batches:
+            ids, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for t in range(times):
+                u = uniform(ids, t + 1, seed)
+                at = np.searchsorted(shares[order], u, "right")  # labels whose share the number lies under are those from here on
+                count[t, order] += np.cumsum(np.bincount(at, minlength=len(shares) + 1)[:-1])
+                total[t, order] += np.cumsum(np.bincount(at, v, len(shares) + 1)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count.size, dtype=np.int64)), pa.array(count.ravel()), pa.array(total.ravel())], names=["i", "k", "s"])
+
+    if not own:
+        return rows.sparkSession.range(0).select(F.lit("").alias("label"), F.lit(0.0).alias("observed"), F.lit(0).cast("long").alias("above"), F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("p"))
+    sums = r.select("id", "v").mapInArrow(run, "i long, k long, s double").groupBy("i").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
+    names, real = F.array(*(F.lit(x["label"]) for x in own)), F.array(*(F.lit(x["s"] / x["k"] - (every - x["s"]) / (n - x["k"])) for x in own))
+    at = (F.col("i") % len(own)).cast("int")
+    d = F.when((F.col("k") > 0) & (F.col("k") < n), F.col("s") / F.nullif("k", F.lit(0)) - (F.lit(every) - F.col("s")) / F.nullif(F.lit(n) - F.col("k"), F.lit(0)))
+    each = sums.select(F.get(names, at).alias("label"), F.get(real, at).alias("observed"), d.alias("d"))
+    out = each.groupBy("label", "observed").agg(F.count_if(F.col("d") >= F.col("observed")).alias("above"), F.count("*").alias("times"))
+    return out.withColumn("p", (F.col("above") + 1) / (F.col("times") + 1))
+
+
+def shuffle_test(rows: DataFrame, group: str, value: str, times: int = 200, seed: int = 7) -> DataFrame:
+    """(observed, above, times, p) of ``shuffle_tests`` for the rows where ``group`` (boolean) holds."""
+    return shuffle_tests(rows, group, value, times, seed).where("label = 'true'").drop("label")
 
 
 def factorise(matrix: np.ndarray, k: int, rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:

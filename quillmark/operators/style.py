@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import measures as M
+from quillmark.operators.order import places
 
 
 def peers(books: DataFrame) -> DataFrame:
@@ -63,15 +64,11 @@ def delta(z: DataFrame) -> DataFrame:
 
 
 def yardstick(values: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """(share, value): the value at place int(share * n) of the sorted values, without interpolation. For values by pair of books, so few."""
-    n = values.count()
-    at = {s: min(n - 1, int(s * n)) for s in shares}
-    ranked = values.select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("i"))
-    rows = [ranked.where(F.col("i") == i).select(F.lit(s).alias("share"), value) for s, i in at.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """(share, value): the value at place int(share * n) of the sorted values, without interpolation."""
+    n = values.agg(F.count("*")).scalar()
+    ranked = places(values.select(value), [F.col(value)], "i").withColumn("n", n)
+    share = F.explode(F.array(*map(F.lit, shares)))
+    return ranked.withColumn("share", share).where(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("share") * F.col("n")))).select("share", value)
 
 
 def chi2_quantile(p: float, k: float) -> float:

@@ -179,9 +179,10 @@ def belonging(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_test(spark: SparkSession, d: str) -> DataFrame:
-    """Is the isolation of the first label's vectors higher than by chance?"""
-    iso = E.mahalanobis(_vectors(spark, d)).join(_vectors(spark, d).select("id", "label"), "id").withColumn("g", F.col("label") == 0)
-    return E.shuffle_test(iso, "g", "distance").select(R(F.col("observed"), 4).alias("observed"), "above", "times", R(F.col("p")).alias("p"))
+    """Is the isolation of each label's vectors higher than by chance?"""
+    v = _vectors(spark, d)
+    iso = E.mahalanobis(v).join(v.select("id", "label"), "id")
+    return E.shuffle_tests(iso, "label", "distance").select("label", R(F.col("observed"), 4).alias("observed"), "above", "times", R(F.col("p")).alias("p"))
 
 
 def _contexts(spark: SparkSession, d: str) -> tuple[K.Contexts, DataFrame]:

@@ -9,6 +9,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmark.operators.order import places
+
 
 def checksum(df: DataFrame, *columns: str) -> str:
     """A digest of the rows, in whatever order they come: the sum over the rows' digests, with their number."""
@@ -59,13 +61,8 @@ def replace_parts(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def to_cells(df: DataFrame, page: str, section: str, order: list[str]) -> DataFrame:
-    """A table as cells (page, section, row, column_index, column_name, value, number); ``order`` numbers the rows.
-
-    Rows are numbered by a window over the section, which is a report's table.
-    """
-    from pyspark.sql.window import Window
-
-    rows = df.withColumn("row", F.row_number().over(Window.orderBy(*order)))
+    """A table as cells (page, section, row, column_index, column_name, value, number); ``order`` numbers the rows, from 1 on."""
+    rows = places(df, [F.col(c) for c in order], "row").withColumn("row", (F.col("row") + 1).cast("int"))
     cols = F.array(*(F.struct(F.lit(i).alias("column_index"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for i, c in enumerate(df.columns)))
     x = rows.select("row", F.explode(cols).alias("x"))
     return x.select(F.lit(page).alias("page"), F.lit(section).alias("section"), "row", "x.*", F.col("x.value").try_cast("double").alias("number"))

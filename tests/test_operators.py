@@ -95,12 +95,23 @@ def test_alignment_finds_translations(spark):
 def test_companions_outliers_and_moments(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(260, 5))
+    x[:, 1:3] += 2 * x[:, :1]
     x[7] += 30
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, vector array<double>")
     n, mean, cov = E.moments(df)
     assert n == 260 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True))
     d = {r["id"]: r["distance"] for r in E.mahalanobis(df).collect()}
     assert max(d, key=d.get) == 7 and len(d) == 260
+    sd = np.sqrt(np.diag(cov))
+    z = np.clip((x - mean) / sd, -6, 6)
+    m, s = z.mean(0), np.cov(z.T, bias=True)
+    ball = np.trace(s) / 5 * np.eye(5)
+    noise = np.mean([((np.outer(r, r) - s) ** 2).sum() for r in z - m]) / 260
+    share = min(1.0, noise / ((s - ball) ** 2).sum())
+    inv = np.linalg.inv((1 - share) * s + share * ball)
+    assert 0 < share < 1 and all(d[i] == pytest.approx(((x[i] - mean) / sd - m) @ inv @ ((x[i] - mean) / sd - m)) for i in range(260))
+    flat = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, vector array<double>")  # one coordinate that doesn't vary
+    assert all(np.isfinite(r["distance"]) for r in E.mahalanobis(flat).collect())
     got = {(r["a"], r["rank"]): r["b"] for r in E.companions(df, 3).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for a in (0, 100, 200):
@@ -116,6 +127,21 @@ def test_local_outlier(spark):
     assert max(lof, key=lof.get) == 4 and lof[4] > 5 > lof[1]
 
 
+def test_running_totals_need_no_single_sort(spark):
+    from quillmark.operators.order import places, running
+
+    rnd = random.Random(5)
+    values = rnd.sample(range(10_000), 700)
+    df = spark.createDataFrame([(v, v % 13) for v in values], "v long, w long").repartition(7)
+    order = sorted(values)
+    assert {r["v"]: r["place"] for r in places(df, [F.col("v")]).collect()} == {v: i for i, v in enumerate(order)}
+    up, down = running(df, [F.col("v")], F.col("w"), "x"), running(df, [F.col("v")], F.col("w"), "x", "min", reverse=True)
+    sums = dict(zip(order, np.cumsum([v % 13 for v in order]).tolist()))
+    assert {r["v"]: r["x"] for r in up.collect()} == sums
+    assert {r["v"]: r["x"] for r in down.collect()} == {v: min(x % 13 for x in order[i:]) for i, v in enumerate(order)}
+    assert places(df.limit(0), [F.col("v")]).count() == 0
+
+
 def test_corrected_p_values(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.5, 0.04])], "id long, p double")
     got = {r["id"]: r["q"] for r in E.false_discovery(df).collect()}
@@ -131,6 +157,19 @@ def test_shuffle_test_tells_signal_from_noise(spark):
     assert E.shuffle_test(df, "g", "signal").first()["p"] < 0.02
     assert E.shuffle_test(df, "g", "noise").first()["p"] > 0.02
     assert E.shuffle_test(df, "g", "signal").first() == E.shuffle_test(df.repartition(5), "g", "signal").first()
+    three = df.withColumn("l", F.when(F.col("id") < 20, "a").when(F.col("id") < 100, "b").otherwise("c")).withColumn("v", F.col("noise") + F.when(F.col("l") == "a", 3).otherwise(0))
+    got = {r["label"]: r for r in E.shuffle_tests(three, "l", "v", 50).collect()}
+    data = [(r["id"], r["l"], r["v"]) for r in three.collect()]
+    for label, r in got.items():
+        mine, rest = [v for _, x, v in data if x == label], [v for _, x, v in data if x != label]
+        assert r["observed"] == pytest.approx(np.mean(mine) - np.mean(rest)) and r["times"] == 50
+        above = 0
+        for t in range(1, 51):
+            u = E.uniform(np.array([i for i, _, _ in data]), t, 7) < len(mine) / len(data)
+            v = np.array([x for _, _, x in data])
+            above += v[u].mean() - v[~u].mean() >= r["observed"]
+        assert r["above"] == above
+    assert set(got) == {"a", "b", "c"} and got["a"]["p"] < 0.05 and E.shuffle_tests(three.limit(0), "l", "v").count() == 0
 
 
 def test_factors_and_structures():

@@ -134,6 +134,13 @@ def echo_support(spark: SparkSession, d: str) -> DataFrame:
     return J.support(at.withColumnRenamed("phrase", "echo"), texts)
 
 
+def echo_idiom(spark: SparkSession, d: str) -> DataFrame:
+    """Echoes of two verses by how the versions of the text stand to them: kept by one at most (idiom), by each one asked, or by some."""
+    e = echo_support(spark, d)
+    kind = F.when(F.col("kept") <= 1, "idiom").when(F.col("kept") == F.col("asked"), "own words").otherwise("some")
+    return e.groupBy(kind.alias("class")).agg(F.count("*").alias("echoes"), F.sum("kept").alias("kept"), F.sum("asked").alias("asked"))
+
+
 def listed_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     """References of a theme to verses that the text lacks, by theme: what a copy of the text has lost."""
     t = table(spark, d, "theme_verse").where("theme_id is not null and verse_id is not null").select(F.col("theme_id").alias("version"), "verse_id").distinct()
@@ -153,7 +160,7 @@ def theme_predictions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (root_verses, formulas_outside, looked_up, meeting_verses, trimmed_formulas, word_stems, stem_index, latin_lengths, gloss_words, marked_cells, rate_floors, lift_colours, rare_limit, grown_formulas, folded_signatures,
-              partners_in_time, echo_support, listed_elsewhere, theme_predictions)
+              partners_in_time, echo_support, echo_idiom, listed_elsewhere, theme_predictions)
 }
 
 _KW = f"{_T}, kw AS (SELECT DISTINCT lower(surface) AS word FROM tk WHERE surface IS NOT NULL), sm AS ({T.sql_stems('kw', 'kw')})"
@@ -180,6 +187,12 @@ sj AS (SELECT se.*, CASE WHEN se.grown = se.phrase THEN rest ELSE (SELECT count(
 sk2 AS (SELECT sj.book, grown, verses, rest2, {M.sql_g2('verses', 'rest2', 'size', 'every - size')} AS key FROM sj JOIN bz ON bz.book = sj.book CROSS JOIN az)
 """
 
+_ES = f"""{_FR}, e AS (SELECT phrase AS echo, min(verse_id) AS a, max(verse_id) AS b FROM ep WHERE phrase IN (SELECT phrase FROM ec WHERE verses = 2) GROUP BY 1),
+      v AS (SELECT verse_id, unnest([struct_pack(t := 'units', q := units), struct_pack(t := 'words', q := words), struct_pack(t := 'letters', q := string_split(regexp_replace(array_to_string(words, ' '), '[^a-z ]', '', 'g'), ' '))]) AS x FROM un WHERE len(units) > 0),
+      g AS (SELECT verse_id, x.t AS t, x.q AS q FROM v), h AS (SELECT DISTINCT verse_id, t, array_to_string(q[i : i + 2], ' ') AS r FROM (SELECT *, unnest(range(1, len(q) - 1)) AS i FROM g)),
+      asked AS (SELECT echo, a, b, x.t FROM e JOIN g x ON x.verse_id = a JOIN g y ON y.verse_id = b AND y.t = x.t), kept AS (SELECT DISTINCT echo, x.t FROM e JOIN h x ON x.verse_id = a JOIN h y ON y.verse_id = b AND y.t = x.t AND y.r = x.r)
+      SELECT echo, count(kept.t) AS kept, count(*) AS asked FROM asked LEFT JOIN kept USING (echo, t) GROUP BY 1"""
+
 SQL = {
     "root_verses": f"{_T} SELECT root, verse_id, book, chapter, verse, count(*) AS uses FROM tk WHERE root IS NOT NULL GROUP BY ALL",
     "formulas_outside": f"""{_FR}, v AS (SELECT phrase, book, count(DISTINCT verse_id) AS here FROM fr GROUP BY 1, 2) SELECT * FROM (SELECT phrase, book, here, (sum(here) OVER (PARTITION BY phrase) - here)::BIGINT AS outside FROM v) WHERE here >= 2""",
@@ -201,11 +214,8 @@ SQL = {
     "folded_signatures": f"""{_SF} SELECT book, rank::INT AS rank, grown, verses, rest2 AS rest, round(key, 6) + 0.0 AS keyness FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY round(key, 6) DESC, length(grown) DESC, grown) AS rank FROM sk2) WHERE rank <= 25""",
     "partners_in_time": f"""{_FR}, p AS (SELECT a.book, b.book AS partner, count(DISTINCT a.phrase) AS echoes FROM ep a JOIN ep b ON a.phrase = b.phrase AND a.book <> b.book GROUP BY 1, 2), b AS (SELECT name AS book, year(min(added)) * 12 + month(min(added)) AS m FROM books WHERE name IS NOT NULL AND added IS NOT NULL GROUP BY 1)
       SELECT p.book, CASE WHEN x.m IS NULL OR y.m IS NULL THEN '?' WHEN y.m < x.m - 3 THEN 'earlier' WHEN y.m > x.m + 3 THEN 'later' ELSE 'contemporary' END AS time, count(*) AS partners, sum(echoes)::BIGINT AS echoes FROM p LEFT JOIN b x ON x.book = p.book LEFT JOIN b y ON y.book = partner GROUP BY 1, 2""",
-    "echo_support": f"""{_FR}, e AS (SELECT phrase AS echo, min(verse_id) AS a, max(verse_id) AS b FROM ep WHERE phrase IN (SELECT phrase FROM ec WHERE verses = 2) GROUP BY 1),
-      v AS (SELECT verse_id, unnest([struct_pack(t := 'units', q := units), struct_pack(t := 'words', q := words), struct_pack(t := 'letters', q := string_split(regexp_replace(array_to_string(words, ' '), '[^a-z ]', '', 'g'), ' '))]) AS x FROM un WHERE len(units) > 0),
-      g AS (SELECT verse_id, x.t AS t, x.q AS q FROM v), h AS (SELECT DISTINCT verse_id, t, array_to_string(q[i : i + 2], ' ') AS r FROM (SELECT *, unnest(range(1, len(q) - 1)) AS i FROM g)),
-      asked AS (SELECT echo, a, b, x.t FROM e JOIN g x ON x.verse_id = a JOIN g y ON y.verse_id = b AND y.t = x.t), kept AS (SELECT DISTINCT echo, x.t FROM e JOIN h x ON x.verse_id = a JOIN h y ON y.verse_id = b AND y.t = x.t AND y.r = x.r)
-      SELECT echo, count(kept.t) AS kept, count(*) AS asked FROM asked LEFT JOIN kept USING (echo, t) GROUP BY 1""",
+    "echo_support": _ES,
+    "echo_idiom": f"""SELECT CASE WHEN kept <= 1 THEN 'idiom' WHEN kept = asked THEN 'own words' ELSE 'some' END AS class, count(*) AS echoes, sum(kept)::BIGINT AS kept, sum(asked)::BIGINT AS asked FROM ({_ES}) GROUP BY 1""",
     "listed_elsewhere": f"{_T} SELECT theme_id AS version, count(DISTINCT verse_id) AS lost FROM theme_verse WHERE theme_id IS NOT NULL AND verse_id IS NOT NULL AND verse_id NOT IN (SELECT verse_id FROM vb) GROUP BY 1",
     "theme_predictions": f"""{_T}, t AS (SELECT theme_id || ' / ' || vb.book AS prediction, vb.book, min(chapter) AS a, max(chapter) AS z FROM (SELECT DISTINCT theme_id, verse_id FROM theme_verse WHERE theme_id IS NOT NULL) x JOIN vb USING (verse_id) WHERE vb.book IS NOT NULL GROUP BY theme_id, vb.book),
       p AS (SELECT bk.book, chapter_start AS f, coalesce(chapter_end, chapter_start) AS l FROM passage_ranges JOIN bk USING (book_num) WHERE passage_id IS NOT NULL AND chapter_start IS NOT NULL)

@@ -191,3 +191,21 @@ def test_streamed_orphans(spark, tmp_path):
         q = V.track_orphans(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "ck"), lambda b, c: seen.append(sorted((r["ref_id"], r["change"]) for r in c.collect())))
         q.awaitTermination()
     assert seen == [[(1, "orphaned"), (2, "orphaned")], [(1, "resolved")], [(1, "reopened")]]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillmark.__main__ import main
+
+    run = lambda *a: main([*a, "--data", DATA], spark)
+    run("query", "rate_floors", "--rows", "2")
+    run("lift", "--book", "Orvath", "--quiet")
+    run("delta", "--book", "Orvath", "--quiet", "--only", "detail")
+    run("heat", "--book", "Orvath", "--measure", "rare", "--only", "spots", "--quiet")
+    run("ask", "\"of the\"", "--out", str(tmp_path / "o"))
+    store = str(tmp_path / "store")
+    run("results", "--store", store, "--line", "testament OT", "--run", "r1", "--quiet")
+    run("results", "--store", store, "--sql", "select count(distinct section) as n from cells", "--quiet")
+    run("results", "--store", store, "--question", "idiom", "--quiet")
+    out = capsys.readouterr().out
+    assert "rate_floors" in out and "detail 5" in out and "lift " in out and "answer 1" in out and "idiom" in out
+    assert spark.read.parquet(str(tmp_path / "o" / "verses")).columns

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from quillmark.session import cut_lineage, shared_dir
+from quillmark.operators.order import places
+from quillmark.session import cut_lineage
 
 NULL = "NULL"
+#: Pairs that a task may hold at once, and source words whose totals are sent to each task; bounds on memory, without effect on results.
+BLOCK, SOURCES = 1 << 21, 1 << 22
 
 
 def word_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -20,54 +26,94 @@ def word_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.join(t, "verse_id")
 
 
+def _expected(verse: np.ndarray, s: np.ndarray, t: np.ndarray, n: np.ndarray, overs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts of each row, pair of each row, sums of each pair) after as many rounds as there are totals of source words, and one more."""
+    place = np.unique(verse, return_inverse=True)[1].ravel()
+    in_verse = np.unique(place << 32 | t, return_inverse=True)[1].ravel()
+    pair = np.unique(s << 32 | t, return_inverse=True)[1].ravel()
+    p, shared = np.ones(len(s)), None
+    for over in [None, *overs]:
+        if over is not None:
+            p = shared[pair] / over[s]
+        c = n * p / np.bincount(in_verse, p)[in_verse]
+        shared = np.bincount(pair, c)
+    return c, pair, shared
+
+
 def ibm1(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     """(s, t, p): probability of a target word given a source word after ``rounds`` of expectation maximisation.
 
     Each round shares a target word of a verse among the verse's source words by their present probabilities, then normalises over
-    source words. Both sums that a round needs, by verse and target word and by source and target word, stay within a target word, so
-    the pairs are kept in tables bucketed by it and no round moves them; only the totals of source words are exchanged. Target words with
-    more than a fair share of the pairs lie in a table that isn't bucketed, where the same sums are exchanged and so spread.
+    source words. Both sums that a round needs, by verse and target word and by source and target word, stay within a target word. The
+    pairs, as numbers, are therefore parted by target word once, and a round exchanges only the totals of source words: each task goes
+    through the rounds so far over its own pairs, at most ``BLOCK`` of them, from the totals of the rounds before.
+
+    Target words with more than ``BLOCK`` pairs, and all words where there are more than ``SOURCES`` source words, whose totals are then too
+    many to send to each task, go through the same sums as window functions, which Spark exchanges and spills.
     """
     spark = pairs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut_lineage(pairs)
-    sizes = pairs.groupBy("t").agg(F.count("*").alias("n"))
-    fair = sizes.agg(F.sum("n")).scalar() / (4 * n)
-    crowded = cut_lineage(sizes.where(F.col("n") > fair).select("t"))
-    parts = [(pairs.join(F.broadcast(crowded), "t", "left_anti").repartition(n, "t"), n)]  # at most 4 * n words
-    if not crowded.limit(1).isEmpty():
-        parts.append((pairs.join(F.broadcast(crowded), "t", "left_semi"), 0))
-    path, tables = f"{shared_dir(spark)}/align-{uuid.uuid4().hex}", []
-
-    def kept(df: DataFrame, name: str, buckets: int) -> DataFrame:
-        if not buckets:
-            df.write.parquet(f"{path}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-        tables.append(f"quillmark_{uuid.uuid4().hex}")
-        df.write.bucketBy(buckets, "t").option("path", f"{path}/{name}").saveAsTable(tables[-1])
-        return spark.table(tables[-1])
-
-    total = F.sum("p").over(Window.partitionBy("verse_id", "t"))
-    shared = F.sum("c").over(Window.partitionBy("s", "t"))
-    now = [(df.select("verse_id", "s", "t", "n", F.lit(1.0).alias("c"), F.lit(1.0).alias("st")), b) for df, b in parts]
-    over = None
+    s_names, t_names = (places(pairs.select(c).distinct(), [F.col(c)], f"{c}i") for c in "st")
+    coded = cut_lineage(pairs.join(s_names, "s").join(t_names, "t").select("verse_id", "si", "ti", "n"))
+    sizes = coded.groupBy("ti").agg(F.count("*").alias("size"))
+    total, crowded_any = sizes.agg(F.sum("size"), F.max("size")).first()
+    if not total:
+        return pairs.select("s", "t", F.lit(1.0).alias("p")).limit(0)
+    sources = s_names.count()
+    by_hand = sources <= SOURCES
+    crowded = sizes.where(F.col("size") > BLOCK).select("ti") if by_hand else sizes.select("ti")
+    windowed = coded.join(crowded, "ti", "left_semi") if not by_hand or crowded_any > BLOCK else None
+    local = None
+    if by_hand:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // BLOCK))
+        local = coded if crowded_any <= BLOCK else coded.join(crowded, "ti", "left_anti")
+        local = cut_lineage(local.repartition(n, "ti"))
+
+    def by_task(overs: list[np.ndarray], last: bool):
+        shared = spark.sparkContext.broadcast(overs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = [b for b in batches if b.num_rows]
+            if not t:
+                return
+            verse, s, t, n = (c.to_numpy() for c in pa.Table.from_batches(t).columns)
+            c, pair, st = _expected(verse, s, t, n, shared.value)
+            if last:
+                first = np.unique(pair, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(s[first]), pa.array(t[first]), pa.array(st)], names=["si", "ti", "x"])
+            else:
+                own, at = np.unique(s, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at.ravel(), c))], names=["si", "x"])
+
+        return run
+
+    sums = F.sum("p").over(Window.partitionBy("verse_id", "ti"))
+    state = None if windowed is None else windowed.withColumn("p", F.lit(1.0))
+    overs: list[np.ndarray] = []
     for k in range(rounds):
-        after = []
-        for i, (df, buckets) in enumerate(now):
-            df = df.withColumn("p", F.lit(1.0)) if over is None else df.join(over, "s").withColumn("p", F.col("st") / F.col("over"))
-            df = df.select("verse_id", "s", "t", "n", (F.col("n") * F.col("p") / total).alias("c")).withColumn("st", shared)
-            after.append((kept(df, f"{k}-{i}", buckets), buckets))
-        now, every = after, after[0][0].select("s", "c")
-        for df, _ in after[1:]:
-            every = every.unionByName(df.select("s", "c"))
-        over = cut_lineage(every.groupBy("s").agg(F.sum("c").alias("over")))
-    every = now[0][0].select("s", "t", "st")
-    for df, _ in now[1:]:
-        every = every.unionByName(df.select("s", "t", "st"))
-    out = cut_lineage(every.distinct().join(over, "s").select("s", "t", (F.col("st") / F.col("over")).alias("p")))
-    for name in tables:
-        spark.sql(f"DROP TABLE {name}")
-    return out
+        parts = []
+        if local is not None:
+            parts.append(local.mapInArrow(by_task(overs, False), "si long, x double"))
+        if state is not None:
+            c = state.select("verse_id", "si", "ti", "n", (F.col("n") * F.col("p") / sums).alias("c"))
+            state = cut_lineage(c.withColumn("st", F.sum("c").over(Window.partitionBy("si", "ti"))))
+            parts.append(state.select("si", F.col("c").alias("x")))
+        over = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        over = over.groupBy("si").agg(F.sum("x").alias("over"))
+        if local is not None:
+            got = over.toArrow()
+            overs.append(np.ones(sources))
+            overs[-1][got["si"].to_numpy()] = got["over"].to_numpy()
+        if state is not None:
+            over = cut_lineage(over)
+            state = state.drop("c").join(over, "si").withColumn("p", F.col("st") / F.col("over"))
+    found = [] if state is None else [state.select("si", "ti", "p").distinct()]
+    if local is not None:
+        last = spark.sparkContext.broadcast(overs[-1])
+        share = F.pandas_udf(lambda i: pd.Series(last.value[i.to_numpy()]), "double")
+        found.append(local.mapInArrow(by_task(overs[:-1], True), "si long, ti long, x double").select("si", "ti", (F.col("x") / share("si")).alias("p")))
+    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return cut_lineage(out.join(s_names, "si").join(t_names, "ti").select("s", "t", "p"))
 
 
 def both_ways(forward: DataFrame, backward: DataFrame, support: DataFrame, least: float = 0.05, verses: int = 2) -> DataFrame:

@@ -92,6 +92,27 @@ def test_alignment_finds_translations(spark):
     assert all(x == pytest.approx(1) for x in total.values())
 
 
+@pytest.mark.parametrize("block, sources", [(1 << 21, 1 << 22), (40, 1 << 22), (1 << 21, 1)])
+def test_alignment_by_task_and_by_windows(spark, monkeypatch, block, sources):
+    """The same probabilities whether pairs are summed in a task, partly so, or by windows."""
+    rnd = random.Random(9)
+    rows = [(v, s, t, rnd.randint(1, 2)) for v in range(30) for s in rnd.sample(["NULL", *"abcdefg"], 4) for t in rnd.sample("uvwxyz", 3)]
+    monkeypatch.setattr(A, "BLOCK", block)
+    monkeypatch.setattr(A, "SOURCES", sources)
+    p = {(s, t): 1.0 for _, s, t, _ in rows}
+    for _ in range(3):
+        total, c = {}, {}
+        for v, s, t, _ in rows:
+            total[v, t] = total.get((v, t), 0) + p[s, t]
+        for v, s, t, n in rows:
+            c[s, t] = c.get((s, t), 0) + n * p[s, t] / total[v, t]
+        every = {s: sum(x for (y, _), x in c.items() if y == s) for s, _ in c}
+        p = {k: x / every[k[0]] for k, x in c.items()}
+    got = {(r["s"], r["t"]): r["p"] for r in A.ibm1(spark.createDataFrame(rows, "verse_id long, s string, t string, n long"), 3).collect()}
+    assert got.keys() == p.keys() and all(got[k] == pytest.approx(p[k]) for k in p)
+    assert A.ibm1(spark.createDataFrame([], "verse_id long, s string, t string, n long")).count() == 0
+
+
 def test_companions_outliers_and_moments(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(260, 5))

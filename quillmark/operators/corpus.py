@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.sources.tables import table
 
 ROOT = r"^[HG]\d+$"
+_PREPARED: dict[str, str] = {}
+
+
+@contextmanager
+def prepared(d: str, build: str) -> Iterator[None]:
+    """Within, what is made of the tables of ``d`` starts from the verses and words that ``build`` holds, with copies taken once and places joined."""
+    _PREPARED[d] = build
+    try:
+        yield
+    finally:
+        del _PREPARED[d]
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame | None:
+    return spark.read.parquet(f"{_PREPARED[d]}/{name}").withColumn("book", F.col("book").cast("string")) if d in _PREPARED else None
 
 
 def verses(spark: SparkSession, d: str) -> DataFrame:
     """One row per verse_id; of copies the least value of each column, the earliest load."""
+    if (held := _read(spark, d, "verses")) is not None:
+        return held.select("verse_id", "book", "chapter", "verse", "language")
     v = table(spark, d, "verses").where("verse_id is not null")
     return v.groupBy("verse_id").agg(*(F.min(c).alias(c) for c in ("book", "chapter", "verse", "language")))
 
 
 def verse_texts(spark: SparkSession, d: str) -> DataFrame:
+    if (held := _read(spark, d, "verses")) is not None:
+        return held
     v = table(spark, d, "verses").where("verse_id is not null")
     return v.groupBy("verse_id").agg(*(F.min(c).alias(c) for c in ("book", "chapter", "verse", "text", "word_string", "phrase_string", "language")))
 
@@ -28,6 +50,8 @@ def books(spark: SparkSession, d: str) -> DataFrame:
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Word occurrences: one row for each (verse_id, position), combined before the shuffle, with the place of its verse."""
+    if (held := _read(spark, d, "words")) is not None:
+        return held
     t = table(spark, d, "tokens").where("verse_id is not null and position is not null").groupBy("verse_id", "position")
     t = t.agg(*(F.min(c).alias(c) for c in ("surface", "lemma", "root", "strongs", "morph")), F.coalesce(F.bool_or("is_stop"), F.lit(False)).alias("is_stop"))
     return t.join(verses(spark, d).where("book is not null"), "verse_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from quillmark.operators import links as L
 from quillmark.plans.notation import Action, parse
@@ -12,6 +14,12 @@ from quillmark.sources.tables import table
 Page = dict[str, DataFrame]
 
 
+def collected(page: Page, jobs: int = 8) -> dict[str, list[Row]]:
+    """The rows of a page's tables, ``jobs`` tables at a time; a page's tables are meant to be read."""
+    with ThreadPoolExecutor(jobs) as pool:
+        return dict(zip(page, pool.map(lambda df: df.collect(), page.values())))
+
+
 def verses_with_root(spark: SparkSession, d: str, root: str, scope: str | None = None, build: str | None = None) -> DataFrame:
     t = Facts(spark, d, build)("root_verses").where(F.col("root") == root)
     return (t.where(F.col("book") == scope) if scope else t).select("book", "chapter", "verse", "verse_id")

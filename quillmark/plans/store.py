@@ -6,26 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmark.operators import corpus as C
 from quillmark.plans import fact_queries as X, link_queries as K, mining_queries as W, more_queries as N, shelf_queries as S, style_queries as Y, text_queries as T
 from quillmark.sources.stores import write_build
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _verses(spark: SparkSession, d: str) -> DataFrame:
-    from quillmark.operators import corpus as C
-
-    return C.verse_texts(spark, d)
-
-
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    from quillmark.operators import corpus as C
-
-    return C.tokens(spark, d)
-
-
 #: What the pages read, by name.
-FACTS: dict[str, Query] = {"verses": _verses, "words": _words} | {
+FACTS: dict[str, Query] = {
     f.__name__: f
     for f in (
         X.weight_scales, X.common_form, X.pull, X.shadow, X.book_totals, X.signature_words, X.word_book, X.word_chapter, X.formulas, X.echo_places, X.echo_partners,
@@ -37,21 +26,24 @@ FACTS: dict[str, Query] = {"verses": _verses, "words": _words} | {
 _SORTED = ("root", "focus", "verse_a", "from_verse", "passage_id", "theme_id", "phrase")
 
 
-def build_facts(spark: SparkSession, d: str, root: str, label: str = "facts", names: list[str] | None = None) -> str:
+def build_facts(spark: SparkSession, d: str, root: str, label: str = "facts", names: list[str] | None = None, jobs: int = 4) -> str:
     """Write the facts of the tables in ``d`` as a build, and return its folder.
 
     Tables with a book are partitioned by it, the others sorted by what pages look them up by, so that a page reads the files and row groups it is about.
-    The verses and the placed words are written first; the facts are then made from them.
+    The verses and the placed words are written first and the other facts made from them, ``jobs`` at a time.
     """
+    base = {"verses": C.verse_texts(spark, d), "words": C.tokens(spark, d)}
+    path = write_build(base, root, label, {"source": d}, tuple(base))
     tables = {}
-    for name in names or list(FACTS):
-        df = FACTS[name](spark, d)
-        if "book" in df.columns:
-            df = df.repartition("book") if name not in ("words", "pull") else df
-        elif keys := [c for c in _SORTED if c in df.columns]:
-            df = df.repartitionByRange(keys[0]).sortWithinPartitions(keys[0])
-        tables[name] = df
-    return write_build(tables, root, label, {"tables": sorted(tables), "source": d}, tuple(n for n, df in tables.items() if "book" in df.columns))
+    with C.prepared(d, path):
+        for name in names or list(FACTS):
+            df = FACTS[name](spark, d)
+            if "book" in df.columns:
+                df = df.repartition("book")
+            elif keys := [c for c in _SORTED if c in df.columns]:
+                df = df.repartitionByRange(keys[0]).sortWithinPartitions(keys[0])
+            tables[name] = df
+        return write_build(tables, root, label, {"tables": sorted({*tables, *base}), "source": d}, tuple(n for n, df in tables.items() if "book" in df.columns), jobs)
 
 
 class Facts:
@@ -62,6 +54,6 @@ class Facts:
 
     def __call__(self, name: str) -> DataFrame:
         if self.build is None:
-            return FACTS[name](self.spark, self.d)
+            return {"verses": C.verse_texts, "words": C.tokens, **FACTS}[name](self.spark, self.d)
         df = self.spark.read.parquet(f"{self.build}/{name}")
         return df.withColumn("book", F.col("book").cast("string")) if "book" in df.columns else df

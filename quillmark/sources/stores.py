@@ -6,6 +6,7 @@ import json
 import os
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,16 +20,20 @@ def checksum(df: DataFrame, *columns: str) -> str:
     return f"{r['n']}:{r['s'] or 0}"
 
 
-def write_build(tables: dict[str, DataFrame], root: str, label: str, settings: dict[str, object], by_book: tuple[str, ...] = ()) -> str:
-    """Write a build under ``builds/<label>``: each table as Parquet, those of ``by_book`` partitioned by book, and the rules it was made by.
+def write_build(tables: dict[str, DataFrame], root: str, label: str, settings: dict[str, object], by_book: tuple[str, ...] = (), jobs: int = 1) -> str:
+    """Write a build under ``builds/<label>``: each table as Parquet, those of ``by_book`` partitioned by book, and the rules it was made by; ``jobs`` tables at a time.
 
     The settings are written last; a folder without them is no build, so a run that died leaves nothing that is read.
     """
     path = f"{root}/builds/{label}"
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        w = df.write.mode("overwrite")
+
+    def write(name: str) -> None:
+        w = tables[name].write.mode("overwrite")
         (w.partitionBy("book") if name in by_book else w).parquet(f"{path}/{name}")
+
+    with ThreadPoolExecutor(jobs) as pool:
+        list(pool.map(write, tables))
     rows = [(k, json.dumps(v, sort_keys=True, default=sorted)) for k, v in sorted(settings.items())]
     spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
     return path

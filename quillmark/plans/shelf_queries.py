@@ -10,6 +10,7 @@ from quillmark.operators import corpus as C, facts as X, judge as J, links as L
 from quillmark.plans import fact_queries as FQ
 from quillmark.plans.fact_queries import _FR, _T, _WB
 from quillmark.plans.link_queries import SQL as LINK_SQL, _RN, theme_strip
+from quillmark.plans.mining_queries import SQL as MINING_SQL
 from quillmark.plans.style_queries import SQL as STYLE_SQL, _ST
 from quillmark.plans.text_queries import _BN, _PS, _REF
 from quillmark.sources.tables import table
@@ -234,4 +235,6 @@ SQL = {
     "strip_variety": f"""{_ST}, cw AS (SELECT v.book, v.i, list(root ORDER BY position) AS q FROM v JOIN ct USING (verse_id) GROUP BY 1, 2), wq AS (SELECT book, start, flatten(list(q ORDER BY i)) AS q FROM wk0 LEFT JOIN cw USING (book) WHERE i BETWEEN start AND start + 9 GROUP BY 1, 2),
       ww AS (SELECT book, start, list_transform(range(1, greatest(2, len(q) - 48)), lambda k: len(list_distinct(q[k : k + 49])) / least(50, len(q))::DOUBLE) AS r FROM wq)
       SELECT book, start, round(coalesce(list_avg(r), 0), 6) + 0.0 AS variety FROM wk0 LEFT JOIN ww USING (book, start)""",
+    "belonging": f"""WITH c AS ({MINING_SQL["companions"]}), l AS (SELECT vec_id AS id, min(label) AS label FROM embeddings GROUP BY 1), n AS (SELECT label, count(*) AS size, sum(count(*)) OVER () AS every FROM l GROUP BY 1)
+      SELECT x.label, count(*) AS companions, count(*) FILTER (x.label = y.label) AS own, round(any_value(size) / any_value(every)::DOUBLE, 6) + 0.0 AS expected FROM c JOIN l x ON x.id = a JOIN l y ON y.id = b JOIN n ON n.label = x.label GROUP BY 1""",
 }

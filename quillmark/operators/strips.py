@@ -134,3 +134,21 @@ def spots(scaled: DataFrame, threshold: float = 2.0, size: int = STRIP) -> DataF
     peak = F.max(F.struct(F.abs("z").alias("a"), (-F.col("start")).alias("s"), F.col("z").alias("z")))
     out = rows.groupBy("book", "measure", "hot", "spot").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.count("*").alias("windows"), peak.alias("p"))
     return out.select("book", "measure", "hot", "first", (F.col("last") + size - 1).alias("last"), "windows", (-F.col("p.s")).alias("peak_start"), F.col("p.z").alias("peak"))
+
+
+def bands(scaled: DataFrame, warm: float, hot: float, size: int = STRIP) -> DataFrame:
+    """(book, measure, band, first, last, windows, peak_start, peak): hot, warm and cool spots.
+
+    Hot and cool spots are windows past ``hot``, joined as ``spots`` joins them. A warm spot is made of runs of windows past ``warm`` that never reach
+    ``hot`` and share no verse with a hot window, so the slopes of a hot spot are no spots of their own. Only windows past ``warm`` are ordered.
+    """
+    outer = spots(scaled, hot, size).withColumn("band", F.when(F.col("hot"), "hot").otherwise("cool"))
+    above = scaled.where(F.col("z") >= warm)
+    w = Window.partitionBy("book", "measure").orderBy("start")
+    run = above.withColumn("run", F.col("start") - F.row_number().over(w))
+    ends = run.groupBy("book", "measure", "run").agg(F.min("start").alias("a"), F.max("start").alias("b"), F.max("z").alias("most")).where(F.col("most") < hot)
+    strong = above.where(F.col("z") >= hot).select(F.col("book").alias("hb"), F.col("measure").alias("hm"), F.col("start").alias("h"))
+    near = (F.col("book") == F.col("hb")) & (F.col("measure") == F.col("hm")) & (F.col("h") >= F.col("a") - (size - 1)) & (F.col("h") <= F.col("b") + size - 1)
+    kept = run.join(ends.join(strong, near, "left_anti").select("book", "measure", "run"), ["book", "measure", "run"], "left_semi").select("book", "measure", "start", "z")
+    inner = spots(kept, warm, size).withColumn("band", F.lit("warm"))
+    return outer.unionByName(inner).select("book", "measure", "band", "first", "last", "windows", "peak_start", "peak")

@@ -175,3 +175,20 @@ def test_chapter_structures(spark, tmp_path):
     centre = {r["chapter"]: (r["first"], r["last"]) for r in Q["chapter_centres"](spark, d).collect()}
     frame = {r["chapter"]: (r["first"], r["last"]) for r in Q["chapter_frames"](spark, d).collect()}
     assert centre[1] == (4, 4) and frame[1] == (1, 7)
+
+
+def test_set_phrases_are_counted_by_verse(spark):
+    from quillmark.plans.manner_queries import phrase_uses
+
+    rows = [(1, "and it was unto this day and to this day".split()), (2, "in that day in that day".split()), (3, "of the day".split()), (4, []), (5, None)]
+    got = {(r["verse_id"], r["phrase"]): r["uses"] for r in phrase_uses(spark.createDataFrame(rows, "verse_id long, words array<string>")).collect()}
+    assert got == {(1, "unto this day"): 2, (2, "in that day"): 1}  # a blank is shared, so the second is not counted
+
+
+def test_warm_spots_keep_clear_of_hot_ones(spark):
+    from quillmark.operators.strips import bands
+
+    z = [0, 2.5, 2.5, 4, 2.5, 0, *[0] * 12, 2.2, 2.4, 0, *[0] * 12, -4, -3.5, 0]
+    df = spark.createDataFrame([("B", "m", i, float(x)) for i, x in enumerate(z)], "book string, measure string, start int, z double")
+    got = {(r["band"], r["first"], r["last"], r["peak"]) for r in bands(df, 2.0, 3.3).collect()}
+    assert got == {("hot", 3, 12, 4.0), ("warm", 18, 28, 2.4), ("cool", 33, 43, -4.0)}

@@ -95,24 +95,6 @@ def balanced_limit(counts: DataFrame) -> DataFrame:
     return share.orderBy("gap", "w").limit(1).select(F.col("w").alias("limit"), "gap")
 
 
-def grow(phrase: list[str], verses: list[list[str]]) -> list[str]:
-    """A formula grown to both sides as long as all its verses go on with one and the same word."""
-    out = list(phrase)
-    while True:
-        k = len(out)
-        spots = [(v, next((i for i in range(len(v) - k + 1) if v[i : i + k] == out), None)) for v in verses]
-        if not spots or any(i is None for _, i in spots):
-            return out
-        after = {v[i + k] if i + k < len(v) else None for v, i in spots}
-        before = {v[i - 1] if i else None for v, i in spots}
-        if len(after) == 1 and None not in after:
-            out = [*out, after.pop()]
-        elif len(before) == 1 and None not in before:
-            out = [before.pop(), *out]
-        else:
-            return out
-
-
 def join_number(words: list[str], parts: dict[str, int]) -> list[int]:
     """Values of the number words in a row of words; parts of one number ('twenty', 'and', 'five') are joined, 'hundred' multiplies."""
     out: list[int] = []
@@ -129,17 +111,6 @@ def join_number(words: list[str], parts: dict[str, int]) -> list[int]:
     return out
 
 
-def select_formulas(rows: list[tuple[str, int, frozenset]], most: int = 75, covered: float = 0.8) -> list[str]:
-    """Formulas taken greedily by score, leaving out one whose verses a taken longer formula that holds it covers to ``covered``."""
-    taken: list[tuple[str, frozenset]] = []
-    for phrase, _, verses in sorted(rows, key=lambda r: (-r[1], r[0])):
-        if len(taken) == most:
-            break
-        if not any(f" {phrase} " in f" {p} " and len(verses & v) >= covered * len(verses) for p, v in taken):
-            taken.append((phrase, verses))
-    return [p for p, _ in taken]
-
-
 def half_verses(marks: DataFrame) -> DataFrame:
     """(verse_id, split): the word after which a verse divides: the last ole-weyored, else atnach, else the middle."""
     m = marks.groupBy("verse_id").agg(F.max(F.when(F.col("mark") == "ole", F.col("position"))).alias("o"), F.max(F.when(F.col("mark") == "atnach", F.col("position"))).alias("a"), F.max("position").alias("n"))

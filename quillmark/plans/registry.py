@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.plans import detail_queries, fact_queries, index_queries, link_queries, manner_queries, mining_queries, more_queries, orphan_queries, shelf_queries, style_queries, text_queries
+from quillmark.plans import detail_queries, fact_queries, index_queries, link_queries, manner_queries, mining_queries, more_queries, orphan_queries, shelf_queries, style_queries, tag_queries, text_queries
 
-_MODULES = [fact_queries, link_queries, style_queries, mining_queries, text_queries, more_queries, orphan_queries, shelf_queries, manner_queries, detail_queries, index_queries]
+_MODULES = [fact_queries, link_queries, style_queries, mining_queries, text_queries, more_queries, orphan_queries, shelf_queries, manner_queries, detail_queries, index_queries, tag_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillmark.operators.order import places
 
@@ -43,21 +43,75 @@ def settings_of(spark: SparkSession, path: str) -> dict[str, object]:
     return {r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/settings").collect()}
 
 
+def source_state(spark: SparkSession, path: str, *columns: str) -> dict[str, object]:
+    """What is recorded of a source to tell later whether it changed: its files' bytes and last change, and, where ``columns`` are named, its checksum."""
+    fs, p = _hadoop(spark, path)
+    files = [s for s in _listed(fs, p) if not s[0].startswith(("_", "."))]
+    out: dict[str, object] = {"bytes": sum(s[1] for s in files), "changed": max((s[2] for s in files), default=0)}
+    return out | ({"checksum": checksum(spark.read.parquet(path), *columns)} if columns else {})
+
+
 def is_stale(spark: SparkSession, path: str, **now: object) -> list[str]:
-    """Names of the recorded settings that differ from those given."""
+    """Names of the recorded settings, ``source_state`` among them if given, that differ from those of now.
+
+    A state is the same where its checksums are equal, if both have one: a file written again with the same rows is no change.
+    """
     was = settings_of(spark, path)
-    return sorted(k for k, v in now.items() if was.get(k) != v)
+
+    def differs(a: object, b: object) -> bool:
+        if isinstance(a, dict) and isinstance(b, dict) and "checksum" in a and "checksum" in b:
+            return a["checksum"] != b["checksum"]
+        return a != b
+
+    return sorted(k for k, v in now.items() if differs(was.get(k), v))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _listed(fs, p) -> list[tuple[str, int, int]]:
+    """(name, bytes, change) of all files under a folder, on whatever file system."""
+    out, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        out.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return out
 
 
 def subset(tables: dict[str, DataFrame], translations: list[str], out: str) -> None:
-    """Copy a source: frame tables whole, texts of the named translations only."""
+    """Copy a source: frame tables whole, texts of the named translations only.
+
+    The copy is made beside its place, checked (every table reads back with the rows it was given), and only then moved there, so what lies
+    under ``out`` is always whole.
+    """
     ids = tables["translations"].where(F.col("abbreviation").isin(translations))
+    spark = ids.sparkSession
+    aside = f"{out}.{uuid.uuid4().hex}"
     for name, df in tables.items():
         if name == "translations":
             df = ids
         elif "translation_id" in df.columns:
             df = df.join(ids.select(F.col("id").alias("translation_id")), "translation_id", "left_semi")
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        df.write.parquet(f"{aside}/{name}")
+        if spark.read.parquet(f"{aside}/{name}").count() != df.count():
+            raise RuntimeError(f"{name} does not read back with the rows it was given")
+    fs, there = _hadoop(spark, out)
+    fs.delete(there, True)
+    if not fs.rename(_hadoop(spark, aside)[1], there):
+        raise RuntimeError(f"could not move the copy to {out}")
+
+
+def write_sets(sets: DataFrame, windows: DataFrame, path: str) -> None:
+    """Word sets as three tables: ``sets`` (set_id, size, measures), ``members`` (set_id, place, root) and ``windows`` (set_id, ...), by a digest of the members.
+
+    ``sets`` has the roots of each in ``members``, with blanks between; ``windows`` the same column and where the set stands.
+    """
+    key = F.xxhash64("members").alias("set_id")
+    sets.select(key, *(c for c in sets.columns if c != "members")).write.mode("overwrite").parquet(f"{path}/sets")
+    sets.select(key, F.posexplode(F.split("members", " ")).alias("place", "root")).write.mode("overwrite").parquet(f"{path}/members")
+    windows.select(key, *(c for c in windows.columns if c != "members")).write.mode("overwrite").parquet(f"{path}/windows")
 
 
 def replace_parts(df: DataFrame, path: str, *keys: str) -> None:
@@ -121,21 +175,46 @@ class ResultStore:
                 self._delete(f"{self.path}/cells/run_id={r['run_id']}")
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _hadoop(self.spark, path)
+        fs.delete(p, True)
 
 
-def pack(spark: SparkSession, path: str, out: str) -> None:
-    """Copy the tables of a folder as one file each, to hand on."""
-    for name in sorted(os.listdir(path)):
-        if os.path.isdir(f"{path}/{name}"):
-            spark.read.parquet(f"{path}/{name}").coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}")
+def pack(spark: SparkSession, path: str, out: str, run_id: str | None = None) -> None:
+    """Copy the tables of a folder, of one run if named, as one compressed file each, to hand on; for results small enough for that."""
+    fs, p = _hadoop(spark, path)
+    for f in fs.listStatus(p):
+        if f.isDirectory():
+            name = f.getPath().getName()
+            df = spark.read.parquet(f"{path}/{name}")
+            if run_id is not None and "run_id" in df.columns:
+                df = df.where(F.col("run_id") == run_id)
+            df.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}")
 
 
 def dump(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small table as ordered JSON lines, the same bytes for the same rows."""
+    """A small table as ordered JSON lines, the same bytes for the same rows; its schema lies beside them."""
     df.repartitionByRange(1, *order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}.schema")
+
+
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """The table back from its dump, in the types it had."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}.schema").first()["value"]))
+    return spark.read.schema(schema).json(path)
+
+
+def write_references(refs: DataFrame, path: str) -> None:
+    """Cross references as the text lines that ``files.reference_lines`` reads: ``Gen.1.1<tab>Ps.8.3-Ps.8.5<tab>12``."""
+    at = lambda e, c, v: F.concat_ws(".", f"{e}_book", F.col(c).cast("string"), F.col(v).cast("string"))
+
+    def end(e: str) -> Column:
+        single = (F.col(f"{e}_chapter") == F.col(f"{e}_chapter_end")) & (F.col(f"{e}_verse_start") == F.col(f"{e}_verse_end"))
+        first = at(e, f"{e}_chapter", f"{e}_verse_start")
+        return F.when(single, first).otherwise(F.concat_ws("-", first, at(e, f"{e}_chapter_end", f"{e}_verse_end")))
+
+    refs.select(F.concat_ws("\t", end("from"), end("to"), F.col("votes").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
 def text_table(df: DataFrame, limit: int = 40) -> str:

@@ -209,3 +209,34 @@ def test_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "rate_floors" in out and "detail 5" in out and "lift " in out and "answer 1" in out and "idiom" in out
     assert spark.read.parquet(str(tmp_path / "o" / "verses")).columns
+
+
+def test_stores_check_move_restore_and_export(spark, tmp_path):
+    from quillmark.sources import files as FI, stores as ST
+
+    t = {"translations": spark.createDataFrame([(1, "A"), (2, "B")], "id int, abbreviation string"), "texts": spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "translation_id int, text string")}
+    out = str(tmp_path / "sub")
+    for _ in range(2):  # a second copy replaces the first
+        ST.subset(t, ["B"], out)
+    assert spark.read.parquet(f"{out}/texts").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["sub"]
+    state = ST.source_state(spark, f"{out}/texts", "text")
+    build = ST.write_build({"texts": t["texts"]}, str(tmp_path), "b", {"source": state})
+    assert ST.is_stale(spark, build, source=ST.source_state(spark, f"{out}/texts", "text")) == []
+    t["texts"].where("text <> 'x'").write.mode("overwrite").parquet(f"{out}/texts")  # the same rows, another file
+    assert ST.is_stale(spark, build, source=ST.source_state(spark, f"{out}/texts", "text")) == []
+    assert ST.is_stale(spark, build, source=ST.source_state(spark, f"{out}/texts")) == ["source"]
+    t["texts"].write.mode("overwrite").parquet(f"{out}/texts")
+    assert ST.is_stale(spark, build, source=ST.source_state(spark, f"{out}/texts", "text")) == ["source"]
+    ST.dump(t["texts"].withColumn("n", F.lit(None).cast("double")), str(tmp_path / "d"), ["text"])
+    back = ST.restore(spark, str(tmp_path / "d"))
+    assert sorted(map(tuple, back.collect())) == [(1, "x", None), (2, "y", None), (2, "z", None)] and back.schema["n"].dataType.simpleString() == "double"
+    refs = spark.createDataFrame([("Gen", 1, 1, 1, 1, "Ps", 8, 3, 9, 5, 12), ("1Sam", 2, 3, 2, 4, "Gen", 1, 1, 1, 1, -1)], "from_book string, from_chapter int, from_verse_start int, from_chapter_end int, from_verse_end int, to_book string, to_chapter int, to_verse_start int, to_chapter_end int, to_verse_end int, votes int")
+    ST.write_references(refs, str(tmp_path / "r"))
+    again = FI.reference_lines(spark, str(tmp_path / "r")).select(*refs.columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, refs.collect()))
+    ST.pack(spark, out, str(tmp_path / "packed"))
+    assert spark.read.parquet(str(tmp_path / "packed" / "texts")).count() == 3
+    sets = spark.createDataFrame([("H1 H2", 2, 7), ("H1 H2 H3", 3, 5)], "members string, size int, support long")
+    ST.write_sets(sets, spark.createDataFrame([("H1 H2", "A", 1, 4)], "members string, book string, first int, last int"), str(tmp_path / "sets"))
+    m = spark.read.parquet(str(tmp_path / "sets" / "members"))
+    assert m.count() == 5 and spark.read.parquet(str(tmp_path / "sets" / "windows")).join(m, "set_id").count() == 2

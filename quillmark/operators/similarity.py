@@ -9,6 +9,7 @@ from quillmark.functions import measures as M
 from quillmark.functions.lists import RARE
 from quillmark.functions.sequences import lcs
 from quillmark.operators.facts import is_stop
+from quillmark.session import cut_lineage
 
 
 def rarities(tokens: DataFrame, books: DataFrame) -> DataFrame:
@@ -26,20 +27,43 @@ def rare_roots(tokens: DataFrame, books: DataFrame, limit: int = RARE) -> DataFr
     return rarities(tokens, books).where(F.col("weight") * limit <= F.col("total")).select("root", "rarity")
 
 
+#: Records expected to share a combination of roots from which a longer one is taken.
+CROWD = 32.0
+
+
+def _rarest_keys(o: Column, n: Column, verses: float, close: bool) -> Column:
+    """Hashes of combinations of up to three of the roots ``o`` (array of (df, unit), rare ones first), longer where the rarest is common.
+
+    Two records that share three units share the combination of their three rarest, and both see how common the first is. ``close`` says that
+    every unit counts in both records, so that the first lies among all but the last two.
+    """
+    last = n - 2 if close else n
+
+    def keys(x: Column, i: Column) -> Column:
+        df = x["df"].cast("double")
+        rest = F.slice(o, i + 2, n)
+        pairs = F.transform(rest, lambda y: F.xxhash64(F.lit(2), x["t"], y["t"]))
+        triples = F.flatten(F.transform(rest, lambda y, j: F.transform(F.slice(o, i + j + 3, n), lambda z: F.xxhash64(F.lit(3), x["t"], y["t"], z["t"]))))
+        return F.when(df <= CROWD, F.array(F.xxhash64(F.lit(1), x["t"]))).when(df * df * 4 / verses <= CROWD, pairs).otherwise(triples)
+
+    return F.flatten(F.transform(F.slice(o, 1, F.greatest(last, F.lit(0))), keys))
+
+
 def kin(tokens: DataFrame, books: DataFrame, least: int = 3, limit: int = RARE) -> DataFrame:
     """(verse_a, verse_b, shared, score): verses that share at least ``least`` = 3 rare roots.
 
-    Joined on triples of rare roots, so that only pairs which qualify ever meet; a single rare root, which a growing text uses ever
-    more often, is never the join key.
+    Candidates meet in combinations of their rarest shared roots, longer ones where the rarest is common, so a root that a growing text uses
+    ever more often is never the key by itself, and a root of few verses is one key, not all the triples it stands in.
     """
     if least != 3:
-        raise ValueError("the join is made on triples")
+        raise ValueError("the join is made on up to three roots")
     rare = rare_roots(tokens, books, limit)
-    words = tokens.where("root is not null and not is_stop").groupBy("verse_id", "root").agg(F.min("position").alias("at")).join(rare, "root")
-    verses = words.groupBy("verse_id").agg(F.sort_array(F.collect_list(F.struct("root", "rarity", "at"))).alias("r")).where(F.size("r") >= 3)
-    n = F.size("r")
-    triples = F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, n), lambda y, j: F.transform(F.slice("r", i + j + 3, n), lambda z: F.xxhash64(x["root"], y["root"], z["root"]))))
-    keys = verses.select("verse_id", F.explode(F.flatten(F.flatten(triples))).alias("key"))
+    words = cut_lineage(tokens.where("root is not null and not is_stop").groupBy("verse_id", "root").agg(F.min("position").alias("at")).join(rare, "root"))
+    every = float(max(1, words.select(F.count_distinct("verse_id")).first()[0]))
+    words = words.join(words.groupBy("root").agg(F.count("*").alias("df")), "root")
+    verses = words.groupBy("verse_id").agg(F.sort_array(F.collect_list(F.struct("root", "rarity", "at"))).alias("r"), F.sort_array(F.collect_list(F.struct("df", F.col("root").alias("t")))).alias("o")).where(F.size("r") >= 3)
+    keys = verses.select("verse_id", F.explode(_rarest_keys(F.col("o"), F.size("o"), every, True)).alias("key"))
+    verses = verses.drop("o")
     a, b = keys.withColumnRenamed("verse_id", "verse_a"), keys.withColumnRenamed("verse_id", "verse_b")
     met = a.join(b, "key").where("verse_a < verse_b").select("verse_a", "verse_b").distinct()
     out = met.join(verses.select(F.col("verse_id").alias("verse_a"), F.col("r").alias("ra")), "verse_a").join(verses.select(F.col("verse_id").alias("verse_b"), F.col("r").alias("rb")), "verse_b")
@@ -101,28 +125,6 @@ def verse_roots(content: DataFrame) -> DataFrame:
     return content.groupBy("verse_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "root"))), lambda x: x["root"]).alias("units"))
 
 
-#: Records expected to share a combination of roots from which a longer one is taken.
-CROWD = 32.0
-
-
-def _rarest_keys(o: Column, n: Column, verses: float, close: bool) -> Column:
-    """Hashes of combinations of up to three of the roots ``o`` (array of (df, unit), rare ones first), longer where the rarest is common.
-
-    Two records that share three units share the combination of their three rarest, and both see how common the first is. ``close`` says that
-    every unit counts in both records, so that the first lies among all but the last two.
-    """
-    last = n - 2 if close else n
-
-    def keys(x: Column, i: Column) -> Column:
-        df = x["df"].cast("double")
-        rest = F.slice(o, i + 2, n)
-        pairs = F.transform(rest, lambda y: F.xxhash64(F.lit(2), x["t"], y["t"]))
-        triples = F.flatten(F.transform(rest, lambda y, j: F.transform(F.slice(o, i + j + 3, n), lambda z: F.xxhash64(F.lit(3), x["t"], y["t"], z["t"]))))
-        return F.when(df <= CROWD, F.array(F.xxhash64(F.lit(1), x["t"]))).when(df * df * 4 / verses <= CROWD, pairs).otherwise(triples)
-
-    return F.flatten(F.transform(F.slice(o, 1, F.greatest(last, F.lit(0))), keys))
-
-
 def parallels(verses: DataFrame, sizes: DataFrame, least: int = 3, share: float = 0.3, common: float = 0.1) -> DataFrame:
     """(verse_a, book_a, verse_b, book_b, common, likeness): for each verse the verses of other books whose roots follow each other likewise.
 

@@ -201,11 +201,11 @@ def order_runs(spark: SparkSession, d: str) -> DataFrame:
 def chapter_runs(spark: SparkSession, d: str) -> DataFrame:
     """From each chapter the shortest run of chapters with 400 words or more, of at most 625: text samples of one size."""
     v = C.units(spark, d).groupBy("book", "chapter").agg(F.sum(F.size("words")).cast("long").alias("w"))
-    run = Window.partitionBy("book").orderBy("chapter")
-    c = v.withColumn("upto", F.sum("w").over(run)).withColumn("before", F.col("upto") - F.col("w"))
-    a, b = c.select("book", F.col("chapter").alias("first"), "before"), c.select("book", F.col("chapter").alias("last"), "upto")
-    near = a.join(b, "book").where((F.col("last") >= F.col("first")) & (F.col("upto") - F.col("before") >= 400))
-    out = near.groupBy("book", "first").agg(F.min("last").alias("last"), F.min(F.col("upto") - F.col("before")).alias("words"))
+    upto = F.sum("w").over(Window.partitionBy("book").orderBy("chapter"))
+    c = v.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("w"))
+    ends = c.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("upto", "chapter"))).alias("ends"))  # a book's chapters bound it
+    end = F.get(F.filter("ends", lambda e: e["upto"] - F.col("before") >= 400), F.lit(0))
+    out = c.join(ends, "book").select("book", F.col("chapter").alias("first"), end["chapter"].alias("last"), (end["upto"] - F.col("before")).alias("words"))
     return out.where("words <= 625")
 
 

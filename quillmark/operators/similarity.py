@@ -143,14 +143,15 @@ def parallels(verses: DataFrame, sizes: DataFrame, least: int = 3, share: float
     skips = skip.groupBy("kind", "book").agg(F.collect_set("t").alias("skip"))
     ordered = flat.join(df, ["kind", "t"]).groupBy("kind", "verse_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
     rows = verses.join(ordered, ["kind", "verse_id"]).join(skips, ["kind", "book"], "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<string>")))
-    every = float(max(1, verses.count()))
+    rows = cut_lineage(rows)
+    every = float(max(1, rows.count()))
     left = rows.withColumn("own", F.filter("o", lambda x: ~F.array_contains("skip", x["t"])))
     left = left.select("kind", F.col("verse_id").alias("verse_a"), F.col("book").alias("book_a"), F.col("layer").alias("layer_a"), F.explode(_rarest_keys(F.col("own"), F.size("own"), every, True)).alias("key"))
     right = rows.select("kind", F.col("verse_id").alias("verse_b"), F.col("book").alias("book_b"), F.col("layer").alias("layer_b"), F.explode(_rarest_keys(F.col("o"), F.size("o"), every, False)).alias("key"))
     across = F.when(F.col("layer_a").eqNullSafe(F.col("layer_b")), "root").otherwise("stem")
     met = left.join(right, ["kind", "key"]).where((F.col("book_a") != F.col("book_b")) & (F.col("kind") == across)).select("kind", "verse_a", "verse_b").distinct()
     one = rows.select("kind", F.col("verse_id").alias("verse_a"), F.col("book").alias("book_a"), F.col("units").alias("ua"), "skip")
-    two = verses.select("kind", F.col("verse_id").alias("verse_b"), F.col("book").alias("book_b"), F.col("units").alias("ub"))
+    two = rows.select("kind", F.col("verse_id").alias("verse_b"), F.col("book").alias("book_b"), F.col("units").alias("ub"))
     out = met.join(one, ["kind", "verse_a"]).join(two, ["kind", "verse_b"])
     kept = lambda c: F.filter(c, lambda x: ~F.array_contains("skip", x))
     out = out.withColumns({"ua": kept("ua"), "ub": kept("ub")}).where(F.size(F.array_intersect("ua", "ub")) >= least)

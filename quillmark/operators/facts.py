@@ -156,13 +156,19 @@ def formulas(units: DataFrame, lengths: tuple[int, ...] = FORMULA_LENGTHS) -> Da
 
 
 def formula_facts(runs: DataFrame, least: int = 2) -> DataFrame:
-    """(phrase, n, verses, times, books, display) of formulas in at least ``least`` verses; display is the commonest wording."""
-    by_wording = runs.groupBy("phrase", "n", "book", "verse_id", "wording").agg(F.count("*").alias("t"))
-    by_verse = by_wording.groupBy("phrase", "n", "wording").agg(F.sum("t").alias("t"))
-    display = by_verse.groupBy("phrase").agg(F.min(F.struct((-F.col("t")).alias("t"), "wording")).alias("b"))
-    facts = by_wording.groupBy("phrase", "n", "book", "verse_id").agg(F.sum("t").alias("t")).groupBy("phrase", "n", "book").agg(F.count("*").alias("v"), F.sum("t").alias("t"))
-    facts = facts.groupBy("phrase", "n").agg(F.sum("v").alias("verses"), F.sum("t").alias("times"), F.count("*").alias("books")).where(F.col("verses") >= least)
-    return facts.join(display, "phrase").select("phrase", "n", "verses", "times", "books", F.col("b.wording").alias("display"))
+    """(phrase, n, verses, times, books, display) of formulas in at least ``least`` verses; display is the commonest wording.
+
+    Formulas are counted by 128 bits of digest; their texts are fetched only for those in enough verses, and go out once at most.
+    """
+    marks = {"h1": F.xxhash64("phrase"), "h2": F.xxhash64(F.lit(1), "phrase")}
+    k = runs.select(*(c.alias(n) for n, c in marks.items()), "n", "book", "verse_id")
+    facts = k.groupBy("h1", "h2", "n", "book", "verse_id").agg(F.count("*").alias("t")).groupBy("h1", "h2", "n", "book").agg(F.count("*").alias("v"), F.sum("t").alias("t"))
+    facts = facts.groupBy("h1", "h2", "n").agg(F.sum("v").alias("verses"), F.sum("t").alias("times"), F.count("*").alias("books")).where(F.col("verses") >= least)
+    own = ["h1", "h2", "phrase", "n", "verses", "times", "books"]
+    held = runs.select("phrase", "wording").withColumns(marks).join(facts, ["h1", "h2"])
+    by_wording = held.groupBy(*own, "wording").agg(F.count("*").alias("t"))
+    out = by_wording.groupBy(*own).agg(F.min(F.struct((-F.col("t")).alias("t"), "wording")).alias("b"))
+    return out.select(*own[2:], F.col("b.wording").alias("display"))
 
 
 def substance(phrase: Column) -> Column:

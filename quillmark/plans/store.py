@@ -39,7 +39,7 @@ def build_facts(spark: SparkSession, d: str, root: str, label: str = "facts", na
         for name in names or list(FACTS):
             df = FACTS[name](spark, d)
             if "book" in df.columns:
-                df = df.repartition("book")
+                df = df.hint("rebalance", F.col("book"))  # a book with most of the rows is split over tasks
             elif keys := [c for c in _SORTED if c in df.columns]:
                 df = df.repartitionByRange(keys[0]).sortWithinPartitions(keys[0])
             tables[name] = df

@@ -41,6 +41,10 @@ def _only_z(df):
 Z = ["Z1 Z2", "Z1 Z2 Z3", "Z1 Z3", "Z2 Z3"]
 
 
+def test_kinds_of_more_than_600_roots(spark, many):
+    assert _only_z(Q["set_kinds"](spark, many).select("members", "kind")) == [(m, "constellation" if m == "Z1 Z3" else "phrase") for m in Z]
+
+
 def test_grown_in_pieces_is_brute_force():
     rnd = random.Random(2)
     rows = sorted((sorted(rnd.sample(range(12), rnd.randint(2, 8))) for _ in range(300)), key=lambda r: r[0])
@@ -67,7 +71,7 @@ def test_widths_with_repeated_roots_and_small_blocks(spark, monkeypatch):
     rnd = random.Random(7)
     units = {i: [rnd.choice("ABCDEFGHIJKL") for _ in range(rnd.randint(2, 16))] for i in range(200)}
     words = spark.createDataFrame([(i, r, k) for i, x in units.items() for k, r in enumerate(x)], "unit int, root string, at int")
-    v = W.vocabulary(words.select("unit", "root").distinct(), 5)
+    v = W.vocabulary(words.select("unit", "root").distinct(), 5, None)
     monkeypatch.setattr(G, "ROWS", 7)
     monkeypatch.setattr(G, "MIN_LIFT", {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0})
     rows = G.by_root(words, v, words.select("unit").distinct(), [], at=True)

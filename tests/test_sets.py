@@ -45,6 +45,10 @@ def test_kinds_of_more_than_600_roots(spark, many):
     assert _only_z(Q["set_kinds"](spark, many).select("members", "kind")) == [(m, "constellation" if m == "Z1 Z3" else "phrase") for m in Z]
 
 
+def test_places_of_more_than_600_roots(spark, many):
+    assert _only_z(Q["set_places_all"](spark, many).select("members", "book", "places")) == [(m, "A", 2) for m in Z]
+
+
 def test_grown_in_pieces_is_brute_force():
     rnd = random.Random(2)
     rows = sorted((sorted(rnd.sample(range(12), rnd.randint(2, 8))) for _ in range(300)), key=lambda r: r[0])

@@ -49,6 +49,15 @@ def test_places_of_more_than_600_roots(spark, many):
     assert _only_z(Q["set_places_all"](spark, many).select("members", "book", "places")) == [(m, "A", 2) for m in Z]
 
 
+@pytest.mark.parametrize("name", ["set_inclusio"])
+def test_pairs_keep_to_their_sql(spark, many, name):
+    """Which takes 600 of these 700 roots."""
+    con = connect(many)
+    for t in ("verses", "tokens", "books"):
+        con.execute(f"create or replace view {t} as select * from '{many}/{t}.parquet/*.parquet'")
+    assert_same(Q[name](spark, many), con, registry.oracle_sql()[name])
+
+
 def test_grown_in_pieces_is_brute_force():
     rnd = random.Random(2)
     rows = sorted((sorted(rnd.sample(range(12), rnd.randint(2, 8))) for _ in range(300)), key=lambda r: r[0])

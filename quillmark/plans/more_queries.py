@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quillmark.functions import measures as M, sequences as Q, text as T
 from quillmark.functions.lists import NUMBERS, STOPLIST, sql_list
-from quillmark.operators import corpus as C, facts as X, judge as J, similarity as S, strips as H, wordsets as W
+from quillmark.operators import corpus as C, facts as X, grown as G, judge as J, similarity as S, strips as H, wordsets as W
 from quillmark.plans import fact_queries as FQ, link_queries as LQ, style_queries as YQ
 from quillmark.plans.fact_queries import _CC, _FR, _RO, _T, _WB, _sub
 from quillmark.plans.link_queries import _LN, _PV, _RN
@@ -138,15 +138,12 @@ def books_against_layer_all(spark: SparkSession, d: str) -> DataFrame:
     """As ``books_against_layer``, whose SQL has pairs alone, with all sets of two to five roots. A set in eight verses of a book is in eight of all."""
     b = C.books(spark, d).select("book", "testament")
     u = C.content(spark, d).join(b, "book").select("testament", "book", F.col("verse_id").alias("unit"), "root").distinct()
-    words = u.select("unit", "root")
-    at = u.select("testament", "book", "unit").distinct()
-    sets = W.word_sets(words, W.vocabulary(words, 20), 8, 5)
-    n = W.occurrences_of(sets, words).join(at, "unit").groupBy("testament", "book", "members").agg(F.count("*").alias("n"))
-    layer = n.groupBy("testament", "members").agg(F.sum("n").alias("all_n"))
+    words, at = u.select("unit", "root"), u.select("testament", "book", "unit").distinct()
+    n = G.of_books(G.by_root(words, W.vocabulary(words, 20), at, ["testament", "book"]), 8, 5)
     size = at.groupBy("testament", "book").agg(F.count("*").alias("size"))
     total = size.groupBy("testament").agg(F.sum("size").alias("layer_size"))
-    x = n.where("n >= 8").join(layer, ["testament", "members"]).join(size, ["testament", "book"]).join(total, "testament")
-    return x.where("n * layer_size >= 3 * all_n * size").select("book", F.array_join("members", " ").alias("members"), "n", "all_n")
+    x = n.join(size, ["testament", "book"]).join(total, "testament")
+    return x.where("n * layer_size >= 3 * all_n * size").select("book", "members", "n", "all_n")
 
 
 def formula_spans(spark: SparkSession, d: str) -> DataFrame:

@@ -135,11 +135,11 @@ def books_against_layer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def books_against_layer_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``books_against_layer``, whose SQL has pairs alone, with all sets of two to five roots. A set in eight verses of a book is in eight of all."""
+    """As ``books_against_layer``, whose SQL has the pairs of 600 roots, with all sets of two to five roots of 20 verses or more. A set in eight verses of a book is in eight of all."""
     b = C.books(spark, d).select("book", "testament")
     u = C.content(spark, d).join(b, "book").select("testament", "book", F.col("verse_id").alias("unit"), "root").distinct()
     words, at = u.select("unit", "root"), u.select("testament", "book", "unit").distinct()
-    n = G.of_books(G.by_root(words, W.vocabulary(words, 20), at, ["testament", "book"]), 8, 5)
+    n = G.of_books(G.by_root(words, W.vocabulary(words, 20, None), at, ["testament", "book"]), 8, 5)
     size = at.groupBy("testament", "book").agg(F.count("*").alias("size"))
     total = size.groupBy("testament").agg(F.sum("size").alias("layer_size"))
     x = n.join(size, ["testament", "book"]).join(total, "testament")

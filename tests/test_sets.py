@@ -53,6 +53,10 @@ def test_inclusio_of_more_than_600_roots(spark, many):
     assert _only_z(Q["set_inclusio_all"](spark, many).select("members", "book")) == [(m, "A") for m in Z]
 
 
+def test_books_against_layer_of_more_than_600_roots(spark, many):
+    assert _only_z(Q["books_against_layer_all"](spark, many).select("members", "book", "n", "all_n")) == [(m, "A", 20, 20) for m in Z]
+
+
 @pytest.mark.parametrize("name", ["set_places", "set_inclusio"])
 def test_pairs_keep_to_their_sql(spark, many, name):
     """Which takes 600 of these 700 roots."""

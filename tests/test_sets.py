@@ -95,7 +95,7 @@ def test_widths_with_repeated_roots_and_small_blocks(spark, monkeypatch):
     v = W.vocabulary(words.select("unit", "root").distinct(), 5, None)
     monkeypatch.setattr(G, "ROWS", 7)
     monkeypatch.setattr(G, "MIN_LIFT", {2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0})
-    rows = G.by_root(words, v, words.select("unit").distinct(), [], at=True)
+    rows = G.by_root(words, v, None, [], at=True)
     assert rows.count() <= sum(len(set(x)) for x in units.values())
     got = {r["members"]: (r["size"], r["support"], r["tight"], r["near"]) for r in G.widths(rows, 5, 3, len(units), 5).collect()}
     want = {}

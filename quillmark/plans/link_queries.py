@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmark.functions import measures as M, sequences as Q, text as T
-from quillmark.operators import corpus as C, facts as X, links as L, similarity as S
+from quillmark.operators import corpus as C, facts as X, links as L, parallels as P, similarity as S
 from quillmark.plans.fact_queries import _FR, _RO, _T, _stop, _sub
-from quillmark.session import cut_lineage
 from quillmark.sources.tables import table
 
 R = M.rounded
@@ -43,19 +42,12 @@ def parallel_runs(spark: SparkSession, d: str) -> DataFrame:
     return _run_pairs(spark, d).where("book_a <> book_b")
 
 
-def _compared(spark: SparkSession, d: str) -> DataFrame:
-    """Content units of each verse, as roots and as stems of the words written."""
-    t = C.content(spark, d).withColumn("w", F.lower(F.coalesce("surface", F.lit(""))))
-    words = C.tokens(spark, d).select(F.lower("surface").alias("word"))
-    t = T.stemmed(t, words, "w")
-    each = t.select("verse_id", "book", "position", F.explode(F.array(F.struct(F.lit("root").alias("kind"), F.col("root").alias("u")), F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("u")))).alias("x"))
-    rows = each.groupBy("verse_id", "book", F.col("x.kind").alias("kind")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "x.u"))), lambda x: x["u"]).alias("units"))
-    return rows.join(C.books(spark, d).select("book", F.col("testament").alias("layer")), "book", "left")
-
-
 def parallels(spark: SparkSession, d: str) -> DataFrame:
+    """Verses of other books that follow each verse, by roots within a testament and by stems of the words written across."""
     sizes = C.verses(spark, d).where("book is not null").groupBy("book").agg(F.count("*").alias("verses"))
-    return S.parallels(cut_lineage(_compared(spark, d)), sizes).withColumn("likeness", R(F.col("likeness")))
+    words = C.tokens(spark, d).select("verse_id", "book", "position", F.when(~F.col("is_stop"), F.col("root")).alias("root"), F.lower("surface").alias("word"))
+    layers = C.books(spark, d).select("book", F.col("testament").alias("layer"))
+    return P.parallels(words, layers, sizes, T.stemmed).withColumn("likeness", R(F.col("likeness")))
 
 
 def synopsis(spark: SparkSession, d: str) -> DataFrame:
